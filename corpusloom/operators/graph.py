@@ -72,15 +72,14 @@ def mentions(chunks: DataFrame, gazetteer: DataFrame, kind: str = "lang") -> Dat
 
 def pattern_mentions(chunks: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
     """Entities found by regular expressions, one per type; no join at all."""
-    found = F.concat(
-        *[
-            F.transform(
-                F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0)),
-                lambda m, kind=kind: F.struct(m.alias("name"), F.lit(kind).alias("entity_type")),
-            )
-            for kind, pattern in patterns.items()
-        ]
-    )
+
+    def hits(kind: str, pattern: str) -> Column:
+        return F.transform(
+            F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0)),
+            lambda m: F.struct(m.alias("name"), F.lit(kind).alias("entity_type")),
+        )
+
+    found = F.concat(*[hits(kind, pattern) for kind, pattern in patterns.items()])
     return chunks.select("chunk_id", "doc_id", F.inline(found))
 
 
@@ -132,7 +131,8 @@ def relation_pairs(found: DataFrame, window: int = PAIR_WINDOW) -> DataFrame:
     """
     ahead = Window.partitionBy("chunk_id").orderBy("pos").rangeBetween(1, window)
     return (
-        found.withColumn("later", F.explode(F.collect_list("name").over(ahead)))
+        found.withColumn("ahead", F.collect_list("name").over(ahead))
+        .withColumn("later", F.explode("ahead"))
         .filter(F.col("name") != F.col("later"))
         .groupBy(
             "chunk_id",

@@ -359,29 +359,25 @@ def sitemaps(spark, sf_dir) -> DataFrame:
         F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>")
     )
 
-    def document(tag: str, parts: Column) -> Column:
+    def document(tag: str, parts: Column, last: Column | None = None) -> Column:
         ordered = F.transform(F.array_sort(F.collect_list(parts)), lambda p: p["xml"])
+        tail = [last] if last is not None else []
         return F.concat(
-            F.lit(f"{head}<{tag} {space}>"), F.array_join(ordered, ""), F.lit(f"</{tag}>")
+            F.lit(f"{head}<{tag} {space}>"), F.array_join(ordered, ""), *tail, F.lit(f"</{tag}>")
         ).alias("xml")
 
+    def entry(address: Column) -> Column:
+        return F.concat(F.lit("<sitemap><loc>"), address, F.lit("</loc></sitemap>"))
+
     pages = table(spark, sf_dir, "pages").select("page_id", block, loc.alias("xml"))
     maps = pages.groupBy("block").agg(document("urlset", F.struct("page_id", "xml")))
-    entry = lambda url: F.concat(F.lit("<sitemap><loc>"), url, F.lit("</loc></sitemap>"))
-    group = F.floor(F.col("block") / PER_INDEX)
-    indexes = (
-        maps.select(
-            group.alias("index"),
-            F.explode(
-                F.array(
-                    F.struct("block", entry(_address("b", F.col("block"))).alias("xml")),
-                    F.struct((F.col("block") + 1_000_000).alias("block"), entry(_address("i", group)).alias("xml")),
-                )
-            ).alias("e"),
-        )
-        .groupBy("index")
-        .agg(document("sitemapindex", F.struct("e.block", "e.xml")))
+    listed = maps.select(
+        F.floor(F.col("block") / PER_INDEX).alias("index"),
+        "block",
+        entry(_address("b", F.col("block"))).alias("xml"),
     )
+    itself = entry(_address("i", F.col("index")))
+    indexes = listed.groupBy("index").agg(document("sitemapindex", F.struct("block", "xml"), itself))
     return maps.select(_address("b", F.col("block")).alias("sitemap_url"), "xml").unionByName(
         indexes.select(_address("i", F.col("index")).alias("sitemap_url"), "xml")
     )
@@ -630,41 +626,29 @@ def graph_batches(spark, sf_dir):
     )
 
 
-def _xml_text(value: Column) -> Column:
-    text = F.coalesce(value.cast("string"), F.lit(""))
-    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        text = F.replace(text, F.lit(plain), F.lit(escaped))
-    return text
-
-
 def _graphml(idx: Index, path: str) -> None:
-    """The graph as GraphML, one element per line."""
-
-    def data(names: tuple[str, ...], prefix: str) -> list[Column]:
-        return [
-            F.concat(F.lit(f'<data key="{prefix}{i}">'), _xml_text(F.col(n)), F.lit("</data>"))
-            for i, n in enumerate(names)
-        ]
-
-    nodes = idx.nodes.select(
-        F.concat(
-            F.lit('<node id="'), _xml_text(F.col("id")), F.lit('">'),
-            *data(graphfiles.NODE_FIELDS, "n"), F.lit("</node>"),
-        ).alias("value")
-    )
-    edges = idx.edges.select(
-        F.concat(
-            F.lit('<edge source="'), _xml_text(F.col("source")), F.lit('" target="'),
-            _xml_text(F.col("target")), F.lit('">'), *data(graphfiles.EDGE_FIELDS, "e"), F.lit("</edge>"),
-        ).alias("value")
-    )
-    names = [(f"n{i}", n, "node") for i, n in enumerate(graphfiles.NODE_FIELDS)]
-    names += [(f"e{i}", n, "edge") for i, n in enumerate(graphfiles.EDGE_FIELDS)]
-    keys = nodes.sparkSession.createDataFrame(
-        [(f'<key id="{i}" for="{kind}" attr.name="{n}" attr.type="string"></key>',) for i, n, kind in names],
-        "value STRING",
+    """The graph as GraphML elements: key declarations, nodes and edges."""
+    fields = {"node": graphfiles.NODE_FIELDS, "edge": graphfiles.EDGE_FIELDS}
+
+    def data(kind: str) -> Column:
+        return F.array(
+            *[
+                F.struct(
+                    F.lit(f"{kind[0]}{i}").alias("_key"),
+                    F.coalesce(F.col(n).cast("string"), F.lit("")).alias("_VALUE"),
+                )
+                for i, n in enumerate(fields[kind])
+            ]
+        ).alias("data")
+
+    keys = idx.nodes.sparkSession.createDataFrame(
+        [(f"{kind[0]}{i}", kind, n) for kind, names in fields.items() for i, n in enumerate(names)],
+        "_id STRING, _for STRING, `_attr.name` STRING",
     )
-    keys.coalesce(1).union(nodes).union(edges).write.text(path)
+    nodes = idx.nodes.select(F.col("id").alias("_id"), data("node"))
+    edges = idx.edges.select(F.col("source").alias("_source"), F.col("target").alias("_target"), data("edge"))
+    for df, tag in ((keys.coalesce(1), "key"), (nodes, "node"), (edges, "edge")):
+        df.write.format("xml").option("rootTag", "graphml").option("rowTag", tag).save(f"{path}/{tag}")
 
 
 @query
@@ -672,7 +656,7 @@ def graphml_read(spark, sf_dir):
     """The graph written as GraphML files and read again."""
     path = new_path(spark, "graphml")
     _graphml(index(spark, sf_dir), path)
-    nodes, edges = graphfiles.read_graphml(spark, path)
+    nodes, edges = graphfiles.read_graphml(spark, f"{path}/*")
     return nodes.select(
         F.lit("node").alias("kind"), F.col("id").alias("key"), "entity_type", "description",
         F.lit(None).cast("double").alias("weight"), F.lit(None).cast("string").alias("keywords"), "source_id",

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators.skew import salted_join, top_k
+from corpusloom.operators.skew import HOT_KEYS, HOT_ROWS, salted_join, top_k
 from corpusloom.options import SEARCH_MODES
 from corpusloom.session import stored
 
@@ -53,17 +53,18 @@ def term_vectors(items: DataFrame, key: str, text: str = "text") -> DataFrame:
     )
 
 
-def tfidf_weights(items: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Long form ``key, term, tf, df, weight = tf * ln(N / df)`` of every item.
+def tfidf_weights(vectors: DataFrame, key: str) -> DataFrame:
+    """Long form ``key, term, tf, df, weight = tf * ln(N / df)`` of ``term_vectors`` rows.
 
     Frequent words are hot keys of the join with the document frequencies; the
     frequencies themselves say which, so the salting costs no extra count.
     """
-    counted = items.select(key, tx.term_counts(tx.words(F.col(text))).alias("terms"))
-    postings = counted.select(key, F.inline("terms"))
+    postings = vectors.select(key, F.inline("terms"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    total = counted.agg(F.count("*")).scalar()
-    hot = df.filter(F.col("df") >= 1_000_000).orderBy(F.desc("df"), "term").limit(1000).select("term")
+    total = vectors.agg(F.count("*")).scalar()
+    hot = (
+        df.filter(F.col("df") >= HOT_ROWS).orderBy(F.desc("df"), "term").limit(HOT_KEYS).select("term")
+    )
     return salted_join(postings, df, "term", hot=hot).select(
         key,
         "term",
@@ -107,8 +108,11 @@ def rank_by_terms(
     scored = (
         postings.withColumnRenamed("weight", "iw")
         .join(weights, "term")
-        .groupBy(key, "query_id", "top_k")
-        .agg(F.round(F.sum(F.col("iw") * F.col("weight")), 6).alias("score"))
+        .groupBy(key, "query_id")
+        .agg(
+            F.min("top_k").alias("top_k"),
+            F.round(F.sum(F.col("iw") * F.col("weight")), 6).alias("score"),
+        )
         .filter(F.col("score") > 0)
     )
     return ranked(scored, key, max_k)
@@ -287,6 +291,8 @@ def _local_top(block: list[tuple[int, list[float]]], k: int):
     """A ``mapInPandas`` function: the ``k`` best of one task's vectors for each query."""
     ids = np.array([q for q, _ in block], dtype=np.int64)
     base = np.array([v for _, v in block], dtype=np.float64)
+    if not block:
+        base = np.zeros((0, 1))
     length = np.linalg.norm(base, axis=1)
     ids, base = ids[length > 0], base[length > 0] / length[length > 0, None]
 
@@ -358,5 +364,5 @@ def vector_topk(
             block, used = [], 0
         block.append((row[0], list(row[1])))
         used += size
-    found = union([*done, search(block)]) if block else search([])
+    found = union([*done, search(block)])
     return top_k(found, ["query_id"], [F.desc("score"), F.col("item_id")], k)

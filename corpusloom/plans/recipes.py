@@ -29,7 +29,7 @@ from corpusloom.operators.skew import top_k
 from corpusloom.options import CONTEXT_LIMIT, DEFAULT_LIMIT, Options
 from corpusloom.plans import search
 from corpusloom.plans.index import Index, build, corpus_chunks, word_gazetteer
-from corpusloom.session import new_path, stored
+from corpusloom.session import new_path, spread, stored
 from corpusloom.sources import files as file_source
 from corpusloom.sources import graphfiles, sinks, sitemap, tables
 from corpusloom.streaming import ingest
@@ -54,8 +54,13 @@ def query(fn: Query) -> Query:
     return fn
 
 
+# Tables with long texts, and the key that spreads them.
+_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, _TEXT_TABLES[name]) if name in _TEXT_TABLES else df
 
 
 def long(column: Column) -> Column:
@@ -698,7 +703,8 @@ def questions(spark, sf_dir, limit: int = DEFAULT_LIMIT) -> DataFrame:
 
 @query
 def tfidf_weights(spark, sf_dir):
-    return retrieval.tfidf_weights(table(spark, sf_dir, "documents"), "doc_id")
+    vectors = retrieval.term_vectors(table(spark, sf_dir, "documents"), "doc_id")
+    return retrieval.tfidf_weights(stored(vectors, "document-terms"), "doc_id")
 
 
 @query

@@ -26,20 +26,24 @@ def build_session(app: str = "corpusloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+_local_roots: dict[str, str] = {}
+
+
 def work_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names for checkpoints.
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of its own; a cluster has to
-    name one that every executor can reach.
+    Only a local master may fall back to a folder of its own; a cluster has to name one
+    that every executor can reach.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="corpusloom-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_roots.setdefault(
+        context.applicationId, tempfile.mkdtemp(prefix="corpusloom-")
+    )
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -68,3 +72,19 @@ def stored(df: DataFrame, name: str, bucket_by: str | None = None) -> DataFrame:
         .saveAsTable(table)
     )
     return spark.table(table)
+
+
+# A table below this many bytes per core is dealt out before heavy per-row work.
+SPREAD_BYTES_PER_CORE = 16 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a small table.
+
+    A file of one row group is read by one task however many cores there are. Where the
+    table's estimated size is small per core it is hash-partitioned by ``key``, which
+    costs little; a large table has row groups enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * SPREAD_BYTES_PER_CORE else df

@@ -1,11 +1,25 @@
-"""Files on storage: scans, single paths, working trees and text reads."""
+"""Files on storage: scans, single paths, working trees and text reads.
+
+``scan`` is Spark's own file source. It leaves out names that start with ``_`` or
+``.``, which a source tree needs (``__init__.py``), so working trees are listed by
+``scan_tree``: one small task per folder, level by level.
+"""
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import routing
+from corpusloom.session import stored
+
+MAX_FOLDER_DEPTH = 64
 
 
 def scan(spark: SparkSession, root: str, content: bool = False, glob: str | None = None) -> DataFrame:
@@ -29,6 +43,65 @@ def scan(spark: SparkSession, root: str, content: bool = False, glob: str | None
     return files
 
 
+def _base(root: str) -> str:
+    return (root if "://" in root else f"file://{os.path.abspath(root)}").rstrip("/")
+
+
+def _list_folders(base: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = fs.FileSystem.from_uri(base)
+        for pdf in batches:
+            for folder in pdf["path"]:
+                where = f"{root}/{folder}".rstrip("/")
+                found = system.get_file_info(fs.FileSelector(where))
+                yield pd.DataFrame(
+                    {
+                        "path": [f"{folder}/{i.base_name}".lstrip("/") for i in found],
+                        "folder": [i.type == fs.FileType.Directory for i in found],
+                        "length": [i.size or 0 for i in found],
+                    }
+                )
+
+    return run
+
+
+def _read_files(base: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = fs.FileSystem.from_uri(base)
+        for pdf in batches:
+            for path in pdf["path"]:
+                with system.open_input_stream(f"{root}/{path}") as stream:
+                    yield pd.DataFrame({"path": [path], "content": [stream.read()]})
+
+    return run
+
+
+def scan_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below ``root``, hidden ones included: ``path`` (relative), ``length``."""
+    base = _base(root)
+    tasks = spark.sparkContext.defaultParallelism
+    level = spark.range(1).select(F.lit("").alias("path"))
+    files = []
+    for _ in range(MAX_FOLDER_DEPTH):
+        listed = level.repartition(tasks, "path").mapInPandas(
+            _list_folders(base), "path STRING, folder BOOLEAN, length BIGINT"
+        )
+        listed = stored(listed, "tree-level")
+        files.append(listed.filter(~F.col("folder")).select("path", "length"))
+        level = listed.filter("folder").select("path")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, files)
+    raise ValueError(f"folders below {root} are nested more than {MAX_FOLDER_DEPTH} deep")
+
+
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """``path, content`` of the files named in ``files(path)``."""
+    tasks = files.sparkSession.sparkContext.defaultParallelism
+    return files.select("path").repartition(tasks, "path").mapInPandas(
+        _read_files(_base(root)), "path STRING, content BINARY"
+    )
+
+
 def text_of(content: Column) -> Column:
     return F.decode(content, "UTF-8")
 
@@ -79,11 +152,15 @@ def input_manifest(requested: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def repository_files(spark: SparkSession, root: str) -> DataFrame:
-    """Processable files of a working tree already on storage: ``path, content``."""
-    return routing.processable_files(scan(spark, root, content=True)).select("path", "content")
+    """Processable files of a working tree already on storage: ``path, content``.
+
+    The path tests come before any file is opened.
+    """
+    named = scan_tree(spark, root).filter(routing.path_allowed(F.col("path")))
+    return with_content(named, root).filter(routing.looks_like_text(F.col("content")))
 
 
-def repository_results(repo_url: str, files: DataFrame, options=None) -> DataFrame:
+def repository_results(repo_url: str, files: DataFrame) -> DataFrame:
     """Per file results of a repository: one row per file, with the repository's URL."""
     return files.select(
         *routing.result(

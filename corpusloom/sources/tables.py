@@ -16,11 +16,16 @@ def page_lookup(requests: DataFrame, pages: DataFrame) -> DataFrame:
 def schema_listing(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
     """``table, position, field, type`` of stored tables, from their footers alone."""
     rows = [
-        (name, i, f.name, f.dataType.simpleString())
+        F.struct(
+            F.lit(name).alias("table"),
+            F.lit(i).cast("long").alias("position"),
+            F.lit(f.name).alias("field"),
+            F.lit(f.dataType.simpleString()).alias("type"),
+        )
         for name, path in tables.items()
         for i, f in enumerate(spark.read.parquet(path).schema.fields)
     ]
-    return spark.createDataFrame(rows, "`table` STRING, position BIGINT, field STRING, type STRING")
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def open_vectors(spark: SparkSession, path: str) -> DataFrame:

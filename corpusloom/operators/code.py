@@ -1,7 +1,7 @@
 """Source files to blocks.
 
-A block's text is a slice of its own file row. Only line positions and indents are
-exploded; finding where a block ends is one window over those.
+Only line positions, offsets and nesting levels are exploded; finding where a block
+ends is a window over those, and its text is cut out of its own file row by offset.
 """
 
 from __future__ import annotations
@@ -40,13 +40,30 @@ def language(path: Column) -> Column:
     return F.create_map(*pairs)[F.lower(tx.suffix(path))]
 
 
-def _closing_lines(lines: DataFrame, level: str, closer: str) -> DataFrame:
-    """Header rows with ``end_pos``: the last line before, and ``close_pos``: the line
-    at which the file next falls to the header's level.
+# Stands for a file without any block among the block rows.
+NO_BLOCK = "no_block"
+
+
+def _lines(files: DataFrame) -> DataFrame:
+    """``file_id, pos, line, start_at, end_at``: lines with their character offsets."""
+    before = (
+        Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    size = F.length("line")
+    return (
+        files.select("file_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .withColumn("start_at", F.coalesce(F.sum(size + 1).over(before), F.lit(0)).cast("int"))
+        .withColumn("end_at", F.col("start_at") + size)
+    )
+
+
+def _with_ends(lines: DataFrame, level: str, closer: str, ends: dict[str, str]) -> DataFrame:
+    """Header rows with, for each ``ends`` item, that column of the row that closes them.
 
     A row closes every header level at or above its own ``closer`` value, so it is
     repeated once per such level (nesting depth, not file length). Within one level
-    the nearest closer is a running minimum over the rows read backwards.
+    the nearest closer is a running minimum over the rows read backwards: the columns
+    of ``ends`` never fall from line to line.
     """
     per_file = Window.partitionBy("file_id")
     backwards = (
@@ -54,92 +71,85 @@ def _closing_lines(lines: DataFrame, level: str, closer: str) -> DataFrame:
         .orderBy(F.desc("pos"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    own_level = F.when(F.col("header"), F.array(F.col(level))).otherwise(F.array().cast("array<int>"))
+    own = F.when(F.col("header"), F.array(F.col(level))).otherwise(F.array().cast("array<int>"))
     closes = F.col("lv") >= F.col(closer)
-    return (
-        lines.withColumn("header_levels", F.collect_set(F.when(F.col("header"), F.col(level))).over(per_file))
-        .withColumn(
-            "lv",
-            F.explode(
-                F.array_union(F.filter("header_levels", lambda v: v >= F.col(closer)), own_level)
-            ),
-        )
-        .withColumn("close_pos", F.min(F.when(closes, F.col("pos"))).over(backwards))
-        .withColumn("end_pos", F.min(F.when(closes, F.col("before"))).over(backwards))
-        .filter(F.col("header") & (F.col("lv") == F.col(level)))
+    levels = F.collect_set(F.when(F.col("header"), F.col(level))).over(per_file)
+    spread = lines.withColumn("levels", levels).withColumn(
+        "lv", F.explode(F.array_union(F.filter("levels", lambda v: v >= F.col(closer)), own))
     )
+    found = {name: F.min(F.when(closes, F.col(c))).over(backwards) for name, c in ends.items()}
+    return spread.withColumns(found).filter(F.col("header") & (F.col("lv") == F.col(level)))
 
 
-def _slices(blocks: DataFrame, files: DataFrame) -> DataFrame:
-    """Join blocks to their file row and cut the text out of it."""
+def _with_files(blocks: DataFrame, files: DataFrame) -> DataFrame:
+    """Join block rows ``file_id, start_line, end_line, start_at, end_at, type`` to their
+    file and cut the text out of it; the first line's indent is not part of a block."""
+    cut = F.substring(
+        F.col("source_text"), F.col("start_at") + 1, F.col("end_at") - F.col("start_at")
+    )
     return (
-        files.select("file_id", "path", F.split("text", "\n").alias("lines"))
+        files.select("file_id", "path", F.col("text").alias("source_text"))
         .join(blocks, "file_id")
-        .select(
-            "file_id",
-            "path",
-            "start_line",
-            "end_line",
-            "type",
-            F.regexp_replace(
-                F.array_join(
-                    F.slice(
-                        "lines",
-                        F.col("start_line").cast("int"),
-                        (F.col("end_line") - F.col("start_line") + 1).cast("int"),
-                    ),
-                    "\n",
-                ),
-                r"^[ \t]+",
-                "",
-            ).alias("text"),
-        )
+        .withColumn("text", F.regexp_replace(cut, r"^[ \t]+", ""))
     )
 
 
-def python_blocks(files: DataFrame) -> DataFrame:
-    """Classes and functions at every depth, nested ones as well as their parents.
+BLOCK_COLUMNS = ("file_id", "path", "start_line", "end_line", "type", "text")
 
-    ``files(file_id, path, text)`` -> ``file_id, path, start_line, end_line, type, text``.
-    A file without any gives one ``module`` row. A line that opens with a closing
-    bracket never ends a block; dedented text inside a multi-line string does.
-    """
+
+def _python_rows(files: DataFrame) -> DataFrame:
     line = F.col("line")
-    lines = (
-        files.select("file_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .filter(tx.not_blank(line))
-        .select(
-            "file_id",
-            "pos",
-            F.length(F.regexp_extract(line, r"^([ \t]*)", 1)).alias("indent"),
-            line.rlike(r"^[ \t]*(?:class|def|async[ \t]+def)[ \t]+\w").alias("header"),
-            line.rlike(r"^[ \t]*class[ \t]").alias("is_class"),
-            line.rlike(r"^[ \t]*[)\]}]").alias("bracket"),
-        )
+    lines = _lines(files).filter(tx.not_blank(line)).select(
+        "file_id",
+        "pos",
+        "start_at",
+        "end_at",
+        F.length(F.regexp_extract(line, r"^([ \t]*)", 1)).alias("indent"),
+        line.rlike(r"^[ \t]*(?:class|def|async[ \t]+def)[ \t]+\w").alias("definition"),
+        line.rlike(r"^[ \t]*class[ \t]").alias("is_class"),
+        line.rlike(r"^[ \t]*[)\]}]").alias("bracket"),
     )
     in_file = Window.partitionBy("file_id").orderBy("pos")
-    lines = (
-        lines.withColumn("before", F.lag("pos").over(in_file))
-        .withColumn("last_pos", F.max("pos").over(Window.partitionBy("file_id")))
+    per_file = Window.partitionBy("file_id")
+    lines = lines.withColumns(
+        {
+            "pos_before": F.lag("pos").over(in_file),
+            "at_before": F.lag("end_at").over(in_file),
+            "last_pos": F.max("pos").over(per_file),
+            "last_at": F.max("end_at").over(per_file),
+            "any": F.max("definition").over(per_file),
+        }
+    )
+    # The first line of a file without definitions stands for the module: no line
+    # reaches its level, so it ends with the file.
+    module = ~F.col("any") & F.col("pos_before").isNull()
+    lines = lines.filter(~F.col("bracket") | module).select(
+        "*",
+        (F.col("definition") | module).alias("header"),
+        F.when(module, -1).otherwise(F.col("indent")).alias("level"),
     )
-    closed = _closing_lines(lines.filter(~F.col("bracket")), "indent", "indent")
-    blocks = closed.select(
+    ended = _with_ends(lines, "level", "indent", {"end_pos": "pos_before", "cut_at": "at_before"})
+    return ended.select(
         "file_id",
         (F.col("pos") + 1).cast("long").alias("start_line"),
         (F.coalesce("end_pos", "last_pos") + 1).cast("long").alias("end_line"),
-        F.when(F.col("is_class"), "class_definition").otherwise("function_definition").alias("type"),
-    )
-    modules = (
-        lines.groupBy("file_id")
-        .agg(
-            (F.min("pos") + 1).cast("long").alias("start_line"),
-            (F.max("pos") + 1).cast("long").alias("end_line"),
-            F.bool_or("header").alias("has_blocks"),
-        )
-        .filter(~F.col("has_blocks"))
-        .select("file_id", "start_line", "end_line", F.lit("module").alias("type"))
+        "start_at",
+        F.coalesce("cut_at", "last_at").alias("end_at"),
+        F.when(~F.col("definition"), "module")
+        .when(F.col("is_class"), "class_definition")
+        .otherwise("function_definition")
+        .alias("type"),
     )
-    return _slices(blocks.unionByName(modules), files)
+
+
+def python_blocks(files: DataFrame) -> DataFrame:
+    """Classes and functions at every depth, nested ones as well as their parents.
+
+    ``files(file_id, path, text)`` -> ``file_id, path, start_line, end_line, type, text``.
+    A file without any gives one ``module`` row. A line that opens with a closing
+    bracket never ends a block; dedented text inside a multi-line string does.
+    """
+    return _with_files(_python_rows(files), files).select(*BLOCK_COLUMNS)
 
 
 # Control words that look like a method header when a bracket follows them.
@@ -165,65 +175,75 @@ def _count(line: Column, char: str) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(char), F.lit("")))
 
 
-def script_blocks(files: DataFrame) -> DataFrame:
-    """Classes, functions, methods and arrow functions of brace languages.
-
-    A block runs from its header to the line where the brace depth is back at the
-    header's. Limits: the opening brace stands on the header line, and a template
-    string does not span lines.
-    """
+def _script_rows(files: DataFrame) -> DataFrame:
     in_file = Window.partitionBy("file_id").orderBy("pos")
+    per_file = Window.partitionBy("file_id")
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    bare = F.col("bare")
     lines = (
-        files.select("file_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        _lines(files)
         .withColumn("bare", _bare_line(F.col("line")))
-        .withColumn("opens", F.col("bare").contains("/*").cast("int"))
-        .withColumn("closes", F.col("bare").contains("*/").cast("int"))
+        .withColumn("opens", bare.contains("/*").cast("int"))
+        .withColumn("closes", bare.contains("*/").cast("int"))
         .withColumn(
-            "in_comment",
-            F.coalesce(
-                F.sum(F.col("opens") - F.col("closes")).over(
-                    in_file.rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            )
-            > 0,
+            "in_comment", F.coalesce(F.sum(F.col("opens") - F.col("closes")).over(before), F.lit(0)) > 0
         )
         .withColumn(
             "bare",
             F.when(
                 F.col("in_comment"),
-                F.when(F.col("closes") > 0, F.regexp_replace("bare", r"^.*?\*/", "")).otherwise(""),
-            ).otherwise(F.regexp_replace("bare", r"/\*.*$", "")),
+                F.when(F.col("closes") > 0, F.regexp_replace(bare, r"^.*?\*/", "")).otherwise(""),
+            ).otherwise(F.regexp_replace(bare, r"/\*.*$", "")),
         )
-        .withColumn("change", _count(F.col("bare"), "{") - _count(F.col("bare"), "}"))
+        .withColumn("change", _count(bare, "{") - _count(bare, "}"))
         .withColumn("depth", F.sum("change").over(in_file).cast("int"))
         .withColumn("level", (F.col("depth") - F.col("change")).cast("int"))
     )
-    bare = F.col("bare")
     kind = (
         F.when(bare.rlike(_CLASS), "class_declaration")
         .when(bare.rlike(_FUNCTION), "function_declaration")
         .when(bare.rlike(_METHOD) & ~bare.rlike(_CONTROL), "method_definition")
         .when(bare.rlike(_ARROW), "arrow_function")
     )
-    rows = (
-        lines.select("file_id", "pos", "depth", "level", kind.alias("type"))
-        .withColumn("header", F.col("type").isNotNull())
-        .withColumn("before", F.lag("pos").over(in_file))
-        .withColumn("last_pos", F.max("pos").over(Window.partitionBy("file_id")))
+    lines = lines.select("file_id", "pos", "start_at", "end_at", "depth", "level", kind.alias("kind"))
+    lines = lines.withColumns(
+        {
+            "any": F.max(F.col("kind").isNotNull()).over(per_file),
+            "last_pos": F.max("pos").over(per_file),
+            "last_at": F.max("end_at").over(per_file),
+        }
+    )
+    none = ~F.col("any") & (F.col("pos") == 0)
+    lines = lines.select(
+        "*",
+        F.when(none, NO_BLOCK).otherwise(F.col("kind")).alias("type"),
+        (none | F.col("kind").isNotNull()).alias("header"),
     )
     # A header that closes on its own line ends there; any other waits for the next
     # line that brings the depth back down.
-    end_pos = F.when(F.col("depth") <= F.col("level"), F.col("pos")).otherwise(
-        F.coalesce("close_pos", "last_pos")
-    )
-    blocks = _closing_lines(rows, "level", "depth").select(
+    ended = _with_ends(lines, "level", "depth", {"close_pos": "pos", "close_at": "end_at"})
+    at_once = F.col("depth") <= F.col("level")
+    return ended.select(
         "file_id",
         (F.col("pos") + 1).cast("long").alias("start_line"),
-        (end_pos + 1).cast("long").alias("end_line"),
+        (F.when(at_once, F.col("pos")).otherwise(F.coalesce("close_pos", "last_pos")) + 1)
+        .cast("long")
+        .alias("end_line"),
+        "start_at",
+        F.when(at_once, F.col("end_at")).otherwise(F.coalesce("close_at", "last_at")).alias("end_at"),
         "type",
     )
-    return _slices(blocks, files)
+
+
+def script_blocks(files: DataFrame) -> DataFrame:
+    """Classes, functions, methods and arrow functions of brace languages.
+
+    A block runs from its header to the line where the brace depth is back at the
+    header's. Limits: whole lines, the opening brace stands on the header line, and a
+    template string does not span lines.
+    """
+    rows = _script_rows(files).filter(F.col("type") != NO_BLOCK)
+    return _with_files(rows, files).select(*BLOCK_COLUMNS)
 
 
 def file_chunks(
@@ -240,14 +260,30 @@ def file_chunks(
     code = files.filter(is_code(path))
     python = code.filter(language(path) == "python")
     script = code.filter(language(path).isin("javascript", "typescript"))
-    blocks = python_blocks(python).unionByName(script_blocks(script))
-    rest = code.join(blocks.select("file_id").distinct(), "file_id", "left_anti")
-    windows = rest.select(
-        "file_id", "path", F.inline(chunking.line_window_column(F.col("text"), window_lines))
-    ).withColumn("type", F.lit("fallback_chunk"))
+    other = code.filter(language(path).isNull())
+
+    def windows(text: Column) -> Column:
+        return F.transform(
+            chunking.line_window_column(text, window_lines),
+            lambda w: F.struct(
+                w["start_line"].alias("start_line"),
+                w["end_line"].alias("end_line"),
+                F.lit("fallback_chunk").alias("type"),
+                w["text"].alias("text"),
+            ),
+        )
+
+    block = F.array(F.struct("start_line", "end_line", "type", "text"))
+    scripts = _with_files(_script_rows(script), script).select(
+        "file_id",
+        "path",
+        F.inline(F.when(F.col("type") == NO_BLOCK, windows(F.col("source_text"))).otherwise(block)),
+    )
+    plain = other.select("file_id", "path", F.inline(windows(F.col("text"))))
     packed = (
         chunking.paragraph_pack(files.filter(~is_code(path)), ["file_id", "path"], max_tokens)
         .drop("n_tokens")
         .withColumn("type", F.lit("document_chunk"))
     )
-    return blocks.unionByName(windows).unionByName(packed, allowMissingColumns=True)
+    blocks = python_blocks(python).unionByName(scripts).unionByName(plain)
+    return blocks.unionByName(packed, allowMissingColumns=True)

@@ -213,17 +213,14 @@ def local_parts(
     )
 
 
-def global_relations(
-    terms: DataFrame, nodes: DataFrame, edges: DataFrame, total: Column, max_k: int | None = None
-) -> DataFrame:
-    """A query's relations: the profile of a relation is the names of its two ends."""
+def term_scores(terms: DataFrame, nodes: DataFrame, total: Column) -> DataFrame:
+    """``query_id, top_k, term, score`` of the query terms that are entities."""
     weight = (1 + F.log("tf")) * F.log(total / F.col("n_sources"))
-    scores = (
+    return (
         nodes.select(F.col("id").alias("term"), "n_sources")
         .join(terms, "term")
         .select("query_id", "top_k", "term", weight.alias("score"))
     )
-    return rank_edges(edges, scores, max_k)
 
 
 def global_parts(relations: DataFrame, pairs: DataFrame, max_k: int | None = None) -> DataFrame:
@@ -283,49 +280,46 @@ def no_hits(queries: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-# Query vectors handed to every task stay below this many bytes.
+# Query vectors handed to every task stay below this many bytes, and a task scores one
+# batch of its vectors against this many of them at a time.
 QUERY_BLOCK_BYTES = 64 << 20
+QUERIES_AT_ONCE = 256
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, items: np.ndarray, k: int) -> pd.DataFrame:
+    """The pairs that can be among the ``k`` best of their query, ties included."""
+    if scores.shape[1] > k:
+        limit = np.partition(scores, -k, axis=1)[:, -k]
+    else:
+        limit = np.full(len(ids), -np.inf)
+    q, i = np.nonzero(scores >= limit[:, None])
+    return pd.DataFrame({"query_id": ids[q], "item_id": items[i], "score": scores[q, i]})
 
 
 def _local_top(block: list[tuple[int, list[float]]], k: int):
     """A ``mapInPandas`` function: the ``k`` best of one task's vectors for each query."""
     ids = np.array([q for q, _ in block], dtype=np.int64)
-    base = np.array([v for _, v in block], dtype=np.float64)
-    if not block:
-        base = np.zeros((0, 1))
+    base = np.array([v for _, v in block], dtype=np.float64) if block else np.zeros((0, 1))
     length = np.linalg.norm(base, axis=1)
     ids, base = ids[length > 0], base[length > 0] / length[length > 0, None]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = pd.DataFrame(
-            {
-                "query_id": pd.Series(dtype="int64"),
-                "item_id": pd.Series(dtype="int64"),
-                "score": pd.Series(dtype="float64"),
-            }
-        )
+        best: list[pd.DataFrame] = []
         for pdf in batches:
             if pdf.empty or not len(ids):
                 continue
             m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
             size = np.linalg.norm(m, axis=1)
-            keep = size > 0
-            item = pdf["item_id"].to_numpy()[keep]
-            scores = np.round(base @ (m[keep] / size[keep, None]).T, 6)
-            fresh = pd.DataFrame(
-                {
-                    "query_id": np.repeat(ids, len(item)),
-                    "item_id": np.tile(item, len(ids)),
-                    "score": scores.ravel(),
-                }
-            )
-            best = (
-                pd.concat([best, fresh])
-                .sort_values(["query_id", "score", "item_id"], ascending=[True, False, True])
-                .groupby("query_id")
-                .head(k)
+            items = pdf["item_id"].to_numpy()[size > 0]
+            unit = (m[size > 0] / size[size > 0, None]).T
+            for at in range(0, len(ids), QUERIES_AT_ONCE):
+                part = slice(at, at + QUERIES_AT_ONCE)
+                best.append(_best(np.round(base[part] @ unit, 6), ids[part], items, k))
+            merged = pd.concat(best).sort_values(
+                ["query_id", "score", "item_id"], ascending=[True, False, True]
             )
-        yield best
+            best = [merged.groupby("query_id").head(k)]
+        yield from best
 
     return run
 

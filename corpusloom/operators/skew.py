@@ -37,15 +37,16 @@ def salted_join(
     """``big JOIN keyed`` on ``key`` where ``big`` may have hot keys.
 
     Rows of a hot key are spread over ``salts`` tasks and only the hot rows of
-    ``keyed`` are repeated to meet them; every other row keeps salt 0. ``how`` is one
-    of inner, left, left_semi, left_anti.
+    ``keyed`` are repeated to meet them; every other row keeps salt 0. The salt is a
+    hash of the row, so a task that is run again sends its rows to the same places.
+    ``how`` is one of inner, left, left_semi, left_anti.
     """
     hot = (hot if hot is not None else hot_keys(big, key, min_rows)).select(
         F.col(key).alias("_hot")
     )
     hot = F.broadcast(hot)
     spread = F.when(
-        F.col("_hot").isNotNull(), F.floor(F.rand(17) * salts).cast("int")
+        F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
     ).otherwise(F.lit(0))
     repeat = F.when(
         F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))

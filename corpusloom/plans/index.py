@@ -49,8 +49,8 @@ def build(docs: DataFrame, gazetteer: DataFrame, max_tokens: int) -> Index:
     found = stored(
         graph.mentions(chunks, stored(gazetteer, "gazetteer")), "mentions", bucket_by="chunk_id"
     )
-    sources = stored(graph.entity_sources(found), "entity-sources")
-    pairs = stored(graph.relation_pairs(found), "relation-pairs")
+    sources = stored(graph.entity_sources(found), "entity-sources", bucket_by="chunk_id")
+    pairs = stored(graph.relation_pairs(found), "relation-pairs", bucket_by="chunk_id")
     nodes = stored(graph.entity_merge(sources), "nodes")
     edges = stored(graph.relation_merge(pairs), "edges")
     return Index(chunks, vectors, sources, pairs, nodes, edges)

@@ -45,10 +45,8 @@ def global_(index: Index, queries: DataFrame) -> DataFrame:
     """Relations the query touches, their endpoints and the chunks that show them."""
     k = _largest_limit(queries)
     terms = retrieval.query_terms(queries)
-    relations = stored(
-        retrieval.global_relations(terms, index.nodes, index.edges, index.total, k),
-        "query-relations",
-    )
+    scores = stored(retrieval.term_scores(terms, index.nodes, index.total), "query-scores")
+    relations = stored(retrieval.rank_edges(index.edges, scores, k), "query-relations")
     return retrieval.global_parts(relations, index.pairs, k)
 
 

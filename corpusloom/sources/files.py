@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import routing
+from corpusloom.operators.skew import salted_join
 from corpusloom.session import stored
 
 MAX_FOLDER_DEPTH = 64
@@ -127,7 +128,8 @@ def expand_paths(requested: DataFrame, found: DataFrame) -> DataFrame:
     wanted = requested.filter(~routing.urls.is_http(F.col("item"))).select(
         "item", F.regexp_replace("item", "/+$", "").alias("_key")
     )
-    return wanted.join(offered.withColumnRenamed("item", "_key"), "_key").select("item", "path")
+    # A top folder is offered by every file below it.
+    return salted_join(offered.withColumnRenamed("item", "_key"), wanted, "_key").select("item", "path")
 
 
 def invalid_paths(requested: DataFrame, found: DataFrame) -> DataFrame:

@@ -49,8 +49,9 @@ def write_chunk_summary(records: DataFrame, path: str) -> None:
 
 
 def unseen(chunks: DataFrame, store: DataFrame) -> DataFrame:
-    """Chunks whose id the store does not hold; only its id column is read."""
-    return chunks.join(store.select("chunk_id"), "chunk_id", "left_anti")
+    """Chunks whose id the store does not hold; only its id column is read, and copies of
+    one id are merged before they move."""
+    return chunks.join(store.select("chunk_id").distinct(), "chunk_id", "left_anti")
 
 
 def insert_chunks(chunks: DataFrame, store: DataFrame | None, path: str) -> None:

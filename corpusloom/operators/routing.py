@@ -1,7 +1,8 @@
 """Route each input item to the treatment that takes it first.
 
-A treatment is registered with a predicate column and a function on DataFrames; the
-registry becomes one CASE over the manifest, so routing is a projection.
+A treatment is registered with a predicate column and works on columns or on a
+DataFrame. The registry becomes one CASE over the manifest, so routing, and every
+treatment that works on columns, is a projection.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from corpusloom.functions import text as tx
 from corpusloom.functions import urls
 from corpusloom.options import Options
 
-Treatment = Callable[[DataFrame, Options], DataFrame]
+Predicate = Callable[[Column, Column], Column]
+RowTreatment = Callable[[Column, Options], Column]
+TableTreatment = Callable[[DataFrame, Options], DataFrame]
 
 # What is skipped in a repository working tree.
 SKIP_SUFFIXES = (
@@ -82,14 +85,28 @@ def kind_of(item: Column) -> Column:
     return F.when(urls.is_http(item), "url").otherwise("file")
 
 
-def error_result(item: Column, message: Column) -> list[Column]:
-    return [
+def _row(item: Column, files: Column, metadata: Column, success: Column, error: Column) -> Column:
+    return F.struct(
         item.alias("item"),
-        F.array().cast("array<string>").alias("files"),
-        F.create_map().cast("map<string,string>").alias("metadata"),
-        F.lit(False).alias("success"),
-        message.alias("error"),
-    ]
+        files.cast("array<string>").alias("files"),
+        metadata.cast("map<string,string>").alias("metadata"),
+        success.alias("success"),
+        error.cast("string").alias("error"),
+    )
+
+
+def error_row(item: Column, message: Column) -> Column:
+    """A failed result as a struct."""
+    return _row(item, F.array(), F.create_map(), F.lit(False), message)
+
+
+def result_row(item: Column, files: Column, metadata: Column) -> Column:
+    """A result as a struct; it succeeds when it names at least one file."""
+    return _row(item, files, metadata, F.size(files) > 0, F.lit(None))
+
+
+def as_results(df: DataFrame, row: Column) -> DataFrame:
+    return df.select(row.alias("row")).select("row.*")
 
 
 def no_processor(item: Column) -> Column:
@@ -100,87 +117,95 @@ def invalid_path(item: Column) -> Column:
     return F.concat(F.lit("Invalid input path: "), item)
 
 
-def result(item: Column, files: Column, metadata: Column) -> list[Column]:
-    """A result succeeds when it names at least one file."""
-    return [
-        item.alias("item"),
-        files.alias("files"),
-        metadata.cast("map<string,string>").alias("metadata"),
-        (F.size(files) > 0).alias("success"),
-        F.lit(None).cast("string").alias("error"),
-    ]
-
-
-def pdf_results(items: DataFrame, options: Options) -> DataFrame:
+def pdf_result(item: Column, options: Options) -> Column:
     """PDF text needs a converter the caller supplies; without one the row is an error."""
-    item = F.col("item")
-    return items.select(
-        *error_result(item, F.concat(F.lit("Error processing PDF "), item, F.lit(": no converter given")))
-    )
+    return error_row(item, F.concat(F.lit("Error processing PDF "), item, F.lit(": no converter given")))
 
 
-def git_results(items: DataFrame, options: Options) -> DataFrame:
-    item = F.col("item")
+def git_result(item: Column, options: Options) -> Column:
     bad = F.concat(F.lit("Invalid Git repository URL: "), item)
     absent = F.concat(F.lit("Error processing Git repository: no working tree for "), item)
-    return items.select(*error_result(item, F.when(urls.git_url_valid(item), absent).otherwise(bad)))
+    return error_row(item, F.when(urls.git_url_valid(item), absent).otherwise(bad))
+
 
+def url_result(item: Column, options: Options) -> Column:
+    return result_row(item, F.array(item), F.create_map())
 
-def url_results(items: DataFrame, options: Options) -> DataFrame:
-    item = F.col("item")
-    return items.select(*result(item, F.array(item), F.create_map().cast("map<string,string>")))
+
+@dataclass(frozen=True)
+class Entry:
+    source_type: str
+    predicate: Predicate
+    row: RowTreatment | None = None
+    table: TableTreatment | None = None
 
 
 @dataclass
 class Registry:
     """Treatments in order of registration: the first whose predicate holds takes the item."""
 
-    entries: list[tuple[str, Callable[[Column, Column], Column], Treatment]] = field(
-        default_factory=list
-    )
+    entries: list[Entry] = field(default_factory=list)
 
     def register(
-        self, source_type: str, predicate: Callable[[Column, Column], Column], treatment: Treatment
+        self,
+        source_type: str,
+        predicate: Predicate,
+        row: RowTreatment | None = None,
+        table: TableTreatment | None = None,
     ) -> Registry:
-        self.entries.append((source_type, predicate, treatment))
+        """``row`` makes the result from the item's columns, ``table`` from all its items."""
+        if (row is None) == (table is None):
+            raise ValueError("give either a row or a table treatment")
+        self.entries.append(Entry(source_type, predicate, row, table))
         return self
 
-    def replace(self, source_type: str, treatment: Treatment) -> Registry:
+    def replace(
+        self, source_type: str, row: RowTreatment | None = None, table: TableTreatment | None = None
+    ) -> Registry:
         """The same rules with another treatment for one source type."""
-        return Registry(
-            [(t, p, treatment if t == source_type else old) for t, p, old in self.entries]
-        )
+        changed = Registry()
+        for e in self.entries:
+            if e.source_type == source_type:
+                changed.register(source_type, e.predicate, row, table)
+            else:
+                changed.register(e.source_type, e.predicate, e.row, e.table)
+        return changed
 
     def source_type(self, item: Column, kind: Column) -> Column:
         route = F.lit(None).cast("string")
-        for name, predicate, _ in reversed(self.entries):
-            route = F.when(predicate(item, kind), name).otherwise(route)
+        for e in reversed(self.entries):
+            route = F.when(e.predicate(item, kind), e.source_type).otherwise(route)
         return route
 
     def route(self, manifest: DataFrame) -> DataFrame:
         return manifest.withColumn("source_type", self.source_type(F.col("item"), F.col("kind")))
 
     def process(self, manifest: DataFrame, options: Options | None = None) -> DataFrame:
-        """Results of every item; an item nobody takes becomes an error row."""
+        """Results of every item; an item nobody takes becomes an error row.
+
+        All row treatments share one pass over the manifest; each table treatment
+        reads its own items.
+        """
         options = options or Options()
         routed = self.route(manifest)
-        item = F.col("item")
-        parts = [
-            treatment(routed.filter(F.col("source_type") == name), options)
-            for name, _, treatment in self.entries
-        ]
-        parts.append(
-            routed.filter(F.col("source_type").isNull()).select(*error_result(item, no_processor(item)))
-        )
-        return reduce(DataFrame.unionByName, parts)
+        item, kind = F.col("item"), F.col("source_type")
+        row = error_row(item, no_processor(item))
+        for e in self.entries:
+            if e.row is not None:
+                row = F.when(kind == e.source_type, e.row(item, options)).otherwise(row)
+        tables = [e for e in self.entries if e.table is not None]
+        names = [e.source_type for e in tables]
+        rest = routed.filter(kind.isNull() | ~kind.isin(*names)) if names else routed
+        parts = [e.table(routed.filter(kind == e.source_type), options) for e in tables]
+        return reduce(DataFrame.unionByName, parts, as_results(rest, row))
 
 
 def default_registry() -> Registry:
     return (
         Registry()
-        .register("pdf", takes_pdf, pdf_results)
-        .register("git", takes_git, git_results)
-        .register("url", takes_url, url_results)
+        .register("pdf", takes_pdf, pdf_result)
+        .register("git", takes_git, git_result)
+        .register("url", takes_url, url_result)
     )
 
 

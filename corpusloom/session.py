@@ -50,6 +50,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
 
 
+# Buckets of a stored table are not cut smaller than this, cores permitting.
+BUCKET_BYTES = 32 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the size of ``df``."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def stored(df: DataFrame, name: str, bucket_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -63,7 +72,10 @@ def stored(df: DataFrame, name: str, bucket_by: str | None = None) -> DataFrame:
     if bucket_by is None:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        max(spark.sparkContext.defaultParallelism, 1 + estimated_bytes(df) // BUCKET_BYTES),
+    )
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     (
         df.repartition(n, bucket_by)
@@ -86,5 +98,5 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     costs little; a large table has row groups enough and is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * SPREAD_BYTES_PER_CORE else df
+    small = estimated_bytes(df) < cores * SPREAD_BYTES_PER_CORE
+    return df.repartition(cores, key) if small else df

@@ -138,7 +138,7 @@ def invalid_paths(requested: DataFrame, found: DataFrame) -> DataFrame:
     missing = requested.filter(~routing.urls.is_http(item)).join(
         expand_paths(requested, found).select("item").distinct(), "item", "left_anti"
     )
-    return missing.select(*routing.error_result(item, routing.invalid_path(item)))
+    return routing.as_results(missing, routing.error_row(item, routing.invalid_path(item)))
 
 
 def input_manifest(requested: DataFrame, found: DataFrame) -> DataFrame:
@@ -164,8 +164,7 @@ def repository_files(spark: SparkSession, root: str) -> DataFrame:
 
 def repository_results(repo_url: str, files: DataFrame) -> DataFrame:
     """Per file results of a repository: one row per file, with the repository's URL."""
-    return files.select(
-        *routing.result(
-            F.lit(repo_url), F.array("path"), F.create_map(F.lit("repo_url"), F.lit(repo_url))
-        )
+    row = routing.result_row(
+        F.lit(repo_url), F.array("path"), F.create_map(F.lit("repo_url"), F.lit(repo_url))
     )
+    return routing.as_results(files, row)

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from corpusloom import schemas
+from corpusloom.functions import hooks
 from corpusloom.functions import text as tx
 from corpusloom.operators import chatlog, chunking, code, context, graph, retrieval, skew, summaries
 from corpusloom.plans import ingest as runs
@@ -423,3 +424,13 @@ def test_process_run(spark, tmp_path):
     assert [r.text for r in spark.read.parquet(store).collect()] == ["one two\nthree"]
     record = spark.read.json(str(tmp_path / "out/chunks")).first()
     assert record.source_file == "https://x.org/1" and record.chunks == ["one two\nthree"]
+
+
+def test_hooks(spark, rows):
+    df = spark.createDataFrame([(1, "a bb"), (2, "ccc")], "id BIGINT, text STRING")
+    vectors = df.select("id", hooks.embed(F.col("text"), lambda: lambda texts: [[len(t), 1.0] for t in texts]).alias("v"))
+    assert rows(vectors) == [(1, [4.0, 1.0]), (2, [3.0, 1.0])]
+    counts = df.select("id", hooks.count_tokens(F.col("text"), lambda: lambda t: len(t.split())))
+    assert rows(counts) == [(1, 2), (2, 1)]
+    named = hooks.map_batches(df, lambda: lambda b: b.assign(name=b["text"].str.upper())[["id", "name"]], "id BIGINT, name STRING")
+    assert rows(named) == [(1, "A BB"), (2, "CCC")]

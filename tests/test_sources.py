@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from corpusloom import schemas
 from corpusloom.functions import text as tx
 from corpusloom.functions import urls
@@ -33,18 +34,23 @@ def test_routing(spark, rows):
 def test_registry_order_and_replacement(spark, rows):
     df = spark.createDataFrame([("a.pdf", "file"), ("b.txt", "file")], schemas.MANIFEST)
 
-    def read(items, options):
-        item = F.col("item")
-        return items.select(*routing.result(item, F.array(item), F.create_map(F.lit("file_type"), F.lit("pdf"))))
+    def read(item, options):
+        return routing.result_row(item, F.array(item), F.create_map(F.lit("file_type"), F.lit("pdf")))
 
-    done = routing.default_registry().replace("pdf", read).process(df, Options())
-    assert rows(done, "item", "success", "error") == [
-        ("a.pdf", True, None),
-        ("b.txt", False, "No processor found for b.txt"),
-    ]
-    first = routing.Registry().register("any", lambda i, k: F.lit(True), routing.url_results)
-    first.register("pdf", routing.takes_pdf, routing.pdf_results)
+    expected = [("a.pdf", True, None), ("b.txt", False, "No processor found for b.txt")]
+    by_row = routing.default_registry().replace("pdf", row=read)
+    by_table = routing.default_registry().replace(
+        "pdf", table=lambda items, options: routing.as_results(items, read(F.col("item"), options))
+    )
+    for registry in (by_row, by_table):
+        done = registry.process(df, Options())
+        assert rows(done, "item", "success", "error") == expected
+        assert {r.metadata.get("file_type") for r in done.collect()} == {"pdf", None}
+    first = routing.Registry().register("any", lambda i, k: F.lit(True), routing.url_result)
+    first.register("pdf", routing.takes_pdf, routing.pdf_result)
     assert {r.source_type for r in first.route(df).collect()} == {"any"}
+    with pytest.raises(ValueError):
+        first.register("none", routing.takes_pdf)
 
 
 def test_git_urls(spark):

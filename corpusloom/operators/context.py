@@ -86,37 +86,59 @@ def quoted_split(line: Column) -> Column:
     return F.transform(F.split(F.array_join(pieces, '"'), mark), tx.strip)
 
 
-def entities(contexts: DataFrame) -> DataFrame:
-    """Entity rows in long form: ``query_id, row_no, col_no, column, value``.
-
-    The header names the columns; short rows are padded with '' and long ones cut.
-    """
+def _entity_lines(contexts: DataFrame) -> DataFrame:
+    """``query_id, row_no, header, fields`` of each data line of the entity section."""
     body = _unfenced(_section(F.col("context"), ENTITIES, RELATIONSHIPS))
-    lines = (
+    header = F.split(tx.strip(F.get("lines", F.lit(0))), ",")
+    return (
         contexts.filter(F.col("context").contains(ENTITIES))
         .select("query_id", F.split(body, "\n").alias("lines"))
         .select(
             "query_id",
-            F.transform(F.split(tx.strip(F.get("lines", F.lit(0))), ","), tx.strip).alias("header"),
+            F.transform(header, tx.strip).alias("header"),
             F.posexplode("lines").alias("row_no", "line"),
         )
         .filter((F.col("row_no") > 0) & tx.not_blank(F.col("line")))
-        .withColumn("fields", quoted_split(F.col("line")))
+        .select(
+            "query_id",
+            F.col("row_no").cast("long").alias("row_no"),
+            "header",
+            quoted_split(F.col("line")).alias("fields"),
+        )
     )
-    return lines.select(
-        "query_id",
-        F.col("row_no").cast("long").alias("row_no"),
-        "fields",
-        F.posexplode("header").alias("col_no", "column"),
-    ).select(
-        "query_id",
-        "row_no",
-        (F.col("col_no") + 1).cast("long").alias("col_no"),
-        "column",
-        F.coalesce(F.get("fields", F.col("col_no")), F.lit("")).alias("value"),
+
+
+def entities(contexts: DataFrame) -> DataFrame:
+    """Entity rows in long form: ``query_id, row_no, col_no, column, value``.
+
+    Each context's header names its columns; short rows are padded with '' and long
+    ones cut.
+    """
+    return (
+        _entity_lines(contexts)
+        .select("query_id", "row_no", "fields", F.posexplode("header").alias("col_no", "column"))
+        .select(
+            "query_id",
+            "row_no",
+            (F.col("col_no") + 1).cast("long").alias("col_no"),
+            "column",
+            F.coalesce(F.get("fields", F.col("col_no")), F.lit("")).alias("value"),
+        )
     )
 
 
+def entity_table(contexts: DataFrame, columns: list[str]) -> DataFrame:
+    """Entity rows with ``columns`` looked up in each context's header; null where a
+    header does not have one."""
+
+    def value(name: str) -> Column:
+        place = F.array_position("header", F.lit(name)).cast("int")
+        padded = F.coalesce(F.get("fields", place - 1), F.lit(""))
+        return F.when(place > 0, padded).alias(name)
+
+    return _entity_lines(contexts).select("query_id", "row_no", *[value(c) for c in columns])
+
+
 def logical_lines(text: Column) -> Column:
     """Lines of CSV text, with a line break inside quotes kept in its line."""
 

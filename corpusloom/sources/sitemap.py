@@ -30,10 +30,6 @@ def well_formed(xml: Column) -> Column:
     return F.coalesce(xml.isNotNull() & parsed["_bad"].isNull() & parsed.isNotNull(), F.lit(False))
 
 
-def _xpath(xml: Column, query: str) -> Column:
-    return F.when(well_formed(xml), F.xpath(xml, F.lit(query)))
-
-
 def flat(sites: DataFrame, snapshots: DataFrame, filename: str = "sitemap.xml") -> DataFrame:
     """``base_url, pos, url, error`` of each site's own sitemap.
 
@@ -42,10 +38,10 @@ def flat(sites: DataFrame, snapshots: DataFrame, filename: str = "sitemap.xml")
     """
     joined = sites.select(
         "base_url", urls.sitemap_address(F.col("base_url"), filename).alias("sitemap_url")
-    ).join(snapshots, "sitemap_url", "left")
+    ).join(snapshots, "sitemap_url", "left").withColumn("ok", well_formed(F.col("xml")))
     xml = F.col("xml")
-    found = F.when(xml.isNull(), F.array(urls.base_address(F.col("base_url")))).otherwise(
-        _xpath(xml, _FLAT)
+    found = F.when(xml.isNull(), F.array(urls.base_address(F.col("base_url")))).when(
+        F.col("ok"), F.xpath(xml, F.lit(_FLAT))
     )
     parsed = joined.select("base_url", found.alias("found"))
     good = parsed.select("base_url", F.posexplode("found").alias("pos", "url")).select(
@@ -61,19 +57,20 @@ def flat(sites: DataFrame, snapshots: DataFrame, filename: str = "sitemap.xml")
 
 
 def read_snapshots(snapshots: DataFrame) -> DataFrame:
-    """Parse each snapshot once: ``sitemap_url, children, pages``.
+    """What each snapshot lists: ``sitemap_url, children, pages``.
 
     ``children`` is null unless the document is an index. A document that does not
-    parse, or does not declare the namespace, lists nothing.
+    parse, or does not declare the namespace, lists nothing and is left out.
     """
     xml = F.col("xml")
-    known = F.col("xml").rlike(r'xmlns(?::\w+)?\s*=\s*["\']' + SITEMAP_NAMESPACE.replace(".", r"\.") + '["\']')
-    guarded = lambda q: F.when(known, _xpath(xml, q))
-    is_index = F.when(known & well_formed(xml), F.xpath_boolean(xml, F.lit(_INDEX)))
-    return snapshots.select(
+    space = SITEMAP_NAMESPACE.replace(".", r"\.")
+    known = xml.rlike(rf'xmlns(?::\w+)?\s*=\s*["\']{space}["\']')
+    readable = snapshots.filter(known).filter(well_formed(xml))
+    checked = readable.withColumn("is_index", F.xpath_boolean(xml, F.lit(_INDEX)))
+    return checked.select(
         "sitemap_url",
-        F.when(is_index, guarded(_INDEX + "/text()")).alias("children"),
-        F.when(~is_index, guarded(_PAGES + "/text()")).alias("pages"),
+        F.when(F.col("is_index"), F.xpath(xml, F.lit(_INDEX + "/text()"))).alias("children"),
+        F.when(~F.col("is_index"), F.xpath(xml, F.lit(_PAGES + "/text()"))).alias("pages"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,18 +36,21 @@ def start_ingest(
 ) -> StreamingQuery:
     """Append the unseen chunks of each micro-batch to ``store``.
 
-    A batch writes its own folder ``batch=<id>`` and looks only at the folders of
-    earlier batches, so a replay after a failure rewrites the same rows.
+    A batch writes its own folder, named after the stream's checkpoint and the batch
+    id, and compares itself with all other folders, so a replay after a failure
+    rewrites the same rows and a second stream into the store adds to it.
     """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        part = f"{stream}-{batch_id:09d}"
         new = chunking.unique_chunks(batch)
         if path_exists(spark, store):
             held = spark.read.option("basePath", store).parquet(store)
-            held = held.filter(F.col("batch") < batch_id).select("chunk_id")
+            held = held.filter(F.col("part") != part).select("chunk_id")
             new = new.join(held, "chunk_id", "left_anti")
-        new.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        new.write.mode("overwrite").parquet(f"{store}/part={part}")
 
     return (
         document_chunks(docs, max_tokens)
@@ -57,4 +62,4 @@ def start_ingest(
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.option("basePath", store).parquet(store).drop("batch")
+    return spark.read.option("basePath", store).parquet(store).drop("part")

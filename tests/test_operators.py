@@ -355,6 +355,14 @@ def test_context_entities(spark):
     }
 
 
+def test_context_entity_table(spark, rows):
+    text = "-----Entities-----\nid,name\n1,x\n2\n3,y,z"
+    df = spark.createDataFrame([(1, text)], schemas.CONTEXTS)
+    assert rows(context.entity_table(df, ["name", "id", "rank"])) == [
+        (1, 1, "x", "1", None), (1, 2, "", "2", None), (1, 3, "y", "3", None),
+    ]
+
+
 def test_context_relationships(spark, rows):
     good = '-----Relationships-----\n```csv\nid,source,target,description\n0,a,b,"one, ""two""\nthree"\n\n1,c,d\n```\n-----Sources-----'
     wide = "-----Relationships-----\nid,source\n0,a,b\n-----Sources-----"
@@ -410,6 +418,10 @@ def test_stream_equals_batch_over_several_runs(spark, rows, tmp_path):
         ingest.start_ingest(stream, store, state, 5).awaitTermination()
     batch = chunking.unique_chunks(ingest.document_chunks(docs, 5))
     assert rows(ingest.read_store(spark, store), "chunk_id") == rows(batch, "chunk_id")
+    # A second stream over the same files, with a state of its own, adds nothing.
+    stream = ingest.stream_documents(spark, folder, docs.schema, "*.parquet")
+    ingest.start_ingest(stream, store, state + "2", 5).awaitTermination()
+    assert rows(ingest.read_store(spark, store), "chunk_id") == rows(batch, "chunk_id")
 
 
 def test_process_run(spark, tmp_path):

@@ -47,17 +47,17 @@ def term_counts(word_array: Column) -> Column:
         )
 
     def count(a: Column) -> Column:
-        return let(
+        counted = let(
             F.filter(
                 F.sequence(F.lit(0), F.size(a) - 1),
                 lambda i: ~F.get(a, i).eqNullSafe(F.get(a, i - 1)),
             ),
             lambda starts: runs(a, starts),
         )
+        none = F.array().cast("array<struct<term:string,tf:bigint>>")
+        return F.when(F.size(a) > 0, counted).otherwise(none)
 
-    return F.when(F.size(word_array) > 0, let(F.sort_array(word_array), count)).otherwise(
-        F.array().cast("array<struct<term:string,tf:bigint>>")
-    )
+    return let(F.sort_array(word_array), count)
 
 
 def not_blank(text: Column) -> Column:

@@ -47,9 +47,9 @@ def with_modes(queries: DataFrame) -> DataFrame:
 
 def term_vectors(items: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, terms ARRAY<STRUCT<term, tf>>, norm``, without a shuffle."""
-    log_tf = lambda t: 1 + F.log(t["tf"])
+    square = lambda s, t: s + F.pow(1 + F.log(t["tf"]), 2)
     return items.select(key, tx.term_counts(tx.words(F.col(text))).alias("terms")).withColumn(
-        "norm", F.sqrt(F.aggregate("terms", F.lit(0.0), lambda s, t: s + log_tf(t) * log_tf(t)))
+        "norm", F.sqrt(F.aggregate("terms", F.lit(0.0), square))
     )
 
 

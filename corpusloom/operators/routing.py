@@ -61,6 +61,8 @@ SKIP_PARTS = (
 )
 REPOSITORY_PART = ".git"
 TEXT_PROBE = 1024
+# A text reader asked for TEXT_PROBE characters decodes a buffer of this many bytes.
+TEXT_BUFFER = 8192
 
 
 def takes_pdf(item: Column, kind: Column) -> Column:
@@ -216,21 +218,33 @@ def path_allowed(path: Column) -> Column:
     return ~F.arrays_overlap(parts, banned) & ~F.lower(tx.suffix(path)).isin(*SKIP_SUFFIXES)
 
 
-def looks_like_text(content: Column, characters: int = TEXT_PROBE) -> Column:
-    """The first ``characters`` of the file decode as UTF-8.
+# What the last one, two or three bytes of a buffer look like, in hex, when they are the
+# beginning of a character that goes on behind it.
+_OPEN_TAILS = {
+    1: r"^(?:C[2-9A-F]|D.|E.|F[0-4])$",
+    2: r"^(?:E.|F[0-4])[89AB].$",
+    3: r"^F[0-4][89AB].[89AB].$",
+}
 
-    A character takes at most four bytes. When the probe is shorter than the file its
-    last bytes may be half a character, so up to three may be left off.
-    """
-    size = 4 * characters
-    head = F.substring(content, 1, size)
 
-    def valid(cut: int) -> Column:
-        return F.is_valid_utf8(F.substring(content, 1, size - cut).cast("string"))
+def looks_like_text(content: Column) -> Column:
+    """Reading the first ``TEXT_PROBE`` characters as UTF-8 does not fail.
 
-    return F.when(F.length(content) <= size, F.is_valid_utf8(head.cast("string"))).otherwise(
-        valid(0) | valid(1) | valid(2) | valid(3)
-    )
+    A file with fewer characters is read to its end and has to be valid throughout. Any
+    other is judged by its first ``TEXT_BUFFER`` bytes, where a character cut off at the
+    end is not an error.
+    """
+    head = F.substring(content, 1, TEXT_BUFFER)
+    text = head.cast("string")
+    valid = F.is_valid_utf8(text)
+    open_end = F.lit(False)
+    for n, tail in _OPEN_TAILS.items():
+        size = F.length(head)
+        cut = F.substring(head, F.lit(1), size - n).cast("string")
+        open_end = open_end | (
+            F.hex(F.substring(head, size - n + 1, F.lit(n))).rlike(tail) & F.is_valid_utf8(cut)
+        )
+    return valid | ((F.length(text) >= TEXT_PROBE) & open_end)
 
 
 def processable_files(files: DataFrame) -> DataFrame:

@@ -104,7 +104,8 @@ def with_content(files: DataFrame, root: str) -> DataFrame:
 
 
 def text_of(content: Column) -> Column:
-    return F.decode(content, "UTF-8")
+    """UTF-8 text with every kind of line end as ``\\n``."""
+    return F.regexp_replace(F.decode(content, "UTF-8"), r"\r\n?", "\n")
 
 
 def code_files(files: DataFrame) -> DataFrame:

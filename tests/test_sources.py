@@ -99,7 +99,7 @@ def test_names(spark):
 
 
 def test_processable_files(spark, rows):
-    long_text = "x" * 4095 + "é" + "y" * 10
+    long_text = "x" * 8191 + "é" + "y" * 10
     cases = [
         (".git/config", b"x", False),
         ("a/node_modules/a.js", b"x", False),
@@ -110,7 +110,11 @@ def test_processable_files(spark, rows):
         ("ok.txt", "héllo".encode(), True),
         ("bad.txt", b"\xff\xfe", False),
         ("cut.txt", long_text.encode(), True),
-        ("late.txt", b"x" * 5000 + b"\xff", True),
+        ("late.txt", b"x" * 9000 + b"\xff", True),
+        ("early.txt", b"x" * 5000 + b"\xff" + b"x" * 5000, False),
+        ("edge.txt", b"x" * 8191 + b"\xff" + b"x", False),
+        ("short_cut.txt", b"x" * 10 + b"\xc3", False),
+        ("long_cut.txt", b"x" * 2000 + b"\xe2\x82", True),
         ("empty", b"", True),
     ]
     df = spark.createDataFrame([("r", p, bytearray(c)) for p, c, _ in cases], schemas.FILES)

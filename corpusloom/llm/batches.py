@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 8 << 20
 
@@ -39,5 +40,38 @@ def words(column: pa.Array, lower: bool = False) -> tuple[pa.DictionaryArray, np
     return flat.filter(filled).dictionary_encode(), kept[offsets - offsets[0]]
 
 
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit over all others."""
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(coded: pa.DictionaryArray) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    hashes = [xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
+    return np.array(hashes, np.uint64)[coded.indices.to_numpy()]
+
+
+def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each window of ``n`` words, regardless of where texts end."""
+    out = hashes[: max(0, len(hashes) - n + 1)].copy()
+    for i in range(1, n):
+        out = out * _BASE + hashes[i : len(hashes) - n + 1 + i]
+    return mix(out)
+
+
+def starts_of_grams(bounds: np.ndarray, n: int) -> np.ndarray:
+    """Places where a window of ``n`` words lies in one text, given where texts begin."""
+    inside = np.ones(bounds[-1], bool)
+    for i in range(1, n):
+        inside[np.maximum(bounds[1:] - i, bounds[:-1])[bounds[1:] > bounds[:-1]]] = False
+    return np.flatnonzero(inside)
+
+
 def record_batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))

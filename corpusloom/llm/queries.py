@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import line_dedup, secret_scan, token_counts
+from corpusloom.llm import kd_search, langid, line_dedup, packing, quality, secret_scan, token_counts, token_files
+from corpusloom.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,11 +24,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_language_id(spark, sf_dir):
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_quality_rules(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op4_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_retrieval_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_token_files(spark, sf_dir):
+    folder = new_path(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), folder)
+    return token_files.read_token_files(spark, folder, digest=True).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op7_kd_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    vectors = rows.select("vec_id", kd_search.quantised(F.col("embedding")).alias("vector"))
+    return kd_search.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+ORACLES["op7_kd_search"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 @query
 def op8_line_dedup(spark, sf_dir):
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import kd_search, langid, line_dedup, packing, quality, secret_scan, token_counts, token_files
+from corpusloom.llm import kd_search, langid, line_dedup, ngram_join, packing, quality, secret_scan, token_counts, token_files
 from corpusloom.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_language_id(spark, sf_dir):
     return langid.predict(table(spark, sf_dir, "documents"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import kd_search, langid, line_dedup, ngram_join, packing, quality, secret_scan, token_counts, token_files
+from corpusloom.llm import kd_search, langid, line_dedup, mixing, ngram_join, packing, quality, secret_scan, token_counts, token_files
 from corpusloom.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,3 +165,18 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN told ON d.doc_id = told.doc_id
 """
+
+
+@query
+def op10_source_mixing(spark, sf_dir):
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

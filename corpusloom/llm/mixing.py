@@ -117,43 +117,49 @@ def mix(
     rows is many tasks. Only row counts per source and stretch meet the driver or one task.
     """
     spark = docs.sparkSession
-    kept = docs.drop("mix_block", "mix_slot", "mix_position")
-    columns = kept.columns
+    columns = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_position")]
     key = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    order = F.xxhash64(F.col("doc_id"), key)
-    sizes = {r[0]: r[1] for r in kept.groupBy(key).count().limit(MAX_SOURCES + 1).collect()}
+    sizes = {r[0]: r[1] for r in docs.select(key.alias("source")).groupBy("source").count().limit(MAX_SOURCES + 1).collect()}
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; mix groups of sources instead")
     blocks = {s: -(-n // block_docs) for s, n in sizes.items()}
     told = plan(blocks, weights if weights is not None else default_weights(blocks), period)
     phases = spark.createDataFrame(
-        told, "_source string, _first long, _last long, _offset long, _period long, _slots array<int>"
+        told, "source string, first long, last long, offset long, period long, slots array<int>"
     )
-    stretches = spark.createDataFrame(
-        [(s, 1 + n // STRETCH_ROWS) for s, n in sizes.items()], "_source string, _stretches long"
+    stretches = spark.createDataFrame([(s, 1 + n // STRETCH_ROWS) for s, n in sizes.items()], "source string, stretches long")
+    # One struct keeps the columns of the input apart from those of the work.
+    plain = [f.name for f in docs.schema if f.name in columns and isinstance(f.dataType, AtomicType)]
+    rows = docs.select(
+        F.struct(*columns).alias("row"),
+        key.alias("source"),
+        F.col("doc_id").alias("doc_id"),
+        F.xxhash64(F.col("doc_id"), key).alias("order"),
+        F.xxhash64(*plain).alias("tie"),
     )
-    unit = (F.shiftrightunsigned(F.col("_order"), 11)).cast("double") / float(1 << 53)
-    plain = [f.name for f in kept.schema if isinstance(f.dataType, AtomicType)]
-    rows = kept.withColumn("_source", key).withColumn("_order", order).withColumn("_tie", F.xxhash64(*plain))
-    rows = rows.join(F.broadcast(stretches), "_source").withColumn("_stretch", F.floor(unit * F.col("_stretches")))
-    before = Window.partitionBy("_source").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("_source", "_stretch").count()
-    counts = counts.select("_source", "_stretch", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_source", "_stretch").orderBy("_order", "doc_id", "_tie")
-    numbered = rows.withColumn("_inside", F.row_number().over(inside) - 1).join(counts, ["_source", "_stretch"])
-    numbered = numbered.withColumn("_number", F.col("_base") + F.col("_inside"))
-    numbered = numbered.withColumn("mix_block", F.floor(F.col("_number") / block_docs))
+    unit = F.shiftrightunsigned(F.col("order"), 11).cast("double") / float(1 << 53)
+    rows = rows.join(F.broadcast(stretches), "source").withColumn("stretch", F.floor(unit * F.col("stretches")))
+    before = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("source", "stretch").count()
+    counts = counts.select("source", "stretch", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("source", "stretch").orderBy("order", "doc_id", "tie")
+    numbered = rows.withColumn("inside", F.row_number().over(inside) - 1).join(counts, ["source", "stretch"])
+    numbered = numbered.withColumn("number", F.col("base") + F.col("inside"))
+    numbered = numbered.withColumn("block", F.floor(F.col("number") / block_docs))
     found = numbered.join(
-        F.broadcast(phases.withColumnRenamed("_source", "_phase_source")),
-        (F.col("_source") == F.col("_phase_source")) & F.col("mix_block").between(F.col("_first"), F.col("_last")),
+        F.broadcast(phases.withColumnRenamed("source", "of")),
+        (F.col("source") == F.col("of")) & F.col("block").between(F.col("first"), F.col("last")),
+    )
+    i = F.col("block") - F.col("first")
+    n = F.size("slots")
+    slot = F.col("offset") + F.col("period") * F.floor(i / n) + F.get("slots", (i % n).cast("int"))
+    found = found.withColumn("slot", slot.cast("long"))
+    return found.select(
+        *[F.col("row").getField(c).alias(c) for c in columns],
+        F.col("block").alias("mix_block"),
+        F.col("slot").alias("mix_slot"),
+        (F.col("slot") * block_docs + F.col("number") % block_docs).cast("long").alias("mix_position"),
     )
-    i = F.col("mix_block") - F.col("_first")
-    n = F.size("_slots")
-    slot = F.col("_offset") + F.col("_period") * F.floor(i / n) + F.get("_slots", (i % n).cast("int"))
-    found = found.withColumn("mix_slot", slot.cast("long"))
-    position = F.col("mix_slot") * block_docs + F.col("_number") % block_docs
-    found = found.withColumn("mix_position", position.cast("long"))
-    return found.select(*columns, "mix_block", "mix_slot", "mix_position")
 
 
 def mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:

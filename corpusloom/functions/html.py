@@ -5,12 +5,15 @@ Every pattern avoids look-around, so other engines can check the results.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Rule = tuple[str, str]
+# A pattern and what replaces it, or a function of the text.
+Rule = tuple[str, str] | Callable[[Column], Column]
 
 DROP: list[Rule] = [
     (r"(?s)<!--.*?-->", ""),
@@ -21,8 +24,10 @@ HEAD: list[Rule] = [(r"(?is)<head(?:\s[^>]*)?>.*?</head\s*>", "")]
 HEADINGS: list[Rule] = [
     (rf"(?is)<h{n}(?:\s[^>]*)?>(.*?)</h{n}\s*>", "\n" + "#" * n + r" $1" + "\n") for n in range(1, 7)
 ]
+# A link's address in double quotes, single quotes or none.
+_LINK = r"""(?is)<a\s(?:[^>]*\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 INLINE: list[Rule] = [
-    (r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a\s*>', r"[$2]($1)"),
+    (_LINK + r"[^>]*>(.*?)</a\s*>", r"[$4]($1$2$3)"),
     (r"(?i)</?(?:b|strong)(?:\s[^>]*)?>", "**"),
 ]
 BLOCKS: list[Rule] = [
@@ -31,14 +36,40 @@ BLOCKS: list[Rule] = [
     (r"(?i)</?(?:p|div|ul|ol|article|section|nav|table|tr|footer|header)(?:\s[^>]*)?>", "\n"),
 ]
 TAGS: list[Rule] = [(r"<[^>]*>", "")]
-ENTITIES: list[Rule] = [
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&amp;", "&"),
+BREAKS: list[Rule] = [
+    (r"(?i)</?(?:br|p|div|li|ul|ol|article|section|nav|table|tr|td|th|footer|header)(?:\s[^>]*)?/?>", " ")
 ]
+
+_ENTITY = r"&(#[0-9]{1,8}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _numbered(name: Column) -> Column:
+    """The character of a numeric entity (``#39`` or ``#x27``); U+FFFD where there is none."""
+    hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
+    digits = F.when(hexadecimal, F.substring(name, 3, 8)).otherwise(F.substring(name, 2, 8))
+    code = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+    bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    point = F.when(bad, F.lit(0xFFFD)).otherwise(code)
+    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+
+def decode_entities(text: Column) -> Column:
+    """All named entities of HTML 4, ``&apos;`` and numeric ones, in one pass, so that ``&amp;lt;``
+    becomes ``&lt;``. An unknown name stays; a no-break space becomes a plain one."""
+    known = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+
+    def decoded(name: Column) -> Column:
+        return F.when(name.startswith("#"), _numbered(name)).otherwise(
+            F.coalesce(names[name], F.concat(F.lit("&"), name, F.lit(";")))
+        )
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1)), decoded)
+    pieces = F.zip_with(F.split(text, _ENTITY, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+
+
+ENTITIES: list[Rule] = [decode_entities]
 SPACE: list[Rule] = [
     (r"[ \t\r]+", " "),
     (r" ?\n ?", "\n"),
@@ -51,7 +82,7 @@ MARKDOWN_RULES = DROP + HEAD + HEADINGS + INLINE + BLOCKS + TAGS + ENTITIES + SP
 
 
 def apply_rules(column: Column, rules: list[Rule]) -> Column:
-    return reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), rules, column)
+    return reduce(lambda c, rule: rule(c) if callable(rule) else F.regexp_replace(c, rule[0], rule[1]), rules, column)
 
 
 def to_text(html: Column) -> Column:
@@ -63,8 +94,8 @@ def to_markdown(html: Column) -> Column:
 
 
 def plain(fragment: Column) -> Column:
-    """Text of a small piece of HTML: no tags, entities decoded, trimmed."""
-    return F.regexp_replace(apply_rules(fragment, TAGS + ENTITIES), r"^\s+|\s+$", "")
+    """Text of a small piece of HTML: breaks as spaces, no tags, entities decoded, trimmed."""
+    return F.regexp_replace(apply_rules(fragment, BREAKS + TAGS + ENTITIES), r"^\s+|\s+$", "")
 
 
 def body(html: Column) -> Column:
@@ -90,4 +121,5 @@ def paragraphs(html: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    return _all(html, r'(?is)<a\s[^>]*href="([^"]*)"')
+    whole = _all(html, _LINK, 0)
+    return F.transform(whole, lambda tag: F.regexp_replace(tag, _LINK, "$1$2$3"))

@@ -165,7 +165,9 @@ _ARROW = r"=>"
 
 def _bare_line(line: Column) -> Column:
     """The line without strings, one-line comments and closed block comments."""
-    for pattern in (r'"(?:[^"\\]|\\.)*"', r"'(?:[^'\\]|\\.)*'", r"`(?:[^`\\]|\\.)*`"):
+    for quote in ('"', "'", "`"):
+        # Possessive, so that a string of any length costs no stack.
+        pattern = rf"{quote}[^{quote}\\]*+(?:\\.[^{quote}\\]*+)*+{quote}"
         line = F.regexp_replace(line, pattern, "''")
     line = F.regexp_replace(line, r"/\*.*?\*/", "")
     return F.regexp_replace(line, r"//.*$", "")

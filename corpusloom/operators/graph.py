@@ -312,6 +312,8 @@ def _truthy(df: DataFrame, prop: str) -> Column:
 def _matches(df: DataFrame, prop: str, values: list[str] | str) -> Column:
     """The property is set and its text is one of ``values``, or part of a single string."""
     text = F.col(prop).cast("string")
+    if df.schema[prop].dataType.typeName() in ("double", "float"):
+        text = F.regexp_replace(text, r"\.0$", "")  # a whole number is written without a point
     hit = F.lit(values).contains(text) if isinstance(values, str) else text.isin(*values)
     return _truthy(df, prop) & hit
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators.skew import HOT_KEYS, HOT_ROWS, salted_join, top_k
+from corpusloom.operators.skew import HOT_ROWS, salted_join, top_k
 from corpusloom.options import SEARCH_MODES
 from corpusloom.session import stored
 
@@ -62,9 +62,7 @@ def tfidf_weights(vectors: DataFrame, key: str) -> DataFrame:
     postings = vectors.select(key, F.inline("terms"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     total = vectors.agg(F.count("*")).scalar()
-    hot = (
-        df.filter(F.col("df") >= HOT_ROWS).orderBy(F.desc("df"), "term").limit(HOT_KEYS).select("term")
-    )
+    hot = df.filter(F.col("df") >= HOT_ROWS).select("term", F.ceil(F.col("df") / HOT_ROWS).cast("int").alias("salts"))
     return salted_join(postings, df, "term", hot=hot).select(
         key,
         "term",
@@ -231,7 +229,9 @@ def global_parts(relations: DataFrame, pairs: DataFrame, max_k: int | None = Non
         .agg(F.max("score").alias("score"))
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item")
-    ends = ends.withColumn("rank", F.row_number().over(order).cast("long"))
+    limits = relations.groupBy("query_id").agg(F.min("top_k").alias("top_k"))
+    ends = ends.withColumn("rank", F.row_number().over(order).cast("long")).join(limits, "query_id")
+    ends = ends.filter(F.col("rank") <= F.col("top_k"))
     chunks = (
         pairs.select("chunk_id", "source", "target")
         .join(
@@ -250,26 +250,44 @@ def global_parts(relations: DataFrame, pairs: DataFrame, max_k: int | None = Non
     )
 
 
-def merge_modes(parts: list[DataFrame]) -> DataFrame:
-    """Union with the best score of each (query, part, item), ranked anew."""
+def limits(queries: DataFrame) -> DataFrame:
+    """``query_id, top_k`` of each query."""
+    return queries.select("query_id", "top_k")
+
+
+def merge_modes(parts: list[DataFrame], queries: DataFrame) -> DataFrame:
+    """The first ``top_k`` of the union in each part, by the best score of each item."""
     best = union(parts).groupBy("query_id", "part", "item").agg(F.max("score").alias("score"))
     rank = F.row_number().over(
         Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "item")
     )
-    return best.withColumn("rank", rank.cast("long"))
+    ranked_parts = best.withColumn("rank", rank.cast("long")).join(limits(queries), "query_id")
+    return ranked_parts.filter(F.col("rank") <= F.col("top_k")).drop("top_k")
 
 
-def mixed_chunks(hybrid: DataFrame, naive: DataFrame) -> DataFrame:
-    """Chunks of the graph search and of the text search, each once, with where from."""
+def mixed_chunks(hybrid: DataFrame, naive: DataFrame, queries: DataFrame) -> DataFrame:
+    """The first ``top_k`` chunks of the graph search and the text search together, by the sum of
+    their scores, each once, with where from."""
     graph = hybrid.filter(F.col("part") == "chunk").select(
         "query_id", "item", F.col("score").alias("graph_score")
     )
     text = naive.select("query_id", "item", F.col("score").alias("text_score"))
-    return graph.join(text, ["query_id", "item"], "full").withColumn(
-        "part",
+    zero = F.lit(0.0)
+    score = F.round(F.coalesce("graph_score", zero) + F.coalesce("text_score", zero), 6)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item")
+    both = graph.join(text, ["query_id", "item"], "full").withColumn("score", score)
+    both = both.withColumn("rank", F.row_number().over(order).cast("long")).join(limits(queries), "query_id")
+    return both.filter(F.col("rank") <= F.col("top_k")).select(
+        "query_id",
+        "item",
+        "graph_score",
+        "text_score",
         F.when(F.col("graph_score").isNull(), "vector")
         .when(F.col("text_score").isNull(), "graph")
-        .otherwise("both"),
+        .otherwise("both")
+        .alias("part"),
+        "score",
+        "rank",
     )
 
 

@@ -5,23 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# At most this many keys are treated as hot, which bounds what is broadcast. Any key
-# outside the list holds less than 1/HOT_KEYS of the rows.
-HOT_KEYS = 1000
-# A key below this many rows fits any task and is left alone.
+from corpusloom.session import stored
+
+# A key below this many rows fits any task and is left alone; a larger one is cut into
+# pieces of about this size. So at most rows / HOT_ROWS keys are hot.
 HOT_ROWS = 1_000_000
-SALTS = 64
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS, limit: int = HOT_KEYS) -> DataFrame:
-    """The heaviest values of ``key``: counted with map-side combine, at most ``limit`` rows."""
+def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame:
+    """``key, salts`` of every value with ``min_rows`` rows or more, counted with map-side
+    combine, and the number of pieces it is cut into."""
     return (
         df.groupBy(key)
         .agg(F.count("*").alias("_rows"))
         .filter(F.col("_rows") >= min_rows)
-        .orderBy(F.desc("_rows"), key)
-        .limit(limit)
-        .select(key)
+        .select(key, F.ceil(F.col("_rows") / min_rows).cast("int").alias("salts"))
     )
 
 
@@ -31,33 +29,29 @@ def salted_join(
     key: str,
     how: str = "inner",
     min_rows: int = HOT_ROWS,
-    salts: int = SALTS,
     hot: DataFrame | None = None,
 ) -> DataFrame:
     """``big JOIN keyed`` on ``key`` where ``big`` may have hot keys.
 
-    Rows of a hot key are spread over ``salts`` tasks and only the hot rows of
-    ``keyed`` are repeated to meet them; every other row keeps salt 0. The salt is a
-    hash of the row, so a task that is run again sends its rows to the same places.
-    ``how`` is one of inner, left, left_semi, left_anti.
+    Rows of a hot key are spread over as many tasks as its size asks for and only the hot
+    rows of ``keyed`` are repeated to meet them; every other row keeps salt 0. The salt is
+    a hash of the row, so a task that is run again sends its rows to the same places.
+    ``hot(key, salts)`` can be passed where the counts are known already. ``how`` is one of
+    inner, left, left_semi, left_anti.
     """
     hot = (hot if hot is not None else hot_keys(big, key, min_rows)).select(
-        F.col(key).alias("_hot")
+        F.col(key).alias("_hot"), F.col("salts").alias("_salts")
     )
-    hot = F.broadcast(hot)
+    # Written first: read twice, and of a known size, so Spark broadcasts it while it is small.
+    hot = stored(hot, "hot-keys")
     spread = F.when(
-        F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
+        F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*big.columns), F.col("_salts")).cast("int")
     ).otherwise(F.lit(0))
-    repeat = F.when(
-        F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))
-    ).otherwise(F.array(F.lit(0)))
-    left = big.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", spread).drop("_hot")
-    right = (
-        keyed.join(hot, F.col(key) == F.col("_hot"), "left")
-        .withColumn("_salt", F.explode(repeat))
-        .drop("_hot")
-    )
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    repeat = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    left = big.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", spread)
+    right = keyed.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(repeat))
+    drop = ("_hot", "_salts")
+    return left.drop(*drop).join(right.drop(*drop), [key, "_salt"], how).drop("_salt")
 
 
 def top_k(
@@ -109,14 +103,16 @@ def next_row(
     )
 
 
-def numbered(df: DataFrame, key: Column, out: str = "row_no", digits: int = 3) -> DataFrame:
-    """Gap-free numbers from 1 in the order ``(md5 prefix of key, key)``.
+def numbered(df: DataFrame, key: Column, out: str = "row_no", rows: int = HOT_ROWS) -> DataFrame:
+    """Gap-free numbers from 1 in the order ``(md5 of key, key)``.
 
-    Rows are numbered inside each prefix, then shifted by the rows of the prefixes
-    before it; only that list of at most ``16 ** digits`` counts passes one task.
+    Rows are numbered inside stretches of about ``rows`` rows, cut by the md5, then shifted by
+    the rows of the stretches before; only the list of stretches passes one task.
     """
-    buckets = df.withColumn("_key", key).withColumn("_bucket", F.substring(F.md5("_key"), 1, digits))
-    inside = Window.partitionBy("_bucket").orderBy("_key")
+    stretches = 1 + df.count() // rows
+    place = F.conv(F.substring(F.md5("_key"), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    buckets = df.withColumn("_key", key).withColumn("_bucket", F.floor(place * stretches))
+    inside = Window.partitionBy("_bucket").orderBy(F.md5("_key"), "_key")
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         buckets.groupBy("_bucket")
@@ -125,7 +121,7 @@ def numbered(df: DataFrame, key: Column, out: str = "row_no", digits: int = 3) -
     )
     return (
         buckets.withColumn("_in_bucket", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_bucket")
+        .join(offsets, "_bucket")
         .withColumn(out, (F.col("_in_bucket") + F.col("_offset")).cast("long"))
         .drop("_key", "_bucket", "_in_bucket", "_offset")
     )

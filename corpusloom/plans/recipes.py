@@ -29,7 +29,7 @@ from corpusloom.operators.skew import top_k
 from corpusloom.options import CONTEXT_LIMIT, DEFAULT_LIMIT, Options
 from corpusloom.plans import search
 from corpusloom.plans.index import Index, build, corpus_chunks, word_gazetteer
-from corpusloom.session import new_path, spread, stored
+from corpusloom.session import new_path, stored
 from corpusloom.sources import files as file_source
 from corpusloom.sources import graphfiles, sinks, sitemap, tables
 from corpusloom.streaming import ingest
@@ -54,19 +54,19 @@ def query(fn: Query) -> Query:
     return fn
 
 
-# Tables with long texts, and the key that spreads them.
-_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, _TEXT_TABLES[name]) if name in _TEXT_TABLES else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def long(column: Column) -> Column:
     return column.cast("long")
 
 
+def message_id() -> Column:
+    """A key of one message: conversation and turn, whatever their size."""
+    return F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+
+
 # ---------------------------------------------------------------- chunking
 
 
@@ -274,9 +274,8 @@ def page_lookup(spark, sf_dir):
     """Every page asked for by its address without the fragment."""
     pages = table(spark, sf_dir, "pages")
     wanted = pages.select(urls.without_fragment(F.col("url")).alias("url")).distinct()
-    return tables.page_lookup(wanted, pages).select(
-        "url", "page_id", "found", long(F.length("html")).alias("html_chars")
-    )
+    sized = pages.select("page_id", "url", long(F.length("html")).alias("html_chars"))
+    return tables.page_lookup(wanted, sized).select("url", "page_id", "found", "html_chars")
 
 
 @query
@@ -446,7 +445,11 @@ def html_text(spark, sf_dir):
 
 @query
 def html_struct(spark, sf_dir):
-    return convert.html_struct(table(spark, sf_dir, "pages")).select(
+    return _page_fields(convert.html_struct(table(spark, sf_dir, "pages")))
+
+
+def _page_fields(pages: DataFrame) -> DataFrame:
+    return pages.select(
         "page_id",
         F.col("doc.title").alias("title"),
         F.array_join("doc.headings", " | ").alias("headings"),
@@ -458,10 +461,10 @@ def html_struct(spark, sf_dir):
 
 @query
 def html_json(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return convert.converted(pages, ["page_id"], "json").select(
-        "page_id", F.get_json_object("document", "$.title").alias("title"), F.col("document").isNotNull().alias("ok")
-    )
+    """The JSON documents, every field read back."""
+    pages = convert.converted(table(spark, sf_dir, "pages"), ["page_id"], "json")
+    schema = "title STRING, headings ARRAY<STRING>, paragraphs ARRAY<STRING>, links ARRAY<STRING>"
+    return _page_fields(pages.select("page_id", F.from_json("document", schema).alias("doc")))
 
 
 # ---------------------------------------------------------------- graph
@@ -602,7 +605,7 @@ def graph_filter_nodes(spark, sf_dir):
 
 @query
 def graph_filter_edges(spark, sf_dir):
-    return graph.filter_edges(index(spark, sf_dir).edges, "weight", ["1.0", "2.0"])
+    return graph.filter_edges(index(spark, sf_dir).edges, "weight", ["1", "2"])
 
 
 @query
@@ -729,7 +732,8 @@ def search_hybrid(spark, sf_dir):
 
 @query
 def search_mix(spark, sf_dir):
-    return search.mix(index(spark, sf_dir), questions(spark, sf_dir))
+    mixed = search.mix(index(spark, sf_dir), questions(spark, sf_dir))
+    return mixed.select("query_id", "item", "graph_score", "text_score", "part")
 
 
 @query
@@ -748,7 +752,7 @@ def search_modes(spark, sf_dir):
 def search_no_hits(spark, sf_dir):
     """Conversation messages asked as questions to the graph: which name no entity."""
     asked = table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text", F.lit(1).alias("top_k")
+        message_id().alias("query_id"), "text", F.lit(1).alias("top_k")
     )
     idx = index(spark, sf_dir)
     found = retrieval.match_entities(retrieval.query_terms(asked), idx.nodes, idx.total, 1)
@@ -801,7 +805,7 @@ def context_sources(spark, sf_dir):
 def context_number(spark, sf_dir):
     """The messages of each conversation line, as a list of contexts numbered from 1."""
     lists = table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.split("text", "\n").alias("context_list")
+        message_id().alias("query_id"), F.split("text", "\n").alias("context_list")
     )
     return context.numbered_contexts(lists)
 
@@ -854,8 +858,9 @@ def chat_append(spark, sf_dir):
     """Two messages more for every conversation and for as many new ones."""
     messages = table(spark, sf_dir, "conversations")
     opening = messages.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    unused = messages.agg(F.max("conv_id") + 1).scalar()
     new = opening.select(
-        F.explode(F.array(F.col("conv_id"), F.col("conv_id") + 1_000_000)).alias("conv_id"), "text"
+        F.explode(F.array(F.col("conv_id"), F.col("conv_id") + unused)).alias("conv_id"), "text"
     ).select(
         "conv_id",
         F.inline(

@@ -51,11 +51,11 @@ def global_(index: Index, queries: DataFrame) -> DataFrame:
 
 
 def hybrid(index: Index, queries: DataFrame) -> DataFrame:
-    return retrieval.merge_modes([local(index, queries), global_(index, queries)])
+    return retrieval.merge_modes([local(index, queries), global_(index, queries)], queries)
 
 
 def mix(index: Index, queries: DataFrame) -> DataFrame:
-    return retrieval.mixed_chunks(hybrid(index, queries), naive(index, queries))
+    return retrieval.mixed_chunks(hybrid(index, queries), naive(index, queries), queries)
 
 
 def search(index: Index, queries: DataFrame, mode: str) -> DataFrame:
@@ -70,15 +70,7 @@ def search(index: Index, queries: DataFrame, mode: str) -> DataFrame:
 
 
 def _ranked_mix(mixed: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    zero = F.lit(0.0)
-    score = F.round(F.coalesce("graph_score", zero) + F.coalesce("text_score", zero), 6)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item")
-    return (
-        mixed.select("query_id", F.lit("chunk").alias("part"), "item", score.alias("score"))
-        .withColumn("rank", F.row_number().over(order).cast("long"))
-    )
+    return mixed.select("query_id", F.lit("chunk").alias("part"), "item", "score", "rank")
 
 
 def all_modes(index: Index, queries: DataFrame) -> DataFrame:
@@ -86,8 +78,8 @@ def all_modes(index: Index, queries: DataFrame) -> DataFrame:
     n = stored(naive(index, queries), "naive")
     lo = stored(local(index, queries), "local")
     g = stored(global_(index, queries), "global")
-    h = stored(retrieval.merge_modes([lo, g]), "hybrid")
-    m = _ranked_mix(retrieval.mixed_chunks(h, n))
+    h = stored(retrieval.merge_modes([lo, g], queries), "hybrid")
+    m = _ranked_mix(retrieval.mixed_chunks(h, n, queries))
     named = {"naive": n, "local": lo, "global": g, "hybrid": h, "mix": m}
     return retrieval.union([df.withColumn("mode", F.lit(mode)) for mode, df in named.items()])
 

@@ -50,7 +50,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
 
 
-# Buckets of a stored table are not cut smaller than this, cores permitting.
+# Estimated bytes of a stored table per bucket; their number grows with the table.
 BUCKET_BYTES = 32 << 20
 
 
@@ -72,10 +72,7 @@ def stored(df: DataFrame, name: str, bucket_by: str | None = None) -> DataFrame:
     if bucket_by is None:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    n = min(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        max(spark.sparkContext.defaultParallelism, 1 + estimated_bytes(df) // BUCKET_BYTES),
-    )
+    n = max(spark.sparkContext.defaultParallelism, 1 + estimated_bytes(df) // BUCKET_BYTES)
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     (
         df.repartition(n, bucket_by)
@@ -84,19 +81,3 @@ def stored(df: DataFrame, name: str, bucket_by: str | None = None) -> DataFrame:
         .saveAsTable(table)
     )
     return spark.table(table)
-
-
-# A table below this many bytes per core is dealt out before heavy per-row work.
-SPREAD_BYTES_PER_CORE = 16 << 20
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a small table.
-
-    A file of one row group is read by one task however many cores there are. Where the
-    table's estimated size is small per core it is hash-partitioned by ``key``, which
-    costs little; a large table has row groups enough and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    small = estimated_bytes(df) < cores * SPREAD_BYTES_PER_CORE
-    return df.repartition(cores, key) if small else df

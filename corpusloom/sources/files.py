@@ -20,8 +20,6 @@ from corpusloom.operators import routing
 from corpusloom.operators.skew import salted_join
 from corpusloom.session import stored
 
-MAX_FOLDER_DEPTH = 64
-
 
 def scan(spark: SparkSession, root: str, content: bool = False, glob: str | None = None) -> DataFrame:
     """All files below ``root``: ``path`` (relative), ``full_path``, ``length`` and, if
@@ -83,7 +81,7 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     tasks = spark.sparkContext.defaultParallelism
     level = spark.range(1).select(F.lit("").alias("path"))
     files = []
-    for _ in range(MAX_FOLDER_DEPTH):
+    while True:
         listed = level.repartition(tasks, "path").mapInPandas(
             _list_folders(base), "path STRING, folder BOOLEAN, length BIGINT"
         )
@@ -92,7 +90,6 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
         level = listed.filter("folder").select("path")
         if level.isEmpty():
             return reduce(DataFrame.unionByName, files)
-    raise ValueError(f"folders below {root} are nested more than {MAX_FOLDER_DEPTH} deep")
 
 
 def with_content(files: DataFrame, root: str) -> DataFrame:
@@ -109,10 +106,10 @@ def text_of(content: Column) -> Column:
 
 
 def code_files(files: DataFrame) -> DataFrame:
-    """``files(path, content)`` as ``file_id, path, text`` for the chunkers."""
-    return files.select(
-        F.xxhash64("path").alias("file_id"), "path", text_of(F.col("content")).alias("text")
-    )
+    """``files(path, content)`` or ``files(repo, path, content)`` as ``file_id, path, text`` for the
+    chunkers. ``file_id`` is the repository and the path, so equal paths of two stay apart."""
+    whole = ["repo", "path"] if "repo" in files.columns else ["path"]
+    return files.select(F.concat_ws("\n", *whole).alias("file_id"), "path", text_of(F.col("content")).alias("text"))
 
 
 def expand_paths(requested: DataFrame, found: DataFrame) -> DataFrame:

@@ -22,36 +22,30 @@ def _rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of GraphML files.
 
-    The ``<key>`` declarations, one per attribute, are looked up as a scalar map, so
-    each node or edge is decoded within its own row.
+    The ``<key>`` declarations belong to their own file, so the attributes of a node or edge
+    meet them by (file, key id). A file has a handful of keys, its rows any number: the
+    declarations of each file become one map, which its rows are joined with.
     """
-    keys = _rows(spark, path, "key", "_id STRING, `_attr.name` STRING, _for STRING")
-
-    def names(kind: str) -> Column:
-        pair = F.struct(F.col("_id").alias("k"), F.col("`_attr.name`").alias("v"))
-        return (
-            keys.filter((F.col("_for") == kind) | (F.col("_for") == "all"))
-            .agg(F.map_from_entries(F.collect_set(pair)))
-            .scalar()
-        )
-
-    def field(kind: str, name: str) -> Column:
-        hit = F.filter("data", lambda d: F.col("_names")[d["_key"]] == name)
-        return F.get(hit, F.lit(0))["_VALUE"].alias(name)
-
-    nodes = _rows(spark, path, "node", f"_id STRING, {_DATA}").withColumn("_names", names("node"))
-    edges = _rows(spark, path, "edge", f"_source STRING, _target STRING, {_DATA}").withColumn(
-        "_names", names("edge")
-    )
-    return (
-        nodes.select(F.col("_id").alias("id"), *[field("node", n) for n in NODE_FIELDS]),
-        edges.select(
-            F.col("_source").alias("source"),
-            F.col("_target").alias("target"),
-            *[field("edge", n) for n in EDGE_FIELDS],
-        ).withColumn("weight", F.col("weight").cast("double")),
+    file = F.col("_metadata.file_path").alias("_file")
+    keys = _rows(spark, path, "key", "_id STRING, `_attr.name` STRING, _for STRING").select(
+        file, F.col("_id").alias("k"), F.col("`_attr.name`").alias("v"), F.col("_for").alias("kind")
     )
 
+    def decoded(tag: str, fields: tuple[str, ...], ends: dict[str, str]) -> DataFrame:
+        mine = keys.filter(F.col("kind").isin(tag, "all")).groupBy("_file", "k").agg(F.min("v").alias("v"))
+        names = mine.groupBy("_file").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_names"))
+        rows = _rows(spark, path, tag, f"{', '.join(f'{c} STRING' for c in ends)}, {_DATA}").select("*", file)
+
+        def field(name: str) -> Column:
+            hit = F.filter("data", lambda d: F.col("_names")[d["_key"]] == name)
+            return F.get(hit, F.lit(0))["_VALUE"].alias(name)
+
+        joined = rows.join(names, "_file", "left")
+        return joined.select(*[F.col(c).alias(n) for c, n in ends.items()], *[field(n) for n in fields])
+
+    edges = decoded("edge", EDGE_FIELDS, {"_source": "source", "_target": "target"})
+    return decoded("node", NODE_FIELDS, {"_id": "id"}), edges.withColumn("weight", F.col("weight").cast("double"))
+
 
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of ``{nodes: [...], edges: [...]}`` files; an absent list is empty."""

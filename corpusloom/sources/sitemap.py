@@ -74,10 +74,10 @@ def read_snapshots(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def recursive(roots: DataFrame, snapshots: DataFrame, max_depth: int = 10) -> DataFrame:
+def recursive(roots: DataFrame, snapshots: DataFrame) -> DataFrame:
     """``sitemap_url, pos, url, via``: every page URL below each root, in document order.
 
-    One equi join per level of nesting. A sitemap that is its own ancestor is not
+    One equi join per level of nesting, to whatever depth there is. A sitemap that is its own ancestor is not
     entered again; listing the same sitemap twice lists its pages twice. ``pos`` is the
     path of positions that orders the URLs of a root; ``via`` is the sitemap that lists
     the page.
@@ -90,7 +90,7 @@ def recursive(roots: DataFrame, snapshots: DataFrame, max_depth: int = 10) -> Da
         F.array("sitemap_url").alias("trail"),
     )
     pages = []
-    for _ in range(max_depth):
+    while True:
         here = stored(
             frontier.join(parsed.withColumnRenamed("sitemap_url", "at"), "at"), "sitemap-level"
         )

@@ -13,17 +13,8 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.fixture(scope="module")
-def bare_tables():
-    """The tables as they come, without dealing out small ones."""
-    kept = dict(recipes._TEXT_TABLES)
-    recipes._TEXT_TABLES.clear()
-    yield
-    recipes._TEXT_TABLES.update(kept)
-
-
 @pytest.mark.parametrize("name", NO_SHUFFLE)
-def test_row_work_does_not_shuffle(spark, bare_tables, name):
+def test_row_work_does_not_shuffle(spark, name):
     assert "Exchange" not in plan_of(recipes.QUERIES[name](spark, SF_DIR))
 
 

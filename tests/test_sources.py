@@ -206,6 +206,19 @@ def test_sitemap_recursive(spark, rows):
     assert [r.document for r in docs.collect()] == ["two", "two"]
 
 
+def test_html_entities_and_links(spark):
+    page = (
+        "<p>&middot; &copy; &amp;lt; &#233;&#x1F600; &#0; &nosuch; caf&eacute; a&nbsp;b</p>"
+        "<a class=k href='/one'>1</a> <a href=/two>2</a> <a data-href='/no' href=\"/three\">3</a>"
+    )
+    df = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id INT, html STRING")
+    doc = {r.page_id: r.doc for r in convert.html_struct(df).collect()}
+    assert doc[1].paragraphs == ["· © &lt; é😀 \ufffd &nosuch; café a b"]
+    assert doc[1].links == ["/one", "/two", "/three"]
+    text = {r.page_id: r.markdown for r in convert.html_markdown(df).collect()}
+    assert text[1].endswith("[1](/one) [2](/two) [3](/three)") and text[2] is None and text[3] == ""
+
+
 def test_html(spark):
     page = (
         '<html><head><title> T &amp; U </title></head><body><!-- no --><script>var a="</p>";</script>'
@@ -214,7 +227,7 @@ def test_html(spark):
     df = spark.createDataFrame([(1, "u", page)], "page_id INT, url STRING, html STRING")
     assert convert.html_markdown(df).first().markdown == "## Head\n\nOne **two**\nthree\n\n- [link](/u)"
     doc = convert.html_struct(df).first().doc
-    assert (doc.title, doc.headings, doc.paragraphs, doc.links) == ("T & U", ["Head"], ["One twothree"], ["/u"])
+    assert (doc.title, doc.headings, doc.paragraphs, doc.links) == ("T & U", ["Head"], ["One two three"], ["/u"])
     assert convert.converted(df, ["page_id"], "xml").first().document is None
 
 

@@ -282,8 +282,9 @@ _HEAD = [(r"(?is)<head(\s[^>]*)?>.*?</head\s*>", "")]
 _HEADINGS = [
     (rf"(?is)<h{n}(\s[^>]*)?>(.*?)</h{n}\s*>", r"\n" + "#" * n + r" \\2\n") for n in range(1, 7)
 ]
+_HREF = r"""(?is)<a\s(?:[^>]*\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 _INLINE = [
-    (r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a\s*>', r"[\\2](\\1)"),
+    (_HREF + r"[^>]*>(.*?)</a\s*>", r"[\\4](\\1\\2\\3)"),
     (r"(?i)</?(b|strong)(\s[^>]*)?>", "**"),
 ]
 _BLOCKS = [
@@ -291,6 +292,8 @@ _BLOCKS = [
     (r"(?i)<br(\s[^>]*)?/?>", r"\n"),
     (r"(?i)</?(p|div|ul|ol|article|section|nav|table|tr|footer|header)(\s[^>]*)?>", r"\n"),
 ]
+_GAPS = [(r"(?i)</?(br|p|div|li|ul|ol|article|section|nav|table|tr|td|th|footer|header)(\s[^>]*)?/?>", " ")]
+# Names the given pages use, and the commonest besides; "&amp;" comes last.
 _PLAIN = [
     (r"<[^>]*>", ""),
     ("&nbsp;", " "),
@@ -298,6 +301,12 @@ _PLAIN = [
     ("&gt;", ">"),
     ("&quot;", '"'),
     ("&#39;", "'"),
+    ("&apos;", "'"),
+    ("&copy;", "\u00a9"),
+    ("&reg;", "\u00ae"),
+    ("&middot;", "\u00b7"),
+    ("&eacute;", "\u00e9"),
+    ("&euro;", "\u20ac"),
     ("&amp;", "&"),
 ]
 _SPACE = [(r"[ \t\r]+", " "), (r" ?\n ?", r"\n"), (r"\n{3,}", r"\n\n"), (r"^\s+|\s+$", "")]
@@ -315,21 +324,19 @@ _BODY = _chain("html", _DROP)
 ORACLES["html_struct"] = rf"""
 WITH b AS (SELECT page_id, {_BODY} AS h FROM pages),
 parts AS (
-  SELECT page_id, {_chain(r"regexp_extract(h, '(?is)<title(\s[^>]*)?>(.*?)</title\s*>', 2)", _PLAIN + _TRIM)} AS title,
+  SELECT page_id, {_chain(r"regexp_extract(h, '(?is)<title(\s[^>]*)?>(.*?)</title\s*>', 2)", _GAPS + _PLAIN + _TRIM)} AS title,
          list_transform(regexp_extract_all(h, '(?is)<h[1-6](\s[^>]*)?>(.*?)</h[1-6]\s*>', 2),
-                        lambda x: {_chain("x", _PLAIN + _TRIM)}) AS headings,
+                        lambda x: {_chain("x", _GAPS + _PLAIN + _TRIM)}) AS headings,
          list_filter(list_transform(regexp_extract_all(h, '(?is)<p(\s[^>]*)?>(.*?)</p\s*>', 2),
-                        lambda x: {_chain("x", _PLAIN + _TRIM)}), lambda x: x <> '') AS paragraphs,
-         regexp_extract_all(h, '(?is)<a\s[^>]*href="([^"]*)"', 1) AS links
+                        lambda x: {_chain("x", _GAPS + _PLAIN + _TRIM)}), lambda x: x <> '') AS paragraphs,
+         list_transform(regexp_extract_all(h, '{_HREF.replace("'", "''")}', 0),
+                        lambda x: regexp_replace(x, '{_HREF.replace("'", "''")}', E'\\1\\2\\3')) AS links
   FROM b)
 SELECT page_id, title, array_to_string(headings, ' | ') AS headings, array_to_string(links, ' | ') AS links,
        CAST(len(paragraphs) AS BIGINT) AS n_paragraphs,
        md5(array_to_string(paragraphs, chr(10))) AS paragraphs_md5
 FROM parts"""
-ORACLES["html_json"] = rf"""
-WITH b AS (SELECT page_id, {_BODY} AS h FROM pages)
-SELECT page_id, {_chain(r"regexp_extract(h, '(?is)<title(\s[^>]*)?>(.*?)</title\s*>', 2)", _PLAIN + _TRIM)} AS title,
-       true AS ok FROM b"""
+ORACLES["html_json"] = ORACLES["html_struct"]
 
 # ---------------------------------------------------------------- graph
 
@@ -560,7 +567,8 @@ g_ent AS (
   SELECT query_id, item, max(score) AS score,
          row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, item) AS rank
   FROM (SELECT query_id, source AS item, score FROM g_rel UNION ALL SELECT query_id, target, score FROM g_rel)
-  GROUP BY query_id, item),
+  GROUP BY query_id, item
+  QUALIFY rank <= (SELECT k FROM limits)),
 g_chunk AS (
   SELECT query_id, chunk_id AS item, score,
          row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
@@ -577,33 +585,37 @@ hybrid AS (
   SELECT query_id, part, item, score,
          row_number() OVER (PARTITION BY query_id, part ORDER BY score DESC, item) AS rank
   FROM (SELECT query_id, part, item, max(score) AS score
-        FROM (SELECT * FROM local_ UNION ALL SELECT * FROM global_) GROUP BY ALL))"""
+        FROM (SELECT * FROM local_ UNION ALL SELECT * FROM global_) GROUP BY ALL)
+  QUALIFY rank <= (SELECT k FROM limits))"""
 
 MIX = """
-mixed AS (
+together AS (
   SELECT coalesce(h.query_id, v.query_id) AS query_id, coalesce(h.item, v.item) AS item,
          h.score AS graph_score, v.score AS text_score,
-         CASE WHEN h.item IS NULL THEN 'vector' WHEN v.item IS NULL THEN 'graph' ELSE 'both' END AS part
+         CASE WHEN h.item IS NULL THEN 'vector' WHEN v.item IS NULL THEN 'graph' ELSE 'both' END AS part,
+         round(coalesce(h.score, 0) + coalesce(v.score, 0), 6) AS score
   FROM (SELECT * FROM hybrid WHERE part = 'chunk') h
-  FULL JOIN naive v ON h.query_id = v.query_id AND h.item = v.item)"""
+  FULL JOIN naive v ON h.query_id = v.query_id AND h.item = v.item),
+mixed AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM together
+  QUALIFY rank <= (SELECT k FROM limits))"""
 
 _Q10, _Q5 = _questions(10), _questions(5)
 ORACLES["search_naive"] = _with(TOKENS, WINDOWS, CHUNKS, _Q10, NAIVE) + "SELECT * FROM naive"
 ORACLES["search_local"] = _with(*GRAPH, _Q10, LOCAL) + "SELECT * FROM local_"
 ORACLES["search_global"] = _with(*GRAPH, _Q10, LOCAL, GLOBAL) + "SELECT * FROM global_"
 ORACLES["search_hybrid"] = _with(*GRAPH, _Q10, LOCAL, GLOBAL, HYBRID) + "SELECT * FROM hybrid"
-ORACLES["search_mix"] = _with(*GRAPH, _Q10, NAIVE, LOCAL, GLOBAL, HYBRID, MIX) + "SELECT * FROM mixed"
+ORACLES["search_mix"] = _with(*GRAPH, _Q10, NAIVE, LOCAL, GLOBAL, HYBRID, MIX) + "SELECT query_id, item, graph_score, text_score, part FROM mixed"
 ORACLES["search_all_modes"] = _with(*GRAPH, _Q5, NAIVE, LOCAL, GLOBAL, HYBRID, MIX) + """
 SELECT *, 'naive' AS mode FROM naive UNION ALL SELECT *, 'local' FROM local_
 UNION ALL SELECT *, 'global' FROM global_ UNION ALL SELECT *, 'hybrid' FROM hybrid
 UNION ALL
-SELECT query_id, 'chunk', item, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item), 'mix'
-FROM (SELECT query_id, item, round(coalesce(graph_score, 0) + coalesce(text_score, 0), 6) AS score FROM mixed)"""
+SELECT query_id, 'chunk', item, score, rank, 'mix' FROM mixed"""
 ORACLES["search_modes"] = """
 SELECT item_id AS query_id, unnest(['naive', 'local', 'global', 'hybrid', 'mix']) AS mode FROM benchmark"""
 ORACLES["search_no_hits"] = _with(*GRAPH, r"""
 asked AS (
-  SELECT conv_id * 1000 + turn AS query_id, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM conversations)""") + """
+  SELECT conv_id || '-' || turn AS query_id, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM conversations)""") + """
 SELECT query_id, 'No results found' AS message FROM asked
 WHERE query_id NOT IN (
   SELECT query_id FROM (SELECT query_id, unnest(ws) AS w FROM asked) JOIN nodes ON id = w
@@ -663,7 +675,7 @@ SELECT query_id, rank AS row_no, CAST(rank - 1 AS VARCHAR) AS id, source, target
 ORACLES["context_sources"] = _with(*_CONTEXT) + f"""
 SELECT query_id, rank AS row_no, CAST(rank - 1 AS VARCHAR) AS id, {_Q('text')} AS content FROM src"""
 ORACLES["context_number"] = """
-SELECT conv_id * 1000 + turn AS query_id, CAST(generate_subscripts(l, 1) AS BIGINT) AS number, unnest(l) AS context
+SELECT conv_id || '-' || turn AS query_id, CAST(generate_subscripts(l, 1) AS BIGINT) AS number, unnest(l) AS context
 FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations)"""
 
 # ---------------------------------------------------------------- summaries
@@ -701,8 +713,8 @@ WITH c AS (SELECT conv_id, max(turn) AS last, arg_min(text, turn) AS text FROM c
 SELECT conv_id, turn, role, text FROM conversations
 UNION ALL SELECT conv_id, last + 1, 'user', text FROM c
 UNION ALL SELECT conv_id, last + 2, 'assistant', md5(text) FROM c
-UNION ALL SELECT conv_id + 1000000, 0, 'user', text FROM c
-UNION ALL SELECT conv_id + 1000000, 1, 'assistant', md5(text) FROM c"""
+UNION ALL SELECT conv_id + 1 + (SELECT max(conv_id) FROM c), 0, 'user', text FROM c
+UNION ALL SELECT conv_id + 1 + (SELECT max(conv_id) FROM c), 1, 'assistant', md5(text) FROM c"""
 
 # ---------------------------------------------------------------- file dispatch
 

@@ -97,19 +97,67 @@ def _with_files(blocks: DataFrame, files: DataFrame) -> DataFrame:
 BLOCK_COLUMNS = ("file_id", "path", "start_line", "end_line", "type", "text")
 
 
+# Strings and comments of Python. Possessive throughout, so that a literal of any length
+# costs no stack.
+_PYTHON_LITERAL = (
+    r'"""[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+"""'
+    r"|'''[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+'''"
+    r'|"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"'
+    r"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
+    r"|#[^\n]*+"
+)
+# Stands at the start of a line that begins inside a string.
+_INSIDE = "\u0001"
+
+
+def _bare_python(text: Column) -> Column:
+    """The text without comments and the insides of strings, its lines where they were."""
+
+    def emptied(literal: Column) -> Column:
+        lines = F.regexp_replace(literal, r"[^\n]+", "")
+        string = F.concat(F.lit("s"), lines, F.when(lines == "", "").otherwise(_INSIDE))
+        return F.when(literal.startswith("#"), F.lit("")).otherwise(string)
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(_PYTHON_LITERAL), F.lit(0)), emptied)
+    gaps = F.split(text, _PYTHON_LITERAL, -1)
+    return F.array_join(F.zip_with(gaps, found, lambda g, f: F.concat(g, F.coalesce(f, F.lit("")))), "")
+
+
 def _python_rows(files: DataFrame) -> DataFrame:
-    line = F.col("line")
-    lines = _lines(files).filter(tx.not_blank(line)).select(
+    line, bare = F.col("line"), F.col("bare")
+    both = F.arrays_zip(F.split("text", "\n", -1).alias("line"), F.split(_bare_python(F.col("text")), "\n", -1).alias("bare"))
+    in_file = Window.partitionBy("file_id").orderBy("pos")
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("line")
+    opened = _count(bare, "(") + _count(bare, "[") + _count(bare, "{")
+    closed = _count(bare, ")") + _count(bare, "]") + _count(bare, "}")
+    lines = (
+        files.select("file_id", F.posexplode(both).alias("pos", "both"))
+        .select("file_id", "pos", "both.line", "both.bare")
+        .withColumn("start_at", F.coalesce(F.sum(size + 1).over(before), F.lit(0)).cast("int"))
+        .withColumn("end_at", F.col("start_at") + size)
+        .withColumn("looks", bare.rlike(r"^[ \t]*(?:class|def|async[ \t]+def)[ \t]+\w"))
+        # No definition stands inside brackets, so an unbalanced one reaches no further.
+        .withColumn("stretch", F.sum(F.col("looks").cast("int")).over(in_file))
+    )
+    in_stretch = Window.partitionBy("file_id", "stretch").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumns(
+        {
+            "open": F.coalesce(F.sum(opened - closed).over(in_stretch), F.lit(0)) > 0,
+            "continued": F.coalesce(F.lag("bare").over(in_file).endswith("\\"), F.lit(False)),
+        }
+    )
+    # Continuation lines and the insides of strings belong to a statement, but never end a block.
+    lines = lines.filter(tx.not_blank(bare)).select(
         "file_id",
         "pos",
         "start_at",
         "end_at",
         F.length(F.regexp_extract(line, r"^([ \t]*)", 1)).alias("indent"),
-        line.rlike(r"^[ \t]*(?:class|def|async[ \t]+def)[ \t]+\w").alias("definition"),
-        line.rlike(r"^[ \t]*class[ \t]").alias("is_class"),
-        line.rlike(r"^[ \t]*[)\]}]").alias("bracket"),
+        F.col("looks").alias("definition"),
+        bare.rlike(r"^[ \t]*class[ \t]").alias("is_class"),
+        (F.col("open") | F.col("continued") | bare.startswith(_INSIDE) | bare.rlike(r"^[ \t]*[)\]}]")).alias("inner"),
     )
-    in_file = Window.partitionBy("file_id").orderBy("pos")
     per_file = Window.partitionBy("file_id")
     lines = lines.withColumns(
         {
@@ -123,7 +171,7 @@ def _python_rows(files: DataFrame) -> DataFrame:
     # The first line of a file without definitions stands for the module: no line
     # reaches its level, so it ends with the file.
     module = ~F.col("any") & F.col("pos_before").isNull()
-    lines = lines.filter(~F.col("bracket") | module).select(
+    lines = lines.filter(~F.col("inner") | module).select(
         "*",
         (F.col("definition") | module).alias("header"),
         F.when(module, -1).otherwise(F.col("indent")).alias("level"),
@@ -146,8 +194,8 @@ def python_blocks(files: DataFrame) -> DataFrame:
     """Classes and functions at every depth, nested ones as well as their parents.
 
     ``files(file_id, path, text)`` -> ``file_id, path, start_line, end_line, type, text``.
-    A file without any gives one ``module`` row. A line that opens with a closing
-    bracket never ends a block; dedented text inside a multi-line string does.
+    A file without any gives one ``module`` row. Comments, continuation lines and the insides
+    of strings never end a block, wherever they stand.
     """
     return _with_files(_python_rows(files), files).select(*BLOCK_COLUMNS)
 

@@ -24,7 +24,8 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     The ``<key>`` declarations belong to their own file, so the attributes of a node or edge
     meet them by (file, key id). A file has a handful of keys, its rows any number: the
-    declarations of each file become one map, which its rows are joined with.
+    declarations of each file become one map, which its rows are joined with. A file
+    without any, a part of a graph written in pieces, takes those of all the others.
     """
     file = F.col("_metadata.file_path").alias("_file")
     keys = _rows(spark, path, "key", "_id STRING, `_attr.name` STRING, _for STRING").select(
@@ -34,13 +35,15 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     def decoded(tag: str, fields: tuple[str, ...], ends: dict[str, str]) -> DataFrame:
         mine = keys.filter(F.col("kind").isin(tag, "all")).groupBy("_file", "k").agg(F.min("v").alias("v"))
         names = mine.groupBy("_file").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_names"))
+        shared = mine.groupBy("k").agg(F.min("v").alias("v"))
+        others = shared.agg(F.map_from_entries(F.collect_list(F.struct("k", "v")))).scalar()
         rows = _rows(spark, path, tag, f"{', '.join(f'{c} STRING' for c in ends)}, {_DATA}").select("*", file)
 
         def field(name: str) -> Column:
             hit = F.filter("data", lambda d: F.col("_names")[d["_key"]] == name)
             return F.get(hit, F.lit(0))["_VALUE"].alias(name)
 
-        joined = rows.join(names, "_file", "left")
+        joined = rows.join(names, "_file", "left").withColumn("_names", F.coalesce("_names", others))
         return joined.select(*[F.col(c).alias(n) for c, n in ends.items()], *[field(n) for n in fields])
 
     edges = decoded("edge", EDGE_FIELDS, {"_source": "source", "_target": "target"})

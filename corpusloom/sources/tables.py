@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 
 def page_lookup(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages of the requested URLs from a crawl snapshot; ``found`` marks the hits."""
-    return requests.join(
-        pages.select("url", "page_id", "html"), "url", "left"
-    ).withColumn("found", F.col("page_id").isNotNull())
+    """Pages of the requested URLs from a crawl snapshot, with the columns ``pages`` comes with;
+    ``found`` marks the hits."""
+    return requests.join(pages, "url", "left").withColumn("found", F.col("page_id").isNotNull())
 
 
 def schema_listing(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
@@ -26,7 +25,3 @@ def schema_listing(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
         for i, f in enumerate(spark.read.parquet(path).schema.fields)
     ]
     return spark.range(1).select(F.inline(F.array(*rows)))
-
-
-def open_vectors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import ast
 import random
 
 import pytest
@@ -457,3 +458,60 @@ def test_hooks(spark, rows):
     assert rows(counts) == [(1, 2), (2, 1)]
     named = hooks.map_batches(df, lambda: lambda b: b.assign(name=b["text"].str.upper())[["id", "name"]], "id BIGINT, name STRING")
     assert rows(named) == [(1, "A BB"), (2, "CCC")]
+
+
+PYTHON_SOURCE = r'''import os
+
+
+@deco(
+"x")
+def one(
+a,
+b="(",
+):
+    x = """
+text at column 0
+def not_one():
+"""
+# a note at column 0
+    y = [1,
+2, {3:
+4}]
+    return x + \
+y  # tail
+
+
+class Two:
+    "doc # string"
+
+    async def three(self): return {"def": 1}
+
+# about four
+    def four(self):
+        z = 'it\'s ('
+        if z:
+# deep note
+
+            return """
+"""
+
+
+s = "(" * 3
+'''
+
+
+def test_python_blocks_are_those_of_the_syntax_tree(spark):
+    """Comments and strings at column 0, unindented signatures, decorators, a very long line."""
+    source = PYTHON_SOURCE + "t = '" + "q" * 1_000_000 + "'\n"
+    kinds = {ast.ClassDef: "class_definition", ast.FunctionDef: "function_definition", ast.AsyncFunctionDef: "function_definition"}
+    want = [(n.lineno, n.end_lineno, kinds[type(n)]) for n in ast.walk(ast.parse(source)) if type(n) in kinds]
+    files = spark.createDataFrame([("f", "a.py", source)], "file_id STRING, path STRING, text STRING")
+    got = code.python_blocks(files).select("start_line", "end_line", "type").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_script_blocks_with_a_very_long_string(spark):
+    source = "function f() {\n  return '" + "\\x{" * 300_000 + "';\n}\nclass A {\n}\n"
+    files = spark.createDataFrame([("f", "a.js", source)], "file_id STRING, path STRING, text STRING")
+    got = code.script_blocks(files).select("start_line", "end_line", "type").collect()
+    assert sorted(map(tuple, got)) == [(1, 3, "function_declaration"), (4, 5, "class_declaration")]

@@ -10,10 +10,11 @@
    prefix n-gram under each such order. Three are used: by rising frequency, and by two
    different hashes. Pairs come from the first and must pass the others before they are
    verified on the listed n-grams, which hold the whole intersection.
-4. Lists are first walked from each document to the next by size. Verified steps join
-   documents into components; then only pairs of the same list that lie in different
-   components are left, and all of those are tested. So every link between different
-   components is found, without the pairs inside a group of near copies.
+4. Lists are first walked from one document to the next, each list in an order of its own.
+   Verified steps join documents into components; then only pairs of the same list that lie in
+   different components are left, and all of those are tested whose sizes and places in the
+   order allow a link. So every link between different components is found, without the
+   pairs inside a group of near copies.
 
 N-grams are 48-bit hashes in the index (64-bit in the sets): a pair with 1,000 n-grams each
 has one chance in 280 million to count one too many in common.
@@ -43,8 +44,12 @@ PART = 4_000_000
 # An n-gram in more documents than this of one flush sends a count to its part and its
 # documents as a row of their own.
 OFTEN = 64
-# Members of a list that are walked as one chain.
+# Members of a list that are walked as one chain; how many of those before it in a list, and
+# how many in all, a document tries first.
 CHAIN = 100_000
+STEPS = 6
+EARLIER = 16
+TRIES = 24
 _BITS = np.uint64(48)
 _SHORT = np.uint64(0xA24BAED4963EE407)
 
@@ -236,8 +241,11 @@ def _survivors(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return kept.select("doc_id", "n", *prefixes, F.transform("tokens", lambda t: t["token"]).alias("tokens"))
 
 
-def _long_enough(small: Column, large: Column, percent: int) -> Column:
-    return small * 100 >= large * percent
+def _possible(n_a: Column, at_a: Column, n_b: Column, at_b: Column, percent: int) -> Column:
+    """Whether sets of these sizes whose first common n-gram stands at these places of the
+    order can have the similarity: by their sizes, and by what is left from there on."""
+    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+    return sizes & ((100 + percent) * F.least(n_a - at_a, n_b - at_b) >= percent * (n_a + n_b))
 
 
 def _verified(pairs: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
@@ -251,22 +259,33 @@ def _verified(pairs: DataFrame, survivors: DataFrame, percent: int) -> DataFrame
 
 
 def _chained(lists: DataFrame, percent: int) -> DataFrame:
-    """Each list's members in order of size, every one with the one before. Long lists are
-    walked in several chains."""
+    """First pairs to try: each list's members in an order of its own, every one with the few
+    before that are of about its size. Long lists are walked in several chains. A document
+    tries ``TRIES`` partners; what is not tried here is left to ``_across``."""
+    size, at = F.col("n"), F.col("at")
+    lists = lists.drop("earlier").filter(_possible(size, at, size, at, percent))  # others may pair with smaller ones only
     hot = lists.groupBy("token").count().filter(F.col("count") > CHAIN)
     chains = F.ceil(F.col("count") / CHAIN)
-    salted = lists.join(hot, "token", "left").withColumn(
-        "chain", F.when(F.col("count").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), chains)).cast("int")
+    salted = lists.join(hot, "token", "left").select(
+        *lists.columns,
+        F.when(F.col("count").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), chains)).cast("int").alias("chain"),
+        F.floor(F.log("n") / F.log(F.lit(1.1))).alias("size"),
+        F.xxhash64("token", "doc_id").alias("turn"),
     )
-    walk = Window.partitionBy("token", "chain").orderBy("n", "doc_id")
-    steps = salted.select("doc_id", "n", F.lag("doc_id").over(walk).alias("last"), F.lag("n").over(walk).alias("last_n"))
-    steps = steps.filter(F.col("last").isNotNull() & _long_enough(F.col("last_n"), F.col("n"), percent))
-    return steps.select(F.least("doc_id", "last").alias("a"), F.greatest("doc_id", "last").alias("b")).distinct()
+    walk = Window.partitionBy("token", "chain").orderBy("size", "turn", "doc_id").rowsBetween(-STEPS, -1)
+    before = F.collect_list(F.struct("doc_id", "n", "at")).over(walk)
+    steps = salted.select("doc_id", "n", "at", before.alias("lasts")).select("doc_id", "n", "at", F.explode("lasts").alias("last"))
+    steps = steps.filter(_possible(F.col("n"), F.col("at"), F.col("last.n"), F.col("last.at"), percent))
+    tries = steps.groupBy("doc_id", F.col("last.doc_id").alias("last")).count()
+    turn = Window.partitionBy("doc_id").orderBy(F.desc("count"), F.xxhash64("doc_id", "last"), "last")
+    tries = tries.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= TRIES)
+    return tries.select(F.least("doc_id", "last").alias("a"), F.greatest("doc_id", "last").alias("b")).distinct()
 
 
 def _across(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs of a list that lie in different components. Members of the list's largest
-    component meet the others only."""
+    component meet the others only. A pair that has one of its ``EARLIER`` n-grams before this one
+    in common is left to that n-gram's list, where it is at least as possible."""
     sizes = lists.groupBy("token", "component").count()
     most = sizes.groupBy("token").agg(
         F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("different")
@@ -274,12 +293,26 @@ def _across(lists: DataFrame, percent: int) -> DataFrame:
     mixed = lists.join(most.filter("different > 1").drop("different"), "token")
     mixed = _stored(mixed, "mixed-lists")
     small = mixed.filter("component <> largest").select(
-        "token", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a")
+        "token",
+        F.col("doc_id").alias("a"),
+        F.col("n").alias("n_a"),
+        F.col("at").alias("at_a"),
+        F.col("earlier").alias("earlier_a"),
+        F.col("component").alias("component_a"),
+    )
+    other = mixed.select(
+        "token",
+        F.col("doc_id").alias("b"),
+        F.col("n").alias("n_b"),
+        F.col("at").alias("at_b"),
+        F.col("earlier").alias("earlier_b"),
+        "component",
+        "largest",
     )
-    other = mixed.select("token", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), "component", "largest")
     once = (F.col("component") == F.col("largest")) | (F.col("a") < F.col("b"))
-    near = _long_enough(F.least("n_a", "n_b"), F.greatest("n_a", "n_b"), percent)
-    pairs = small.join(other, "token").filter((F.col("component_a") != F.col("component")) & once & near)
+    near = _possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), percent)
+    first = ~F.arrays_overlap("earlier_a", "earlier_b")
+    pairs = small.join(other, "token").filter((F.col("component_a") != F.col("component")) & once & near & first)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -298,13 +331,17 @@ def links(docs: DataFrame, sets: DataFrame, n: int = N, percent: int = PERCENT)
     dealt = postings.repartition(parts, "part").sortWithinPartitions("part", "often")
     sizes = classes.select("doc_id", F.col("n_shingles").alias("n"))
     survivors = _stored(_survivors(_shared(dealt), sizes, percent), "survivors")
-    lists = survivors.select("doc_id", "n", F.explode("by_df").alias("token"))
+    unlisted = F.greatest(F.col("n") - F.size("tokens"), F.lit(0))
+    earlier = F.transform("by_df", lambda t, i: F.slice("by_df", F.greatest(i - EARLIER + 1, F.lit(1)), F.least(i, F.lit(EARLIER))))
+    placed = F.arrays_zip(F.col("by_df").alias("token"), earlier.alias("earlier"))
+    lists = survivors.select("doc_id", "n", unlisted.alias("before"), F.posexplode(placed).alias("place", "p"))
+    lists = lists.select("doc_id", "n", "p.token", "p.earlier", (F.col("before") + F.col("place")).alias("at"))
     shared_lists = lists.groupBy("token").count().filter("count > 1").select("token")
     lists = _stored(lists.join(shared_lists, "token", "left_semi"), "lists")
     edges = _stored(_verified(_chained(lists, percent), survivors, percent), "edges")
     first = _stored(components(edges), "first-components")
     placed = lists.join(first, lists["doc_id"] == first["vertex"], "left").select(
-        "token", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")
+        "token", "doc_id", "n", "at", "earlier", F.coalesce("component", "doc_id").alias("component")
     )
     more = _stored(_verified(_across(placed, percent), survivors, percent), "more-edges")
     if more.isEmpty():

@@ -146,11 +146,6 @@ def with_chunk_id(chunks: DataFrame, text: str = "text") -> DataFrame:
     return chunks.withColumn("chunk_id", F.md5(F.col(text)))
 
 
-def chunk_texts(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """The chunk text as a string; chunks without one are dropped."""
-    return chunks.withColumn(text, F.col(text).cast("string")).filter(F.col(text).isNotNull())
-
-
 def unique_chunks(chunks: DataFrame) -> DataFrame:
     """One row per ``chunk_id``: the copy with the smallest ``(doc_id, seq)``.
 

@@ -14,13 +14,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyarrow import dataset, fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators.skew import HOT_ROWS, salted_join, top_k
 from corpusloom.options import SEARCH_MODES
-from corpusloom.session import stored
+from corpusloom.session import new_path
 
 PARTS = ("entity", "relation", "chunk")
 
@@ -298,9 +299,7 @@ def no_hits(queries: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-# Query vectors handed to every task stay below this many bytes, and a task scores one
-# batch of its vectors against this many of them at a time.
-QUERY_BLOCK_BYTES = 64 << 20
+# A task scores one batch of its vectors against this many questions at a time.
 QUERIES_AT_ONCE = 256
 
 
@@ -314,30 +313,34 @@ def _best(scores: np.ndarray, ids: np.ndarray, items: np.ndarray, k: int) -> pd.
     return pd.DataFrame({"query_id": ids[q], "item_id": items[i], "score": scores[q, i]})
 
 
-def _local_top(block: list[tuple[int, list[float]]], k: int):
-    """A ``mapInPandas`` function: the ``k`` best of one task's vectors for each query."""
-    ids = np.array([q for q, _ in block], dtype=np.int64)
-    base = np.array([v for _, v in block], dtype=np.float64) if block else np.zeros((0, 1))
-    length = np.linalg.norm(base, axis=1)
-    ids, base = ids[length > 0], base[length > 0] / length[length > 0, None]
+def _questions(folder: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of the stored questions, a block at a time."""
+    files, root = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+    for batch in dataset.dataset(root, filesystem=files, format="parquet").to_batches(batch_size=QUERIES_AT_ONCE):
+        rows = [(q, v) for q, v in zip(batch["query_id"].to_pylist(), batch["embedding"].to_pylist()) if v]
+        if not rows:
+            continue
+        base = np.array([v for _, v in rows], dtype=np.float64)
+        length = np.linalg.norm(base, axis=1)
+        yield np.array([q for q, _ in rows], np.int64)[length > 0], base[length > 0] / length[length > 0, None]
+
+
+def _local_top(folder: str, k: int):
+    """A ``mapInPandas`` function: the ``k`` best of each batch of vectors for each question."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame] = []
         for pdf in batches:
-            if pdf.empty or not len(ids):
+            if pdf.empty:
                 continue
             m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
             size = np.linalg.norm(m, axis=1)
             items = pdf["item_id"].to_numpy()[size > 0]
             unit = (m[size > 0] / size[size > 0, None]).T
-            for at in range(0, len(ids), QUERIES_AT_ONCE):
-                part = slice(at, at + QUERIES_AT_ONCE)
-                best.append(_best(np.round(base[part] @ unit, 6), ids[part], items, k))
-            merged = pd.concat(best).sort_values(
-                ["query_id", "score", "item_id"], ascending=[True, False, True]
-            )
-            best = [merged.groupby("query_id").head(k)]
-        yield from best
+            for ids, base in _questions(folder):
+                if len(ids) and len(items):
+                    found = _best(np.round(base @ unit, 6), ids, items, k)
+                    found = found.sort_values(["query_id", "score", "item_id"], ascending=[True, False, True])
+                    yield found.groupby("query_id").head(k)
 
     return run
 
@@ -348,33 +351,20 @@ def vector_topk(
     k: int,
     vec_id: str = "item_id",
     embedding: str = "embedding",
-    block_bytes: int = QUERY_BLOCK_BYTES,
 ) -> DataFrame:
     """Exact cosine top ``k`` of ``vectors`` for each row of ``queries(query_id, embedding)``.
 
-    Each task scores its own vectors against a block of queries and keeps ``k`` per
-    query; only those reach the final ranking. A block is at most ``block_bytes``; a
-    longer batch is searched block after block, each result written before the next
-    block is fetched, so neither the driver nor a task ever holds more than one.
-    Zero vectors are not ranked.
+    The questions are written once to the shared folder. Every task passes over its own
+    vectors once and reads the questions block by block for each batch of them, so nothing
+    passes through the driver and no task holds more than a block. ``k`` per question and
+    batch reach the ranking. Zero vectors are not ranked.
     """
+    asked = new_path(queries.sparkSession, "questions")
+    queries.select(
+        F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")
+    ).write.parquet(asked)
     source = vectors.select(
         F.col(vec_id).cast("long").alias("item_id"), F.col(embedding).alias("embedding")
     )
-
-    def search(block: list[tuple[int, list[float]]]) -> DataFrame:
-        schema = "query_id BIGINT, item_id BIGINT, score DOUBLE"
-        return source.mapInPandas(_local_top(block, k), schema)
-
-    done: list[DataFrame] = []
-    block: list[tuple[int, list[float]]] = []
-    used = 0
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        size = 8 * len(row[1])
-        if block and used + size > block_bytes:
-            done.append(stored(search(block), "vector-block"))
-            block, used = [], 0
-        block.append((row[0], list(row[1])))
-        used += size
-    found = union([*done, search(block)])
+    found = source.mapInPandas(_local_top(asked, k), "query_id BIGINT, item_id BIGINT, score DOUBLE")
     return top_k(found, ["query_id"], [F.desc("score"), F.col("item_id")], k)

@@ -6,14 +6,11 @@ from dataclasses import dataclass
 
 # The limits and defaults users rely on.
 SEARCH_MODES = ("naive", "local", "global", "hybrid", "mix")
-DEFAULT_MODE = "hybrid"
 DEFAULT_LIMIT = 10
 CONTEXT_LIMIT = 5
-EMBEDDING_DIM = 1536
 MAX_TOKEN_SIZE = 8192
 CHUNK_TOKENS = 8191
 CODE_WINDOW_LINES = 800
-INSERT_BATCH = 20
 NODE_BATCH = 500
 EDGE_BATCH = 100
 TRIPLE_LIMIT = 300
@@ -24,8 +21,4 @@ class Options:
     sitemap_only: bool = False
     db_path: str = "data/default_db"
     output_dir: str = "output"
-    embedding_dim: int = EMBEDDING_DIM
     max_token_size: int = MAX_TOKEN_SIZE
-    search_modes: tuple[str, ...] = SEARCH_MODES
-    default_search_mode: str = DEFAULT_MODE
-    default_result_limit: int = DEFAULT_LIMIT

@@ -41,16 +41,21 @@ def word_gazetteer(texts: DataFrame, min_letters: int = 6, text: str = "text") -
     )
 
 
-def build(docs: DataFrame, gazetteer: DataFrame, max_tokens: int) -> Index:
+def build(
+    docs: DataFrame, gazetteer: DataFrame, max_tokens: int, pair_window: int = graph.PAIR_WINDOW
+) -> Index:
     """Write the corpus tables once; everything that is keyed by chunk is bucketed by it,
-    so scoring and relation building need no further shuffle on ``chunk_id``."""
+    so scoring and relation building need no further shuffle on ``chunk_id``.
+
+    Relations are pairs of entities at most ``pair_window`` words apart in a chunk.
+    """
     chunks = stored(corpus_chunks(docs, max_tokens), "chunks", bucket_by="chunk_id")
     vectors = stored(retrieval.term_vectors(chunks, "chunk_id"), "vectors", bucket_by="chunk_id")
     found = stored(
         graph.mentions(chunks, stored(gazetteer, "gazetteer")), "mentions", bucket_by="chunk_id"
     )
     sources = stored(graph.entity_sources(found), "entity-sources", bucket_by="chunk_id")
-    pairs = stored(graph.relation_pairs(found), "relation-pairs", bucket_by="chunk_id")
+    pairs = stored(graph.relation_pairs(found, pair_window), "relation-pairs", bucket_by="chunk_id")
     nodes = stored(graph.entity_merge(sources), "nodes")
     edges = stored(graph.relation_merge(pairs), "edges")
     return Index(chunks, vectors, sources, pairs, nodes, edges)

@@ -42,7 +42,11 @@ def process(
             F.col("source_file").alias("source"), F.posexplode("chunks").alias("seq", "text")
         )
     )
-    sinks.insert_chunks(chunks.dropDuplicates(["chunk_id"]), store, path)
+    # Of equal chunks the first by source and place stays, on every run.
+    first = chunks.groupBy("chunk_id").agg(F.min(F.struct("source", "seq")).alias("_first"))
+    first = first.select("chunk_id", "_first.*")
+    once = chunks.join(first, ["chunk_id", "source", "seq"], "left_semi")
+    sinks.insert_chunks(once, store, path)
     files = good.join(
         records.select(F.col("source_file").alias("item"), "num_chunks"), "item", "left"
     ).select(

@@ -29,7 +29,15 @@ def chunk_records(
 
 
 def write_chunk_records(records: DataFrame, path: str) -> None:
-    records.write.mode("append").json(path)
+    """One folder per run, named by its timestamp; a repeated run replaces its own."""
+    run = F.date_format("timestamp", "yyyyMMddHHmmss")
+    (
+        records.withColumn("run", run)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run")
+        .json(path)
+    )
 
 
 def chunk_summary(records: DataFrame) -> DataFrame:

@@ -331,14 +331,15 @@ def test_hybrid_is_the_first_of_local_and_global(spark, small_index):
     assert {r.mode for r in search.by_mode(small_index, by_mode).collect()} == {"naive", "mix"}
 
 
-def test_vector_topk_blocks_and_zero_vectors(spark, rows):
+def test_vector_topk_blocks_and_zero_vectors(spark, rows, monkeypatch):
     vectors = spark.createDataFrame(
         [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, [1.0, 1.0])], "item_id BIGINT, embedding ARRAY<FLOAT>"
     )
     asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 2.0]), (9, [0.0, 0.0])], "query_id BIGINT, embedding ARRAY<DOUBLE>")
     expected = [(7, 1, 1.0, 1), (7, 4, 0.707107, 2), (8, 2, 1.0, 1), (8, 4, 0.707107, 2)]
     assert rows(retrieval.vector_topk(vectors, asked, 2)) == expected
-    assert rows(retrieval.vector_topk(vectors, asked, 2, block_bytes=16)) == expected
+    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 1)
+    assert rows(retrieval.vector_topk(vectors, asked, 2)) == expected
     assert retrieval.vector_topk(vectors, asked.limit(0), 2).count() == 0
 
 

@@ -390,14 +390,6 @@ pairs AS (
   FROM mentions a JOIN mentions b
     ON a.chunk_id = b.chunk_id AND b.pos > a.pos AND b.pos <= a.pos + 5 AND a.name <> b.name
   GROUP BY ALL)"""
-EDGES = f"""
-edges AS (
-  SELECT source, target, CAST(sum(weight) AS DOUBLE) AS weight,
-         source || ' with ' || target || ' in ' || count(*) || ' chunks' AS description,
-         CASE WHEN bit_or(links) <> 0 THEN array_to_string(list_filter({CONNECTORS},
-           lambda c: bit_or(links) & (CAST(1 AS BIGINT) << (list_position({CONNECTORS}, c) - 1)) <> 0), ',') END AS keywords,
-         CAST(min(doc_id) AS VARCHAR) AS source_id, count(*) AS n_sources
-  FROM pairs GROUP BY source, target)"""
 # An aggregate cannot stand inside a lambda, so the mask is worked out first.
 EDGES = f"""
 edges AS (

@@ -12,37 +12,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators.skew import numbered, salted_join
+from corpusloom.operators.skew import numbered, salted_join, top_k
 from corpusloom.options import EDGE_BATCH, NODE_BATCH, TRIPLE_LIMIT
 
-# Words that can name a relation when they directly follow its first entity. A set of
-# them is kept as one bit mask, so at most 63 fit.
-CONNECTORS = (
-    "a", "an", "and", "are", "as", "at", "by", "con", "de", "del", "der", "des", "die", "du",
-    "el", "en", "es", "et", "for", "from", "in", "is", "it", "la", "las", "le", "les", "los",
-    "mit", "of", "on", "or", "para", "por", "que", "that", "the", "this", "to", "un", "und",
-    "une", "von", "was", "with", "y",
-)
+# An edge row shows this many keywords, the commonest; ``relation_keywords`` has all of them.
+SHOWN_KEYWORDS = 5
+# Words between two related entities at most, unless a caller says otherwise.
 PAIR_WINDOW = 5
 
 # Keyword fragments that name a relation type, first match wins.
 RELATION_TYPES = ("lead", "participate", "uses", "located", "occurs")
 
 
-def _bits() -> Column:
-    return F.array(*[F.lit(1 << i).cast("long") for i in range(len(CONNECTORS))])
-
-
 def mentions(chunks: DataFrame, gazetteer: DataFrame, kind: str = "lang") -> DataFrame:
     """Gazetteer words in each chunk with their position.
 
     ``chunks(chunk_id, doc_id, text, <kind>)``, ``gazetteer(term)`` or
     ``gazetteer(term, entity_type)``; without a type of its own a mention takes the
-    chunk's ``kind``. Rows: ``chunk_id, doc_id, pos, name, entity_type, link``.
+    chunk's ``kind``. Rows: ``chunk_id, doc_id, pos, name, entity_type, link``, where ``link`` is
+    the word that follows, whatever it is, null at the end of a chunk.
     The join is a plain equi join: Catalyst broadcasts the gazetteer while it is under
     the size threshold and otherwise sort-merges with skew splitting.
     """
-    connectors = F.array(*[F.lit(c) for c in CONNECTORS])
 
     def with_context(ws: Column) -> Column:
         return F.transform(
@@ -58,15 +49,13 @@ def mentions(chunks: DataFrame, gazetteer: DataFrame, kind: str = "lang") -> Dat
         .join(gazetteer.withColumnRenamed("term", "name"), "name")
     )
     own = F.col("entity_type") if "entity_type" in gazetteer.columns else F.lit(None).cast("string")
-    place = F.array_position(connectors, F.col("next_word")).cast("int")
-    link = F.get(_bits(), place - 1)
     return found.select(
         "chunk_id",
         "doc_id",
         F.col("pos").cast("long").alias("pos"),
         "name",
         F.coalesce(own, F.col("_kind")).alias("entity_type"),
-        F.coalesce(link, F.lit(0).cast("long")).alias("link"),
+        F.col("next_word").alias("link"),
     )
 
 
@@ -126,13 +115,17 @@ def entity_merge(sources: DataFrame) -> DataFrame:
 def relation_pairs(found: DataFrame, window: int = PAIR_WINDOW) -> DataFrame:
     """Undirected relations per chunk: two different entities at most ``window`` words apart.
 
+    ``links`` are the words that follow the first of the two, where one stands between them.
+
     Each mention meets only the mentions in the next ``window`` words, so the rows grow
     with the text and not with the square of a chunk's mentions.
     """
     ahead = Window.partitionBy("chunk_id").orderBy("pos").rangeBetween(1, window)
     return (
-        found.withColumn("ahead", F.collect_list("name").over(ahead))
-        .withColumn("later", F.explode("ahead"))
+        found.withColumn("ahead", F.collect_list(F.struct("pos", "name")).over(ahead))
+        .withColumn("next", F.explode("ahead"))
+        .withColumn("later", F.col("next.name"))
+        .withColumn("between", F.when(F.col("next.pos") > F.col("pos") + 1, F.col("link")))
         .filter(F.col("name") != F.col("later"))
         .groupBy(
             "chunk_id",
@@ -140,27 +133,30 @@ def relation_pairs(found: DataFrame, window: int = PAIR_WINDOW) -> DataFrame:
             F.least("name", "later").alias("source"),
             F.greatest("name", "later").alias("target"),
         )
-        .agg(F.count("*").alias("weight"), F.bit_or("link").alias("links"))
+        .agg(F.count("*").alias("weight"), F.sort_array(F.collect_set("between")).alias("links"))
     )
 
 
-def keywords(links: Column) -> Column:
-    """Connector words of a bit mask, in list order, joined by commas; null when none."""
-    names = F.array(*[F.lit(c) for c in CONNECTORS])
-    kept = F.filter(names, lambda c, i: links.bitwiseAND(F.get(_bits(), i)) != 0)
-    return F.when(links != 0, F.array_join(kept, ","))
+def relation_keywords(pairs: DataFrame) -> DataFrame:
+    """``source, target, keyword, n_chunks``: every word that links two entities."""
+    words = pairs.select("source", "target", F.explode("links").alias("keyword"))
+    return words.groupBy("source", "target", "keyword").agg(F.count("*").alias("n_chunks"))
 
 
 def relation_merge(pairs: DataFrame) -> DataFrame:
-    """One edge per (source, target): summed weight, merged keywords, first source."""
+    """One edge per (source, target): summed weight, commonest keywords, first source."""
+    order = [F.desc("n_chunks"), F.col("keyword")]
+    shown = top_k(relation_keywords(pairs), ["source", "target"], order, SHOWN_KEYWORDS)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda k: k["keyword"])
+    shown = shown.groupBy("source", "target").agg(F.array_join(listed, ",").alias("keywords"))
     return (
         pairs.groupBy("source", "target")
         .agg(
             F.sum("weight").alias("w"),
             F.count("*").alias("n_sources"),
-            F.bit_or("links").alias("links"),
             F.min("doc_id").alias("first_doc"),
         )
+        .join(shown, ["source", "target"], "left")
         .select(
             "source",
             "target",
@@ -173,7 +169,7 @@ def relation_merge(pairs: DataFrame) -> DataFrame:
                 F.col("n_sources").cast("string"),
                 F.lit(" chunks"),
             ).alias("description"),
-            keywords(F.col("links")).alias("keywords"),
+            "keywords",
             F.col("first_doc").cast("string").alias("source_id"),
             "n_sources",
         )

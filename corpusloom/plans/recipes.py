@@ -518,10 +518,15 @@ def entity_sources(spark, sf_dir):
 @query
 def relation_pairs(spark, sf_dir):
     return graph.relation_pairs(_mentions(spark, sf_dir)).select(
-        "chunk_id", "source", "target", "weight", "links"
+        "chunk_id", "source", "target", "weight", F.array_join("links", ",").alias("links")
     )
 
 
+@query
+def relation_keywords(spark, sf_dir):
+    return graph.relation_keywords(index(spark, sf_dir).pairs)
+
+
 @query
 def relation_merge(spark, sf_dir):
     return graph.relation_merge(graph.relation_pairs(_mentions(spark, sf_dir)))
@@ -554,9 +559,7 @@ def label_counts(spark, sf_dir):
 
 @query
 def relation_type(spark, sf_dir):
-    edges = index(spark, sf_dir).edges.withColumn(
-        "keywords", F.concat_ws(",", F.col("keywords"), F.col("source"), F.col("target"))
-    )
+    edges = index(spark, sf_dir).edges
     return graph.with_relation_type(edges).select("source", "target", "keywords", "rel_type")
 
 

@@ -340,12 +340,6 @@ ORACLES["html_json"] = ORACLES["html_struct"]
 
 # ---------------------------------------------------------------- graph
 
-CONNECTORS = (
-    "['a','an','and','are','as','at','by','con','de','del','der','des','die','du','el','en','es',"
-    "'et','for','from','in','is','it','la','las','le','les','los','mit','of','on','or','para','por',"
-    "'que','that','the','this','to','un','und','une','von','was','with','y']"
-)
-
 GAZETTEER = r"""
 gazetteer AS (
   SELECT DISTINCT w AS term
@@ -361,9 +355,7 @@ def _mentions(name: str, source: str, kind: str) -> str:
   FROM (SELECT chunk_id, doc_id, {kind}, regexp_extract_all(lower(text), '\p{{L}}+') AS ws FROM {source})),
 {name} AS (
   SELECT chunk_id, doc_id, pos, name, kind AS entity_type,
-         CASE WHEN list_contains({CONNECTORS}, ws[pos + 2])
-              THEN CAST(1 AS BIGINT) << (list_position({CONNECTORS}, ws[pos + 2]) - 1)
-              ELSE CAST(0 AS BIGINT) END AS link
+         ws[pos + 2] AS link
   FROM {name}_w WHERE name IN (SELECT term FROM gazetteer))"""
 
 
@@ -386,21 +378,25 @@ NODES = _nodes("nodes", "mentions")
 PAIRS = """
 pairs AS (
   SELECT a.chunk_id, a.doc_id, least(a.name, b.name) AS source, greatest(a.name, b.name) AS target,
-         count(*) AS weight, bit_or(a.link) AS links
+         count(*) AS weight, list_sort(list_distinct(list(a.link) FILTER (b.pos > a.pos + 1))) AS links
   FROM mentions a JOIN mentions b
     ON a.chunk_id = b.chunk_id AND b.pos > a.pos AND b.pos <= a.pos + 5 AND a.name <> b.name
   GROUP BY ALL)"""
-# An aggregate cannot stand inside a lambda, so the mask is worked out first.
-EDGES = f"""
+EDGES = """
+words_between AS (
+  SELECT source, target, keyword, count(*) AS n_chunks
+  FROM (SELECT source, target, unnest(links) AS keyword FROM pairs) GROUP BY ALL),
+shown_words AS (
+  SELECT source, target, string_agg(keyword, ',' ORDER BY n_chunks DESC, keyword) AS keywords
+  FROM (SELECT * FROM words_between
+        QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY n_chunks DESC, keyword) <= 5)
+  GROUP BY source, target),
 edges AS (
-  SELECT source, target, weight, description,
-         CASE WHEN links <> 0 THEN array_to_string(list_filter({CONNECTORS},
-           lambda c: links & (CAST(1 AS BIGINT) << (list_position({CONNECTORS}, c) - 1)) <> 0), ',') END AS keywords,
-         source_id, n_sources
+  SELECT source, target, weight, description, keywords, source_id, n_sources
   FROM (SELECT source, target, CAST(sum(weight) AS DOUBLE) AS weight,
                source || ' with ' || target || ' in ' || count(*) || ' chunks' AS description,
-               bit_or(links) AS links, CAST(min(doc_id) AS VARCHAR) AS source_id, count(*) AS n_sources
-        FROM pairs GROUP BY source, target))"""
+               CAST(min(doc_id) AS VARCHAR) AS source_id, count(*) AS n_sources
+        FROM pairs GROUP BY source, target) LEFT JOIN shown_words USING (source, target))"""
 GRAPH = (TOKENS, WINDOWS, CHUNKS, MENTIONS, NODES, PAIRS, EDGES)
 TALK_NODES = (
     """
@@ -420,7 +416,8 @@ ORACLES["entity_sources"] = _with(TOKENS, WINDOWS, CHUNKS, MENTIONS) + """
 SELECT chunk_id, name, count(*) AS n FROM mentions GROUP BY ALL"""
 ORACLES["entity_merge"] = _with(TOKENS, WINDOWS, CHUNKS, MENTIONS, NODES) + "SELECT * FROM nodes"
 ORACLES["relation_pairs"] = _with(TOKENS, WINDOWS, CHUNKS, MENTIONS, PAIRS) + """
-SELECT chunk_id, source, target, weight, links FROM pairs"""
+SELECT chunk_id, source, target, weight, coalesce(array_to_string(links, ','), '') AS links FROM pairs"""
+ORACLES["relation_keywords"] = _with(*GRAPH) + "SELECT * FROM words_between"
 ORACLES["relation_merge"] = _with(*GRAPH) + "SELECT * FROM edges"
 
 ORACLES["node_upsert"] = _with(*GRAPH, *TALK_NODES) + """
@@ -434,7 +431,7 @@ SELECT source, target, k AS keywords,
        CASE WHEN contains(k, 'lead') THEN 'lead' WHEN contains(k, 'participate') THEN 'participate'
             WHEN contains(k, 'uses') THEN 'uses' WHEN contains(k, 'located') THEN 'located'
             WHEN contains(k, 'occurs') THEN 'occurs' ELSE replace(split_part(k, ',', 1), '"', '') END AS rel_type
-FROM (SELECT source, target, concat_ws(',', keywords, source, target) AS k FROM edges)"""
+FROM (SELECT source, target, keywords AS k FROM edges)"""
 ORACLES["edge_endpoints"] = _with(*GRAPH, *TALK_NODES) + """
 SELECT source, target, weight, keywords, source_id FROM edges
 WHERE source IN (SELECT id FROM talk_nodes) AND target IN (SELECT id FROM talk_nodes)"""

@@ -59,6 +59,7 @@ def main() -> None:
             "spark.sql.shuffle.partitions": cpus,
             "spark.ui.enabled": "false",
             "spark.driver.memory": "16g",
+            recipes.INPUT_PARTITIONS: cpus,  # the given text tables are one row group each
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

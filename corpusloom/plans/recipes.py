@@ -54,8 +54,17 @@ def query(fn: Query) -> Query:
     return fn
 
 
+# Tables with long texts, and the key that deals them out where a session asks for it.
+_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+INPUT_PARTITIONS = "corpusloom.inputPartitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table as it is stored. A session may set ``corpusloom.inputPartitions`` to deal out
+    text tables that are one row group, which one task would read; nothing does so by itself."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    parts = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(parts), _TEXT_TABLES[name]) if parts and name in _TEXT_TABLES else df
 
 
 def long(column: Column) -> Column:

@@ -32,6 +32,7 @@ UNKNOWN = "und"
 LEAST_SCORE = 0.05
 
 _BLOCK = 128
+SLICE_BYTES = 4 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -115,7 +116,7 @@ def fit(docs: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     the driver."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES):
             found = [p.astype(np.uint16).tobytes() for p in _presence(batch.column("text"))]
             yield record_batch(turn=batch.column("turn"), lang=batch.column("lang"), doc_id=batch.column("doc_id"), found=found)
 
@@ -153,7 +154,7 @@ def predict(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
     model = fit(rows, training_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES):
             names, best = _best(model, batch.column("text"))
             yield record_batch(doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), lang_pred=names, score=best)
 
@@ -172,7 +173,7 @@ def accepted(docs: DataFrame, least: float = LEAST_SCORE, training_rows: int = T
     model = fit(rows, training_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES):
             names, best = _best(model, batch.column("text"))
             yield batch.filter(pa.array((names != UNKNOWN) & (best >= least)))
 

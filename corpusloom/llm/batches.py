@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,15 +22,6 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
         cuts = np.flatnonzero(np.diff(group)) + 1
         for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(start, end - start)
-    give_back()
-
-
-def give_back() -> None:
-    """Hand freed memory back to the system: a worker process stays for later tasks."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

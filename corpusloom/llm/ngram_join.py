@@ -32,16 +32,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.batches import give_back, grams, mix, record_batch, slices, word_hashes, words
+from corpusloom.llm.batches import grams, mix, record_batch, slices, word_hashes, words
 from corpusloom.llm.components import components
 from corpusloom.session import new_path
 
 N = 5
 PERCENT = 80
 # Postings a map task sorts at a time, and postings of one part of the index.
-FLUSH = 1_500_000
-PART = 1_000_000
-SLICE_BYTES = 4 << 20
+FLUSH = 4_000_000
+PART = 4_000_000
 # An n-gram in more documents than this of one flush sends a count to its part and its
 # documents as a row of their own.
 OFTEN = 64
@@ -79,7 +78,7 @@ def shingle_sets(docs: DataFrame, n: int = N) -> DataFrame:
     """``doc_id, n_shingles, k1, k2``: size and 128-bit key of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=SLICE_BYTES):
+        for batch in slices(batches):
             sizes, keys = [], []
             for found in _sets(batch, n):
                 sizes.append(len(found))
@@ -157,7 +156,7 @@ def _postings(chosen: DataFrame, n: int, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, docs, held, last = [], [], 0, None
-        for batch in slices(batches, size=SLICE_BYTES):
+        for batch in slices(batches):
             rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "k1", "k2")), _sets(batch, n))
             for doc_id, k1, k2, found in rows:
                 if doc_id == last or _key(found) != (k1, k2):
@@ -211,7 +210,6 @@ def _shared(postings: DataFrame) -> DataFrame:
                 yield record_batch(doc_id=doc, token=token.astype(np.int64), df=np.repeat(df, len(doc)))
         if runs:
             yield merged(runs)[0]
-        give_back()
 
     return postings.mapInArrow(run, "doc_id long, token long, df long")
 

@@ -174,6 +174,17 @@ def _postings(chosen: DataFrame, n: int, parts: int) -> DataFrame:
     return chosen.mapInArrow(run, "part int, often boolean, payload binary")
 
 
+def _copies(docs: DataFrame, n: int) -> DataFrame:
+    """One row of each ``doc_id`` whose set is the one it stands for, wherever its copies lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys = zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist())
+            yield batch.filter(pa.array([_key(found) == key for key, found in zip(keys, _sets(batch, n))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema).dropDuplicates(["doc_id"])
+
+
 def _shared(postings: DataFrame) -> DataFrame:
     """``doc_id, token, df`` of all n-grams in two documents or more. A part's runs are merged in
     memory; documents of an n-gram that is frequent in one flush pass by a flush at a time."""
@@ -326,8 +337,13 @@ def links(docs: DataFrame, sets: DataFrame, n: int = N, percent: int = PERCENT)
     classes = _stored(classes, "classes")
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     parts = 1 + total // PART
-    texts = docs.join(classes.select("doc_id", "k1", "k2"), "doc_id").sortWithinPartitions("doc_id")
-    postings = _postings(texts.select("doc_id", "text", "k1", "k2"), n, parts)
+    texts = docs.join(classes.select("doc_id", "k1", "k2"), "doc_id").select("doc_id", "text", "k1", "k2")
+    repeated = _stored(sets.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        # An n-gram counts once per document: copies may lie in different tasks.
+        copies = _copies(texts.join(repeated, "doc_id", "left_semi"), n)
+        texts = texts.join(repeated, "doc_id", "left_anti").unionAll(copies)
+    postings = _postings(texts.sortWithinPartitions("doc_id"), n, parts)
     dealt = postings.repartition(parts, "part").sortWithinPartitions("part", "often")
     sizes = classes.select("doc_id", F.col("n_shingles").alias("n"))
     survivors = _stored(_survivors(_shared(dealt), sizes, percent), "survivors")

@@ -7,9 +7,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import reduce
 from itertools import combinations
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import langid, line_dedup, ngram_join, quality, secret_scan
@@ -77,6 +79,18 @@ def test_near_copies_odd_rows(spark):
     assert ngram_join.near_duplicates(docs.filter("doc_id > 99")).count() == 0
 
 
+def test_near_copies_of_rows_repeated_over_partitions(spark):
+    """Copies of one row in several tasks count each n-gram of the document once."""
+    common = [f"c{i}" for i in range(96)]
+    a, b = " ".join([*(f"a{i}" for i in range(8)), *common]), " ".join([*common, *(f"b{i}" for i in range(8))])
+    parts = [spark.createDataFrame([row], "doc_id long, text string") for row in [(1, a), (2, b), (1, a), (1, a), (2, b)]]
+    docs = reduce(DataFrame.unionAll, parts)
+    assert docs.rdd.getNumPartitions() >= 5
+    got = by_id(ngram_join.near_duplicates(docs), "doc_id", "component_id")
+    assert got == [(1, 1)] * 3 + [(2, 1)] * 2
+    assert by_id(ngram_join.one_of_each(docs), "doc_id") == [(1,)] * 3
+
+
 # ------------------------------------------------------------------ languages
 
 

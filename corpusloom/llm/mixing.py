@@ -1,25 +1,33 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 The documents of a source are dealt into blocks in hash order. Time is counted in slots of one
-block. Block j of a source with weight w is released at ``floor(j / w)`` and due at
-``ceil((j + 1) / w)``; each slot goes to the released block with the earliest deadline. After any
-number of slots a source then has less than one block more or less than its weight asks.
+block. While all sources last, block j of a source with weight w is released at ``floor(j / w)``
+and due at ``ceil((j + 1) / w)``; each slot goes to the released block with the earliest
+deadline. After any number of slots a source then has less than one block more or less than
+its weight asks. Weights are taken as they are, in whole numbers without rounding.
 
-Weights are whole parts of a period, so the schedule repeats after one period, and only one
-period is ever simulated; a block's slot follows from its number. When a source has no
-block left, a new phase begins with the weights of the others. Nothing is left out.
+When a source has no block left, the others share its slots by their weights: the ideal mix goes
+on with steeper lines, and releases and deadlines follow from it. Nothing is left out.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, bisect_right
 from collections.abc import Mapping
+from fractions import Fraction
+from math import lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
+from corpusloom.session import stored
+
 BLOCK_DOCS = 32
+# Blocks of a source in one row of the schedule.
 PERIOD = 1_000
 # Rows of one source numbered by one task.
 STRETCH_ROWS = 50_000
@@ -41,55 +49,85 @@ def parts_of(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, in
 
 
 def schedule(parts: Mapping[str, int]) -> list[str]:
-    """One period: the source of each slot, earliest deadline first among released blocks.
-    Equal deadlines go to the larger weight, then by name."""
-    period = sum(parts.values())
-    waiting = [(0, s, 0) for s in sorted(parts)]
+    """One period of whole parts: the source of each slot."""
+    order = [""] * sum(parts.values())
+    for source, slots in slots_of(parts, parts).items():
+        for slot in slots.tolist():
+            order[slot] = source
+    return order
+
+
+class _Ideal:
+    """The slots all sources together have taken when each has had ``x`` times its weight, or all its
+    blocks: a concave line in pieces, the smallest of ``done + total * x``."""
+
+    def __init__(self, blocks: Mapping[str, int], whole: Mapping[str, int]):
+        ends: dict[Fraction, list[str]] = {}
+        for source, n in blocks.items():
+            ends.setdefault(Fraction(n, whole[source]), []).append(source)
+        done, total = 0, sum(whole[s] for s in blocks)
+        self.ends, self.pieces = sorted(ends), [(done, total)]
+        for end in self.ends:
+            done += sum(blocks[s] for s in ends[end])
+            total -= sum(whole[s] for s in ends[end])
+            self.pieces.append((done, total))
+        self.near = [float(e / self.ends[-1]) for e in self.ends]
+
+    def floor_ceil(self, j: int, weight: int) -> tuple[int, int]:
+        """Slots before ``x = j / weight``, rounded down and up."""
+        x = j * self.ends[-1].denominator / (weight * self.ends[-1].numerator)
+        first, last = bisect_left(self.near, x * (1 - 1e-9)), bisect_right(self.near, x * (1 + 1e-9))
+        pieces = self.pieces[first : last + 1]
+        return min(d + t * j // weight for d, t in pieces), min(d - (-t * j // weight) for d, t in pieces)
+
+
+def slots_of(blocks: Mapping[str, int], weights: Mapping[str, float]) -> dict[str, np.ndarray]:
+    """The slot of every block of each source, earliest deadline first among released blocks. Equal
+    deadlines go to the larger weight, then by name."""
+    exact = {s: Fraction(weights[s]) for s in blocks}
+    common = lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * common) for s, w in exact.items()}
+    ideal = _Ideal(blocks, whole)
+    waiting: list[tuple[int, str, int, int]] = []
     ready: list[tuple[int, int, str, int]] = []
-    slots = []
-    heapq.heapify(waiting)
-    for slot in range(period):
+    slots = {s: np.empty(n, np.int64) for s, n in blocks.items()}
+
+    def wait(source: str, j: int, release: int) -> tuple[int, int]:
+        """The deadline of block ``j``, and the release of the next."""
+        following, due = ideal.floor_ceil(j + 1, whole[source])
+        heapq.heappush(waiting, (release, source, j, due))
+        return due, following
+
+    following = {s: wait(s, 0, 0)[1] for s in blocks}
+    for slot in range(sum(blocks.values())):
         while waiting and waiting[0][0] <= slot:
-            _, source, j = heapq.heappop(waiting)
-            due = -(-(j + 1) * period // parts[source])
-            heapq.heappush(ready, (due, -parts[source], source, j))
+            _, source, j, due = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, -whole[source], source, j))
         _, _, source, j = heapq.heappop(ready)
-        slots.append(source)
-        if j + 1 < parts[source]:
-            heapq.heappush(waiting, ((j + 1) * period // parts[source], source, j + 1))
+        slots[source][j] = slot
+        if j + 1 < blocks[source]:
+            following[source] = wait(source, j + 1, following[source])[1]
     return slots
 
 
 def plan(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[tuple]:
-    """The phases of a mix: ``source, first_block, last_block, first_slot, period, slots``.
+    """The slots of a mix: ``source, first_block, last_block, first_slot, period, slots``.
 
-    In a phase, block ``first_block + i`` of a source stands in slot
-    ``first_slot + period * (i // n) + slots[i % n]`` with ``n`` the length of ``slots``. Sources
-    without a positive weight follow when all others are used up, evenly.
+    Block ``first_block + i`` of a source stands in slot ``first_slot + slots[i]``; a row has
+    ``period`` blocks, the last of a source may have fewer. Sources without a positive weight
+    follow when all others are used up, evenly.
     """
-    left = {s: n for s, n in blocks.items() if n > 0}
-    used = dict.fromkeys(left, 0)
+    some = {s: n for s, n in blocks.items() if n > 0}
+    weighted = {s: n for s, n in some.items() if weights.get(s, 0) > 0}
     rows, offset = [], 0
-    while left:
-        active = {s: weights[s] for s in left if weights.get(s, 0) > 0} or dict.fromkeys(left, 1.0)
-        parts = parts_of(active, period)
-        order = schedule(parts)
-        mine: dict[str, list[int]] = {s: [] for s in active}
-        for slot, source in enumerate(order):
-            mine[source].append(slot)
-        rounds = len(order)
-        last = {s: (left[s] - 1) // parts[s] * rounds + mine[s][(left[s] - 1) % parts[s]] for s in active}
-        length = min(last.values()) + 1
-        whole, rest = divmod(length, rounds)
-        for source in sorted(active):
-            placed = whole * parts[source] + sum(slot < rest for slot in mine[source])
-            if placed:
-                rows.append((source, used[source], used[source] + placed - 1, offset, rounds, mine[source]))
-                used[source] += placed
-                left[source] -= placed
-                if not left[source]:
-                    del left[source]
-        offset += length
+    for part, by in ((weighted, weights), ({s: n for s, n in some.items() if s not in weighted}, dict.fromkeys(some, 1))):
+        if not part:
+            continue
+        for source, slots in slots_of(part, by).items():
+            for first in range(0, len(slots), period):
+                mine = slots[first : first + period]
+                rows.append((source, first, first + len(mine) - 1, offset, period, mine))
+        offset += sum(part.values())
     return rows
 
 
@@ -114,7 +152,8 @@ def mix(
     table gives no rows.
 
     Rows of a source are numbered in hash order in stretches, so a source with a third of all
-    rows is many tasks. Only row counts per source and stretch meet the driver or one task.
+    rows is many tasks. Row counts per source and the slot of each block meet the driver; ``period``
+    is the number of blocks of a source whose slots are one row of the schedule.
     """
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_position")]
@@ -124,9 +163,11 @@ def mix(
         raise ValueError(f"more than {MAX_SOURCES} sources; mix groups of sources instead")
     blocks = {s: -(-n // block_docs) for s, n in sizes.items()}
     told = plan(blocks, weights if weights is not None else default_weights(blocks), period)
-    phases = spark.createDataFrame(
-        told, "source string, first long, last long, offset long, period long, slots array<int>"
-    )
+    kinds = {"of": pa.string(), "first": pa.int64(), "last": pa.int64(), "offset": pa.int64(), "period": pa.int64()}
+    kinds["slots"] = pa.list_(pa.int64())
+    columns_told = zip(kinds.items(), zip(*told) if told else [()] * len(kinds))
+    table = pa.table({name: pa.array(list(c), kind) for (name, kind), c in columns_told})
+    phases = stored(spark.createDataFrame(table), "mix-slots")
     stretches = spark.createDataFrame([(s, 1 + n // STRETCH_ROWS) for s, n in sizes.items()], "source string, stretches long")
     # One struct keeps the columns of the input apart from those of the work.
     plain = [f.name for f in docs.schema if f.name in columns and isinstance(f.dataType, AtomicType)]
@@ -147,12 +188,10 @@ def mix(
     numbered = numbered.withColumn("number", F.col("base") + F.col("inside"))
     numbered = numbered.withColumn("block", F.floor(F.col("number") / block_docs))
     found = numbered.join(
-        F.broadcast(phases.withColumnRenamed("source", "of")),
-        (F.col("source") == F.col("of")) & F.col("block").between(F.col("first"), F.col("last")),
+        phases,
+        (F.col("source") == F.col("of")) & (F.col("block") - F.col("block") % period == F.col("first")),
     )
-    i = F.col("block") - F.col("first")
-    n = F.size("slots")
-    slot = F.col("offset") + F.col("period") * F.floor(i / n) + F.get("slots", (i % n).cast("int"))
+    slot = F.col("offset") + F.get("slots", (F.col("block") - F.col("first")).cast("int"))
     found = found.withColumn("slot", slot.cast("long"))
     return found.select(
         *[F.col("row").getField(c).alias(c) for c in columns],

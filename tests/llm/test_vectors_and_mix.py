@@ -93,6 +93,21 @@ def test_plan_places_every_block_once():
         assert all(seen[s] == list(range(n)) for s, n in blocks.items())
 
 
+def test_plan_keeps_to_the_given_weights():
+    """Weights that divide no period, a tiny one among them, over many slots."""
+    blocks = {"hot": 9_000, "tiny": 1, **{f"s{i}": 150 + 37 * i for i in range(12)}}
+    for weights in (mixing.default_weights(blocks), {s: 0.1 + 3.7 * (s == "hot") + 1e-6 * n for s, n in blocks.items()} | {"tiny": 1e-5}):
+        order = {}
+        for source, first, last, offset, period, mine in mixing.plan(blocks, weights):
+            order |= {int(offset + period * (i // len(mine)) + mine[i % len(mine)]): source for i in range(last - first + 1)}
+        counts, total = dict.fromkeys(blocks, 0), sum(weights.values())
+        end = int(min(n * total / weights[s] for s, n in blocks.items()))
+        assert sorted(order) == list(range(sum(blocks.values()))) and end > 100
+        for t in range(end):
+            counts[order[t]] += 1
+            assert all(abs(counts[s] - (t + 1) * w / total) < 1 for s, w in weights.items())
+
+
 def test_mix(spark, monkeypatch):
     monkeypatch.setattr(mixing, "STRETCH_ROWS", 40)
     rows = [(i, "t", "en", "big" if i % 3 else ("b" if i % 2 else None), 1) for i in range(900)] + [(None, None, None, "", None)] * 2

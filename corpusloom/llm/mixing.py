@@ -31,8 +31,6 @@ BLOCK_DOCS = 32
 PERIOD = 1_000
 # Rows of one source numbered by one task.
 STRETCH_ROWS = 50_000
-# The schedule is computed on the driver, per source.
-MAX_SOURCES = 10_000
 
 
 def parts_of(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -158,9 +156,7 @@ def mix(
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_position")]
     key = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    sizes = {r[0]: r[1] for r in docs.select(key.alias("source")).groupBy("source").count().limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; mix groups of sources instead")
+    sizes = {r[0]: r[1] for r in docs.select(key.alias("source")).groupBy("source").count().collect()}
     blocks = {s: -(-n // block_docs) for s, n in sizes.items()}
     told = plan(blocks, weights if weights is not None else default_weights(blocks), period)
     kinds = {"of": pa.string(), "first": pa.int64(), "last": pa.int64(), "offset": pa.int64(), "period": pa.int64()}
@@ -168,7 +164,9 @@ def mix(
     columns_told = zip(kinds.items(), zip(*told) if told else [()] * len(kinds))
     table = pa.table({name: pa.array(list(c), kind) for (name, kind), c in columns_told})
     phases = stored(spark.createDataFrame(table), "mix-slots")
-    stretches = spark.createDataFrame([(s, 1 + n // STRETCH_ROWS) for s, n in sizes.items()], "source string, stretches long")
+    # Sources of one stretch need no row.
+    long = [(s, 1 + n // STRETCH_ROWS) for s, n in sizes.items() if n >= STRETCH_ROWS]
+    stretches = stored(spark.createDataFrame(long, "source string, stretches long"), "mix-stretches")
     # One struct keeps the columns of the input apart from those of the work.
     plain = [f.name for f in docs.schema if f.name in columns and isinstance(f.dataType, AtomicType)]
     rows = docs.select(
@@ -179,7 +177,7 @@ def mix(
         F.xxhash64(*plain).alias("tie"),
     )
     unit = F.shiftrightunsigned(F.col("order"), 11).cast("double") / float(1 << 53)
-    rows = rows.join(F.broadcast(stretches), "source").withColumn("stretch", F.floor(unit * F.col("stretches")))
+    rows = rows.join(stretches, "source", "left").withColumn("stretch", F.floor(unit * F.coalesce("stretches", F.lit(1))))
     before = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("source", "stretch").count()
     counts = counts.select("source", "stretch", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))

@@ -132,6 +132,17 @@ def test_mix(spark, monkeypatch):
     assert by_id(out, "doc_id", "mix_position") == by_id(again, "doc_id", "mix_position")
 
 
+def test_mix_of_very_many_sources(spark):
+    """More sources than ten thousand, of several sizes."""
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("d"), F.floor(F.sqrt("id"))).alias("source"))
+    docs = docs.unionAll(spark.range(21_000, 31_600).select("id", F.concat(F.lit("e"), F.col("id"))))
+    assert docs.select("source").distinct().count() > 10_000
+    got = mixing.mix(docs, block_docs=2).select("doc_id", "mix_slot", "mix_position").collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(31_600)) and len({r["mix_position"] for r in got}) == len(got)
+    slots = {r["mix_slot"] for r in got}
+    assert slots == set(range(len(slots)))
+
+
 def test_mix_nothing(spark):
     assert mixing.mix(empty(spark)).count() == 0
     assert mixing.mixed_order(empty(spark)).count() == 0

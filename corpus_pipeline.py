@@ -32,7 +32,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """Spark reads large files first, so the written order is restored from the places of the rows."""
+    file = F.col("_metadata.file_name")
+    part = F.regexp_extract(file, r"^part-(\d+)", 1).try_cast("long")
+    placed = docs.select("doc_id", "text", part.alias("part"), file.alias("file"), F.col("_metadata.row_index").alias("row"))
+    return packing.pack(placed.orderBy("part", "file", "row"))
 
 
 STAGES = [

@@ -178,6 +178,24 @@ def test_pipeline_stages(spark, tmp_path):
     check_pieces_without_ids(seen["source mixing"], docs.collect())
 
 
+def test_packing_keeps_the_mix_over_several_files(spark, tmp_path):
+    """The last phase is the long texts of one source alone: its files are the largest."""
+    rows = [(i, "word " * (20 if i % 10 == 0 else 200), "en", "small" if i % 10 == 0 else "hot", 1) for i in range(1000)]
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesced, "false")
+    try:
+        corpus_pipeline.mixed(spark, table(spark, rows), str(tmp_path)).write.parquet(f"{tmp_path}/mixed")
+        docs = spark.read.parquet(f"{tmp_path}/mixed")
+        assert len(docs.inputFiles()) > 2
+        pieces = corpus_pipeline.packed(spark, docs, str(tmp_path)).filter("start = 0").select("sequence_id", "offset", "doc_id").collect()
+    finally:
+        spark.conf.set(coalesced, "true")
+    order = [r["doc_id"] % 10 == 0 for r in sorted(pieces)]
+    assert len(order) == len(rows)
+    # The small source has 2 slots for 5.4 of the other and is used up before half of the mix.
+    assert 0.15 < sum(order[:250]) / 250 < 0.4 and not any(order[750:])
+
+
 def check_pieces_without_ids(rows, pieces):
     from tests.llm.test_tokens import library
 

@@ -1,4 +1,4 @@
-"""The ten corpus operators on the given tables, one query each, and the pipeline."""
+"""The corpus operators on the given tables, one query each, and the pipeline."""
 
 from __future__ import annotations
 
@@ -8,7 +8,21 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import kd_search, langid, line_dedup, mixing, ngram_join, packing, quality, secret_scan, token_counts, token_files
+from corpusloom.llm import (
+    exact_dedup,
+    kd_search,
+    langid,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    quality,
+    secret_scan,
+    spelling,
+    token_counts,
+    token_files,
+    whitening,
+)
 from corpusloom.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,6 +187,29 @@ def op10_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
 
 
+@query
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
+ORACLES["op13_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

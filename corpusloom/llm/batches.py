@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ import xxhash
 
 SLICE_BYTES = 8 << 20
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices of about ``size`` bytes of ``column``; a longer text is alone."""
@@ -24,6 +27,13 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
             yield batch.take(pa.array(np.arange(start, end)))  # a copy: kernels misread some slices
 
 
+def release() -> None:
+    """Hand freed memory back to the system: workers stay, and an idle one should hold little."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch, null as an empty one."""
     return pc.fill_null(batch.column(column), "").to_pylist()

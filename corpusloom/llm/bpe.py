@@ -24,7 +24,8 @@ _SPACE = r"[\t\n\x{0b}\f\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2
 _INSIDE_RUN = f"{_SPACE} (?:{_SPACE}|\\z)"
 # Marks that are a pre-token of their own after letters and at a word's end.
 _STOPS = frozenset(".,;:!?")
-WORDS_KEPT = 800_000
+# About 120 MB of words of at most ``KEPT_CHARS`` characters.
+WORDS_KEPT = 600_000
 KEPT_CHARS = 64
 
 
@@ -82,10 +83,10 @@ class _Words:
 
     nothing: object = None
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words_kept: int = WORDS_KEPT):
         import public_tokenizers
 
-        self.path = path
+        self.path, self.words_kept = path, words_kept
         self.whole = whole_tokens(path)
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.special = "|".join(regex.escape(s, special_only=True) for s in special_texts(path))
@@ -123,7 +124,7 @@ class _Words:
         """What is kept of each different word, the number of each word of all texts, where
         each text's words begin, with the total at the end, and which texts have no words
         here but go to the library whole."""
-        if len(self.known) > WORDS_KEPT:
+        if len(self.known) > self.words_kept:
             self.known.clear()
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         pattern = f"{_INSIDE_RUN}|{self.special}" if self.special else _INSIDE_RUN

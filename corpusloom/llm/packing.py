@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe
-from corpusloom.llm.batches import record_batch, slices
+from corpusloom.llm.batches import record_batch, release, slices
 
 WINDOW = 1024
 END_ID = 0
@@ -182,6 +182,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, w
                 packer.add(doc_id, ids[end - length - 1 : end].copy())
             if packer.rows:
                 yield out()
+        release()
         packer.shard()
         if packer.rows:
             yield out()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe
-from corpusloom.llm.batches import record_batch, slices
+from corpusloom.llm.batches import record_batch, release, slices
 
 MAX_TOKENS = 1024
 
@@ -40,6 +40,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = MA
                 n_tokens=n_tokens,
                 over_limit=n_tokens > limit,
             )
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

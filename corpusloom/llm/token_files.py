@@ -29,16 +29,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe
-from corpusloom.llm.batches import record_batch, slices
-from corpusloom.session import estimated_bytes
+from corpusloom.llm.batches import record_batch, release, slices
 
 BLOCK = 256
 PERCENTILE = 90
 SEGMENT = 4096
 MAGIC = b"PFORIDS1"
 END_ID = 2
-# Bytes of input per file.
+# Bytes of text per file, and of text encoded at a time.
 FILE_BYTES = 32 << 20
+SLICE_BYTES = 4 << 20
 
 _WORDS_PER_BIT = BLOCK // 64
 
@@ -251,12 +251,14 @@ def write_token_files(
     """
     spark = docs.sparkSession
     path = vocabulary or bpe.default_vocabulary()
-    n_files = 1 + estimated_bytes(docs.select("doc_id", "text")) // file_bytes
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    n_files = 1 + n_bytes // file_bytes
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer, name, n_docs = TaskContext.get().partitionId(), None, "", 0
         encoder = bpe.encoder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES):
             if writer is None:
                 files, root = _file_system(folder)
                 files.create_dir(root, recursive=True)
@@ -266,11 +268,11 @@ def write_token_files(
             ids = np.insert(ids, np.cumsum(lengths), end_id)
             writer.add(batch.column("doc_id").to_pylist(), lengths + 1, ids)
             n_docs += batch.num_rows
+        release()
         if writer:
             writer.close()
             yield record_batch(part=pa.array([part], pa.int32()), file=[name], n_docs=[n_docs], n_ids=[writer.n_ids])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")

@@ -80,43 +80,6 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def query_weights(terms: DataFrame, postings: DataFrame, total: Column) -> DataFrame:
-    """``query_id, top_k, term, weight`` for the terms that occur in ``postings(term)``.
-
-    Counting is map-side combined, so a word in every item costs one row per task.
-    """
-    wanted = terms.select("term").distinct()
-    df = postings.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    weighted = terms.join(df, "term").withColumn(
-        "w", (1 + F.log("tf")) * F.log(total / F.col("df"))
-    )
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))
-    return weighted.select(
-        "query_id", "top_k", "term", F.try_divide(F.col("w"), norm).alias("weight")
-    )
-
-
-def rank_by_terms(
-    postings: DataFrame, key: str, weights: DataFrame, max_k: int | None = None
-) -> DataFrame:
-    """Top items per query by the sum of ``postings.weight * weights.weight``.
-
-    ``postings(key, term, weight)``. When the postings come partitioned by ``key`` the
-    sum needs no shuffle, and only the leading rows of each task reach the ranking.
-    """
-    scored = (
-        postings.withColumnRenamed("weight", "iw")
-        .join(weights, "term")
-        .groupBy(key, "query_id")
-        .agg(
-            F.min("top_k").alias("top_k"),
-            F.round(F.sum(F.col("iw") * F.col("weight")), 6).alias("score"),
-        )
-        .filter(F.col("score") > 0)
-    )
-    return ranked(scored, key, max_k)
-
-
 def ranked(scored: DataFrame, key: str, max_k: int | None = None) -> DataFrame:
     """Cut ``scored(query_id, top_k, key, score, ...)`` to each query's ``top_k``.
 
@@ -144,17 +107,15 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def match_entities(
-    terms: DataFrame, nodes: DataFrame, total: Column, max_k: int | None = None
-) -> DataFrame:
-    """``query_id, top_k, item, score, rank`` of the entities a query names."""
+def named(terms: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``query_id, top_k, term, tf, n_sources`` of the query terms that are nodes."""
+    return nodes.select(F.col("id").alias("term"), "n_sources").join(terms, "term")
+
+
+def match_entities(found: DataFrame, total: Column, max_k: int | None = None) -> DataFrame:
+    """``query_id, top_k, item, score, rank`` of the entities a query names, from ``named`` rows."""
     score = F.round((1 + F.log("tf")) * F.log(total / F.col("n_sources")), 6)
-    scored = (
-        nodes.select(F.col("id").alias("term"), "n_sources")
-        .join(terms, "term")
-        .select("query_id", "top_k", "term", score.alias("score"))
-        .filter(F.col("score") > 0)
-    )
+    scored = found.select("query_id", "top_k", "term", score.alias("score")).filter(F.col("score") > 0)
     return ranked(scored, "term", max_k)
 
 
@@ -162,68 +123,36 @@ def edge_name() -> Column:
     return F.concat(F.col("source"), F.lit(" | "), F.col("target"))
 
 
-def edge_ends(edges: DataFrame) -> DataFrame:
-    """Each edge under both of its endpoints, with ``ln(1 + weight)`` as its strength."""
-    return edges.select(
-        F.explode(F.array("source", "target")).alias("term"),
-        "source",
-        "target",
-        F.log(1 + F.col("weight")).alias("strength"),
-    )
+def term_scores(found: DataFrame, total: Column) -> DataFrame:
+    """``query_id, top_k, term, score`` of ``named`` rows, not rounded."""
+    weight = (1 + F.log("tf")) * F.log(total / F.col("n_sources"))
+    return found.select("query_id", "top_k", "term", weight.alias("score"))
 
 
-def rank_edges(edges: DataFrame, scores: DataFrame, max_k: int | None = None) -> DataFrame:
-    """Relations by (sum of the scores of their matched ends) times their strength.
+def rank_edges(touched: DataFrame, max_k: int | None = None) -> DataFrame:
+    """Relations by (sum of the scores of their matched ends) times their strength,
+    ``ln(1 + weight)``.
 
-    ``scores(query_id, top_k, term, score)``; keeps ``source`` and ``target``.
+    ``touched(query_id, top_k, term, score, source, target, weight)`` has an edge once per matched
+    end; keeps ``source`` and ``target``.
     """
     scored = (
-        edge_ends(edges)
-        .join(scores, "term")
-        .groupBy("source", "target", "query_id", "top_k")
-        .agg(F.round(F.sum("score") * F.max("strength"), 6).alias("score"))
+        touched.groupBy("source", "target", "query_id", "top_k")
+        .agg(F.round(F.sum("score") * F.log(1 + F.max("weight")), 6).alias("score"))
         .filter(F.col("score") > 0)
         .withColumn("name", edge_name())
     )
     return ranked(scored, "name", max_k)
 
 
-def local_parts(
-    entities: DataFrame, edges: DataFrame, sources: DataFrame, max_k: int | None = None
-) -> DataFrame:
-    """From a query's entities to their relations and source chunks.
-
-    ``entities`` holds at most ``top_k`` rows per query; stored first, it is small and
-    of known size, so the two large tables meet it without moving.
-    """
-    scores = entities.select("query_id", "top_k", F.col("item").alias("term"), "score")
-    chunks = (
-        sources.select("chunk_id", F.col("name").alias("term"))
-        .join(scores, "term")
-        .groupBy("chunk_id", "query_id", "top_k")
-        .agg(F.round(F.sum("score"), 6).alias("score"))
-    )
-    return union(
-        [
-            part(entities, "entity"),
-            part(rank_edges(edges, scores, max_k), "relation"),
-            part(ranked(chunks, "chunk_id", max_k), "chunk"),
-        ]
-    )
-
-
-def term_scores(terms: DataFrame, nodes: DataFrame, total: Column) -> DataFrame:
-    """``query_id, top_k, term, score`` of the query terms that are entities."""
-    weight = (1 + F.log("tf")) * F.log(total / F.col("n_sources"))
-    return (
-        nodes.select(F.col("id").alias("term"), "n_sources")
-        .join(terms, "term")
-        .select("query_id", "top_k", "term", weight.alias("score"))
-    )
+def chunk_parts(shown: DataFrame, max_k: int | None = None) -> DataFrame:
+    """Chunks by the scores of what they show: ``shown(query_id, top_k, chunk_id, score)``."""
+    chunks = shown.groupBy("chunk_id", "query_id", "top_k").agg(F.round(F.sum("score"), 6).alias("score"))
+    return part(ranked(chunks, "chunk_id", max_k), "chunk")
 
 
-def global_parts(relations: DataFrame, pairs: DataFrame, max_k: int | None = None) -> DataFrame:
-    """From a query's relations to their endpoints and source chunks."""
+def end_parts(relations: DataFrame) -> DataFrame:
+    """The endpoints of a query's relations, by their best relation."""
     ends = (
         relations.select("query_id", F.explode(F.array("source", "target")).alias("item"), "score")
         .groupBy("query_id", "item")
@@ -232,23 +161,7 @@ def global_parts(relations: DataFrame, pairs: DataFrame, max_k: int | None = Non
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item")
     limits = relations.groupBy("query_id").agg(F.min("top_k").alias("top_k"))
     ends = ends.withColumn("rank", F.row_number().over(order).cast("long")).join(limits, "query_id")
-    ends = ends.filter(F.col("rank") <= F.col("top_k"))
-    chunks = (
-        pairs.select("chunk_id", "source", "target")
-        .join(
-            relations.select("query_id", "top_k", "source", "target", "score"),
-            ["source", "target"],
-        )
-        .groupBy("chunk_id", "query_id", "top_k")
-        .agg(F.round(F.sum("score"), 6).alias("score"))
-    )
-    return union(
-        [
-            part(ends, "entity"),
-            part(relations, "relation"),
-            part(ranked(chunks, "chunk_id", max_k), "chunk"),
-        ]
-    )
+    return part(ends.filter(F.col("rank") <= F.col("top_k")), "entity")
 
 
 def limits(queries: DataFrame) -> DataFrame:

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import chunking, graph, retrieval
-from corpusloom.session import stored
+from corpusloom.operators import chunking, graph, postings, retrieval
+from corpusloom.operators.shelves import Shelves, shelve
+from corpusloom.session import buckets_for, stored
 
 
 @dataclass(frozen=True)
 class Index:
+    """The corpus tables, and the same rows laid out for lookups. A layout is written when a
+    search first asks for it and kept with the index."""
+
     chunks: DataFrame
     vectors: DataFrame
     sources: DataFrame
@@ -25,6 +30,41 @@ class Index:
     def total(self) -> Column:
         return self.chunks.agg(F.count("*")).scalar()
 
+    @cached_property
+    def postings(self) -> postings.Postings:
+        """Term to chunks."""
+        return postings.build(self.vectors)
+
+    @cached_property
+    def nodes_by_id(self) -> Shelves:
+        return shelve(self.nodes, ("id",), "nodes-by-id")
+
+    @cached_property
+    def edges_by_end(self) -> Shelves:
+        """Each edge under both of its ends: ``term`` and the edge's columns."""
+        ends = self.edges.withColumn("term", F.explode(F.array("source", "target")))
+        return shelve(ends, ("term",), "edges-by-end")
+
+    @cached_property
+    def sources_by_name(self) -> Shelves:
+        """Entity to chunks."""
+        return shelve(self.sources.select(F.col("name").alias("term"), "chunk_id"), ("term",), "sources-by-name")
+
+    @cached_property
+    def pairs_by_ends(self) -> Shelves:
+        """Relation to chunks."""
+        return shelve(self.pairs.select("source", "target", "chunk_id"), ("source", "target"), "pairs-by-ends")
+
+    @cached_property
+    def chunks_by_id(self) -> Shelves:
+        texts = self.chunks.select(F.col("chunk_id").alias("item"), "text")
+        return shelve(texts, ("item",), "chunks-by-id", rows_per_shelf=16_384)
+
+    def lay_out(self) -> None:
+        """Write all layouts now."""
+        for name in ("postings", "nodes_by_id", "edges_by_end", "sources_by_name", "pairs_by_ends", "chunks_by_id"):
+            getattr(self, name)
+
 
 def corpus_chunks(docs: DataFrame, max_tokens: int) -> DataFrame:
     """Distinct token windows of all documents: ``chunk_id, doc_id, seq, lang, n_tokens, text``."""
@@ -41,21 +81,38 @@ def word_gazetteer(texts: DataFrame, min_letters: int = 6, text: str = "text") -
     )
 
 
+def phrase_gazetteer(texts: DataFrame, sizes: tuple[int, ...] = (2, 3), min_letters: int = 6, text: str = "text") -> DataFrame:
+    """Distinct runs of ``sizes`` words of at least ``min_letters`` letters each: ``term``."""
+
+    def runs(ws: Column) -> Column:
+        def of(n: int) -> Column:
+            cut = F.transform(ws, lambda w, i: F.slice(ws, i + 1, F.lit(n)))
+            good = F.filter(cut, lambda r: (F.size(r) == n) & F.forall(r, lambda w: F.length(w) >= min_letters))
+            return F.transform(good, lambda r: F.array_join(r, " "))
+
+        return F.concat(*[of(n) for n in sizes])
+
+    return texts.select(F.explode(runs(tx.words(F.col(text)))).alias("term")).distinct()
+
+
 def build(
     docs: DataFrame, gazetteer: DataFrame, max_tokens: int, pair_window: int = graph.PAIR_WINDOW
 ) -> Index:
-    """Write the corpus tables once; everything that is keyed by chunk is bucketed by it,
-    so scoring and relation building need no further shuffle on ``chunk_id``.
+    """Write the corpus tables once; everything that is keyed by chunk is bucketed by it, in
+    the same number of buckets, so relation building needs no further shuffle on ``chunk_id``.
 
     Relations are pairs of entities at most ``pair_window`` words apart in a chunk.
     """
-    chunks = stored(corpus_chunks(docs, max_tokens), "chunks", bucket_by="chunk_id")
-    vectors = stored(retrieval.term_vectors(chunks, "chunk_id"), "vectors", bucket_by="chunk_id")
-    found = stored(
-        graph.mentions(chunks, stored(gazetteer, "gazetteer")), "mentions", bucket_by="chunk_id"
-    )
-    sources = stored(graph.entity_sources(found), "entity-sources", bucket_by="chunk_id")
-    pairs = stored(graph.relation_pairs(found, pair_window), "relation-pairs", bucket_by="chunk_id")
+    n = buckets_for(docs)
+
+    def by_chunk(df: DataFrame, name: str) -> DataFrame:
+        return stored(df, name, bucket_by="chunk_id", buckets=n)
+
+    chunks = by_chunk(corpus_chunks(docs, max_tokens), "chunks")
+    vectors = by_chunk(retrieval.term_vectors(chunks, "chunk_id"), "vectors")
+    found = by_chunk(graph.mentions(chunks, stored(gazetteer, "gazetteer")), "mentions")
+    sources = by_chunk(graph.entity_sources(found), "entity-sources")
+    pairs = by_chunk(graph.relation_pairs(found, pair_window), "relation-pairs")
     nodes = stored(graph.entity_merge(sources), "nodes")
     edges = stored(graph.relation_merge(pairs), "edges")
     return Index(chunks, vectors, sources, pairs, nodes, edges)

@@ -1,8 +1,9 @@
 """Batches of questions against an index, in five modes.
 
-The small side of every large join (query weights, matched entities, matched
-relations) is stored first. Its size is then a fact: Catalyst broadcasts it below
-the session's threshold and sort-merges with skew splitting above.
+The large tables are read by their lookup layouts: a batch opens only the shelves that hold
+its terms, entities, relations and chunks. What a batch has found is small; it is stored
+before it meets the next table, so its size is a fact: Catalyst broadcasts it below the
+session's threshold and sort-merges with skew splitting above.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators import context, retrieval
+from corpusloom.operators import context, postings, retrieval
 from corpusloom.options import CONTEXT_LIMIT
 from corpusloom.plans.index import Index
 from corpusloom.session import stored
@@ -22,36 +23,78 @@ def _largest_limit(queries: DataFrame) -> int:
 
 def naive(index: Index, queries: DataFrame) -> DataFrame:
     """``query_id, part, item, score, rank`` of the best chunks by words."""
-    postings = retrieval.chunk_postings(index.vectors)
-    weights = stored(
-        retrieval.query_weights(retrieval.query_terms(queries), postings, index.total),
-        "query-weights",
+    return retrieval.part(postings.rank(index.postings, queries, _largest_limit(queries)), "chunk")
+
+
+def named(index: Index, queries: DataFrame) -> DataFrame:
+    """``query_id, top_k, term, tf, n_sources``: the entities the questions name."""
+    terms = retrieval.query_terms(queries).withColumnRenamed("term", "id")
+    found = index.nodes_by_id.lookup(terms).withColumnRenamed("id", "term")
+    return stored(found.select("query_id", "top_k", "term", "tf", "n_sources"), "query-names")
+
+
+def touched(index: Index, scores: DataFrame) -> DataFrame:
+    """The edges at the entities of ``scores(query_id, top_k, term, score)``."""
+    met = index.edges_by_end.lookup(scores)
+    return met.select("query_id", "top_k", "term", "score", "source", "target", "weight")
+
+
+def _local(index: Index, entities: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    scores = entities.select("query_id", "top_k", F.col("item").alias("term"), "score")
+    return retrieval.union(
+        [
+            retrieval.part(entities, "entity"),
+            retrieval.part(retrieval.rank_edges(edges, k), "relation"),
+            retrieval.chunk_parts(index.sources_by_name.lookup(scores), k),
+        ]
+    )
+
+
+def _global(index: Index, edges: DataFrame, k: int) -> DataFrame:
+    relations = stored(retrieval.rank_edges(edges, k), "query-relations")
+    asked = relations.select("query_id", "top_k", "source", "target", "score")
+    return retrieval.union(
+        [
+            retrieval.end_parts(relations),
+            retrieval.part(relations, "relation"),
+            retrieval.chunk_parts(index.pairs_by_ends.lookup(asked), k),
+        ]
     )
-    best = retrieval.rank_by_terms(postings, "chunk_id", weights, _largest_limit(queries))
-    return retrieval.part(best, "chunk")
+
+
+def _entities(index: Index, found: DataFrame, k: int) -> DataFrame:
+    return stored(retrieval.match_entities(found, index.total, k), "query-entities")
 
 
 def local(index: Index, queries: DataFrame) -> DataFrame:
     """Entities the query names, their relations and the chunks that mention them."""
     k = _largest_limit(queries)
-    terms = retrieval.query_terms(queries)
-    entities = stored(
-        retrieval.match_entities(terms, index.nodes, index.total, k), "query-entities"
-    )
-    return retrieval.local_parts(entities, index.edges, index.sources, k)
+    entities = _entities(index, named(index, queries), k)
+    scores = entities.select("query_id", "top_k", F.col("item").alias("term"), "score")
+    return _local(index, entities, touched(index, scores), k)
 
 
 def global_(index: Index, queries: DataFrame) -> DataFrame:
     """Relations the query touches, their endpoints and the chunks that show them."""
     k = _largest_limit(queries)
-    terms = retrieval.query_terms(queries)
-    scores = stored(retrieval.term_scores(terms, index.nodes, index.total), "query-scores")
-    relations = stored(retrieval.rank_edges(index.edges, scores, k), "query-relations")
-    return retrieval.global_parts(relations, index.pairs, k)
+    scores = stored(retrieval.term_scores(named(index, queries), index.total), "query-scores")
+    return _global(index, touched(index, scores), k)
+
+
+def local_and_global(index: Index, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both, the entities looked up and their edges read once."""
+    k = _largest_limit(queries)
+    found = named(index, queries)
+    entities = _entities(index, found, k)
+    scores = stored(retrieval.term_scores(found, index.total), "query-scores")
+    edges = stored(touched(index, scores), "query-edges")
+    chosen = entities.select("query_id", F.col("item").alias("term"), F.col("score").alias("own"))
+    own = edges.join(chosen, ["query_id", "term"]).withColumn("score", F.col("own"))
+    return _local(index, entities, own, k), _global(index, edges, k)
 
 
 def hybrid(index: Index, queries: DataFrame) -> DataFrame:
-    return retrieval.merge_modes([local(index, queries), global_(index, queries)], queries)
+    return retrieval.merge_modes(list(local_and_global(index, queries)), queries)
 
 
 def mix(index: Index, queries: DataFrame) -> DataFrame:
@@ -76,8 +119,7 @@ def _ranked_mix(mixed: DataFrame) -> DataFrame:
 def all_modes(index: Index, queries: DataFrame) -> DataFrame:
     """Every query under every mode. Shared parts are worked out once and stored."""
     n = stored(naive(index, queries), "naive")
-    lo = stored(local(index, queries), "local")
-    g = stored(global_(index, queries), "global")
+    lo, g = (stored(df, name) for df, name in zip(local_and_global(index, queries), ("local", "global")))
     h = stored(retrieval.merge_modes([lo, g], queries), "hybrid")
     m = _ranked_mix(retrieval.mixed_chunks(h, n, queries))
     named = {"naive": n, "local": lo, "global": g, "hybrid": h, "mix": m}
@@ -106,19 +148,17 @@ def context_lines(index: Index, queries: DataFrame, limit: int = CONTEXT_LIMIT)
     def of(name: str) -> DataFrame:
         return found.filter(F.col("part") == name)
 
-    entity = of("entity").join(index.nodes, F.col("item") == F.col("id")).select(
+    asked = of("entity").withColumnRenamed("item", "id")
+    entity = index.nodes_by_id.lookup(asked).select(
         "query_id",
         "part",
         "rank",
         context.csv_line(number, F.col("id"), F.col("entity_type"), F.col("description")).alias("line"),
     )
-    named = of("relation").withColumns(
-        {
-            "source": F.split_part("item", F.lit(" | "), F.lit(1)),
-            "target": F.split_part("item", F.lit(" | "), F.lit(2)),
-        }
-    )
-    relation = named.join(index.edges, ["source", "target"]).select(
+    source, target = (F.split_part("item", F.lit(" | "), F.lit(i)) for i in (1, 2))
+    ends = of("relation").select("query_id", "part", "rank", source.alias("term"), target.alias("_target"))
+    met = index.edges_by_end.lookup(ends)
+    relation = met.filter((F.col("source") == F.col("term")) & (F.col("target") == F.col("_target"))).select(
         "query_id",
         "part",
         "rank",
@@ -130,10 +170,8 @@ def context_lines(index: Index, queries: DataFrame, limit: int = CONTEXT_LIMIT)
             context.csv_cell(F.col("source_id")),
         ).alias("line"),
     )
-    chunk = (
-        of("chunk")
-        .join(index.chunks.select(F.col("chunk_id").alias("item"), "text"), "item")
-        .select("query_id", "part", "rank", context.csv_line(number, F.col("text")).alias("line"))
+    chunk = index.chunks_by_id.lookup(of("chunk")).select(
+        "query_id", "part", "rank", context.csv_line(number, F.col("text")).alias("line")
     )
     return retrieval.union([entity, relation, chunk])
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "corpusloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,38 +43,46 @@ def work_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_roots.setdefault(
-        context.applicationId, tempfile.mkdtemp(prefix="corpusloom-")
-    )
+    if context.applicationId not in _local_roots:
+        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="corpusloom-")
+    return _local_roots[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
 
 
-# Estimated bytes of a stored table per bucket; their number grows with the table.
+# Bytes of text per bucket of the tables made from it.
 BUCKET_BYTES = 32 << 20
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def power_of_two(least: float) -> int:
+    """The smallest power of two that is not below ``least``."""
+    return 1 << max(0, math.ceil(least) - 1).bit_length()
+
+
+def buckets_for(texts: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> int:
+    """How many buckets tables made from ``texts`` get: by the bytes the column really has, not by
+    an estimate, rounded to a power of two so that tables of a similar size go together."""
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length(F.col(text)).cast("long")), F.lit(0))).first()[0]
+    return power_of_two(max(texts.sparkSession.sparkContext.defaultParallelism, n_bytes / bucket_bytes))
 
 
-def stored(df: DataFrame, name: str, bucket_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     For intermediates that several later branches read: the work is done once, a lost
     executor costs a re-read and not the whole lineage, and Catalyst knows the size of
     what it reads, so whether to broadcast it is decided on facts. With ``bucket_by``
-    the table keeps its partitioning and later steps on that key need no shuffle.
+    the table keeps its partitioning in ``buckets`` buckets and later steps on that key need
+    no shuffle.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     if bucket_by is None:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    n = max(spark.sparkContext.defaultParallelism, 1 + estimated_bytes(df) // BUCKET_BYTES)
+    n = buckets or spark.sparkContext.defaultParallelism
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     (
         df.repartition(n, bucket_by)

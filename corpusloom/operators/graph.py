@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators.skew import numbered, salted_join, top_k
+from corpusloom.operators.skew import numbered, salted_join
 from corpusloom.options import EDGE_BATCH, NODE_BATCH, TRIPLE_LIMIT
 
 # An edge row shows this many keywords, the commonest; ``relation_keywords`` has all of them.
@@ -72,6 +72,59 @@ def pattern_mentions(chunks: DataFrame, patterns: Mapping[str, str]) -> DataFram
     return chunks.select("chunk_id", "doc_id", F.inline(found))
 
 
+def phrase_mentions(chunks: DataFrame, gazetteer: DataFrame, kind: str = "lang") -> DataFrame:
+    """Names of several words in each chunk, the longest from the left, no two overlapping.
+
+    ``gazetteer(term)`` or ``gazetteer(term, entity_type)``; words of a term are separated by one
+    blank. Rows as those of ``mentions``; ``link`` is the word that follows the name.
+
+    The first words of all names are a table of their own with the length of the longest name
+    that begins so. Only words found in it go on, with as many words after them as such a name
+    has; these openings are looked up among the names by equi join. What overlaps is decided
+    in a chunk's own row, by a fold over the names found there.
+    """
+    names = gazetteer.withColumn("_n", F.size(F.split("term", " ")))
+    first = F.split_part(F.col("term"), F.lit(" "), F.lit(1))
+    heads = names.groupBy(first.alias("_first")).agg(F.max("_n").alias("_most"))
+    longest = names.agg(F.coalesce(F.max("_n"), F.lit(1))).first()[0]
+
+    def with_next(ws: Column) -> Column:
+        return F.transform(
+            ws, lambda w, i: F.struct(w.alias("_first"), i.alias("pos"), F.slice(ws, i + 1, F.lit(longest + 1)).alias("_ahead"))
+        )
+
+    words = chunks.select("chunk_id", "doc_id", F.col(kind).alias("_kind"), tx.words(F.col("text")).alias("_w"))
+    opened = words.select("chunk_id", "doc_id", "_kind", F.inline(with_next(F.col("_w")))).join(heads, "_first")
+    tried = F.explode(F.sequence(F.lit(1), F.least("_most", F.size("_ahead")))).alias("_n")
+    tried = opened.select("chunk_id", "doc_id", "_kind", "pos", "_ahead", tried)
+    tried = tried.withColumn("term", F.array_join(F.slice("_ahead", F.lit(1), F.col("_n")), " "))
+    own = F.col("entity_type") if "entity_type" in gazetteer.columns else F.lit(None).cast("string")
+    found = tried.join(names.drop("_n"), "term").select(
+        "chunk_id",
+        "doc_id",
+        F.struct(
+            F.col("pos").cast("long").alias("pos"),
+            (-F.col("_n")).alias("less"),
+            F.col("term").alias("name"),
+            F.coalesce(own, F.col("_kind")).alias("entity_type"),
+            F.get("_ahead", F.col("_n")).alias("link"),
+        ).alias("m"),
+    )
+    per_chunk = found.groupBy("chunk_id", "doc_id").agg(F.array_sort(F.collect_list("m")).alias("all"))
+    kind_of = "array<struct<pos:bigint,less:int,name:string,entity_type:string,link:string>>"
+    start = F.struct(F.lit(0).cast("long").alias("free"), F.array().cast(kind_of).alias("kept"))
+
+    def step(acc: Column, m: Column) -> Column:
+        fits = m["pos"] >= acc["free"]
+        return F.struct(
+            F.when(fits, m["pos"] - m["less"]).otherwise(acc["free"]).alias("free"),
+            F.when(fits, F.concat(acc["kept"], F.array(m).cast(kind_of))).otherwise(acc["kept"]).alias("kept"),
+        )
+
+    kept = F.aggregate("all", start, step, lambda acc: acc["kept"])
+    return per_chunk.select("chunk_id", "doc_id", F.inline(kept)).drop("less")
+
+
 def entity_sources(found: DataFrame) -> DataFrame:
     """Every (entity, chunk) pair with its number of mentions."""
     return found.groupBy("chunk_id", "doc_id", "name", "entity_type").agg(
@@ -79,15 +132,25 @@ def entity_sources(found: DataFrame) -> DataFrame:
     )
 
 
-def entity_merge(sources: DataFrame) -> DataFrame:
-    """One node per entity: most frequent type (ties by name), counts, first source."""
-    by_type = sources.groupBy("name", "entity_type").agg(
-        F.sum("n").alias("n"),
-        F.count("*").alias("n_sources"),
-        F.min("doc_id").alias("first_doc"),
+def entity_counts(sources: DataFrame) -> DataFrame:
+    """What a batch of chunks says of its entities: ``name, entity_type, n, n_sources, first_doc``.
+    Counts of batches that share no chunk add up, see ``add_entity_counts``."""
+    return sources.groupBy("name", "entity_type").agg(
+        F.sum("n").alias("n"), F.count("*").alias("n_sources"), F.min("doc_id").alias("first_doc")
     )
+
+
+def add_entity_counts(counts: DataFrame) -> DataFrame:
+    """Counts of several batches as those of one."""
+    return counts.groupBy("name", "entity_type").agg(
+        F.sum("n").alias("n"), F.sum("n_sources").alias("n_sources"), F.min("first_doc").alias("first_doc")
+    )
+
+
+def entity_nodes(counts: DataFrame) -> DataFrame:
+    """One node per entity: most frequent type (ties by name), counts, first source."""
     return (
-        by_type.groupBy("name")
+        counts.groupBy("name")
         .agg(
             F.min_by("entity_type", F.struct(-F.col("n"), F.col("entity_type"))).alias("entity_type"),
             F.sum("n").alias("n_mentions"),
@@ -112,6 +175,11 @@ def entity_merge(sources: DataFrame) -> DataFrame:
     )
 
 
+def entity_merge(sources: DataFrame) -> DataFrame:
+    """The nodes of one batch of chunks."""
+    return entity_nodes(entity_counts(sources))
+
+
 def relation_pairs(found: DataFrame, window: int = PAIR_WINDOW) -> DataFrame:
     """Undirected relations per chunk: two different entities at most ``window`` words apart.
 
@@ -143,20 +211,65 @@ def relation_keywords(pairs: DataFrame) -> DataFrame:
     return words.groupBy("source", "target", "keyword").agg(F.count("*").alias("n_chunks"))
 
 
-def relation_merge(pairs: DataFrame) -> DataFrame:
-    """One edge per (source, target): summed weight, commonest keywords, first source."""
-    order = [F.desc("n_chunks"), F.col("keyword")]
-    shown = top_k(relation_keywords(pairs), ["source", "target"], order, SHOWN_KEYWORDS)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda k: k["keyword"])
-    shown = shown.groupBy("source", "target").agg(F.array_join(listed, ",").alias("keywords"))
+def relation_counts(pairs: DataFrame) -> DataFrame:
+    """What a batch of chunks says of its relations: ``source, target, keyword, weight, n_sources,
+    first_doc, n_chunks``.
+
+    The row without a keyword has the relation's weight, chunks and first document, the others
+    in how many chunks a word links the two. Counts of batches that share no chunk add up.
+    """
+    nothing = F.lit(0).cast("long")
+    own = F.struct(
+        F.lit(None).cast("string").alias("keyword"),
+        F.col("weight").cast("long").alias("weight"),
+        F.lit(1).cast("long").alias("n_sources"),
+        F.col("doc_id").alias("first_doc"),
+        nothing.alias("n_chunks"),
+    )
+    words = F.transform(
+        "links",
+        lambda word: F.struct(
+            word.alias("keyword"),
+            nothing.alias("weight"),
+            nothing.alias("n_sources"),
+            F.lit(None).cast("long").alias("first_doc"),
+            F.lit(1).cast("long").alias("n_chunks"),
+        ),
+    )
+    return add_relation_counts(pairs.select("source", "target", F.inline(F.concat(F.array(own), words))))
+
+
+def add_relation_counts(counts: DataFrame) -> DataFrame:
+    """Counts of several batches as those of one."""
+    return counts.groupBy("source", "target", "keyword").agg(
+        F.sum("weight").alias("weight"),
+        F.sum("n_sources").alias("n_sources"),
+        F.min("first_doc").alias("first_doc"),
+        F.sum("n_chunks").alias("n_chunks"),
+    )
+
+
+def relation_edges(counts: DataFrame) -> DataFrame:
+    """One edge per (source, target): summed weight, commonest keywords, first source, and the
+    relation type, decided on all of its keywords and not only on those shown."""
+    turn = Window.partitionBy("source", "target").orderBy(F.desc("n_chunks"), "keyword")
+    ranked = counts.withColumn("rank", F.row_number().over(turn))
+    word = F.col("keyword")
+    known = F.coalesce(*[F.when(word.contains(name), F.lit(i)) for i, name in enumerate(RELATION_TYPES, 1)])
+    shown = F.collect_list(F.when((F.col("rank") <= SHOWN_KEYWORDS) & word.isNotNull(), F.struct("rank", "keyword")))
+    listed = F.transform(F.array_sort("shown"), lambda k: k["keyword"])
+    first = F.replace(F.split_part(F.col("first_word"), F.lit(","), F.lit(1)), F.lit('"'), F.lit(""))
+    names = F.array(*[F.lit(name) for name in RELATION_TYPES])
     return (
-        pairs.groupBy("source", "target")
+        ranked.groupBy("source", "target")
         .agg(
             F.sum("weight").alias("w"),
-            F.count("*").alias("n_sources"),
-            F.min("doc_id").alias("first_doc"),
+            F.sum("n_sources").alias("n_sources"),
+            F.min("first_doc").alias("first_doc"),
+            shown.alias("shown"),
+            F.min(known).alias("known"),
+            F.min(F.when(F.col("rank") == 1, word)).alias("first_word"),
         )
-        .join(shown, ["source", "target"], "left")
         .select(
             "source",
             "target",
@@ -169,13 +282,19 @@ def relation_merge(pairs: DataFrame) -> DataFrame:
                 F.col("n_sources").cast("string"),
                 F.lit(" chunks"),
             ).alias("description"),
-            "keywords",
+            F.when(F.size("shown") > 0, F.array_join(listed, ",")).alias("keywords"),
             F.col("first_doc").cast("string").alias("source_id"),
             "n_sources",
+            F.coalesce(F.get(names, F.col("known") - 1), first).alias("rel_type"),
         )
     )
 
 
+def relation_merge(pairs: DataFrame) -> DataFrame:
+    """The edges of one batch of chunks."""
+    return relation_edges(relation_counts(pairs))
+
+
 def node_upsert(existing: DataFrame, new: DataFrame, order: str = "batch") -> DataFrame:
     """``new`` replaces rows of ``existing`` with the same id; within ``new`` the row with
     the largest ``order`` wins. The display name is the id."""
@@ -213,6 +332,9 @@ def relation_type(words: Column) -> Column:
 
 
 def with_relation_type(edges: DataFrame) -> DataFrame:
+    """Edges with their type: the one they have from ``relation_edges``, or that of their keywords."""
+    if "rel_type" in edges.columns:
+        return edges
     return edges.withColumn("rel_type", relation_type(F.col("keywords")))
 
 

@@ -1,15 +1,20 @@
-"""From input items to stored chunks, and the summaries of such a run."""
+"""From input items to stored chunks, and the summaries of such a run.
+
+``process`` appends to a plain table; ``process_run`` keeps everything a run leaves behind one
+commit, so a run that broke or is repeated leaves one result.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import chunking, summaries
 from corpusloom.operators.routing import Registry, default_registry
 from corpusloom.options import Options
 from corpusloom.session import stored
-from corpusloom.sources import sinks
+from corpusloom.sources import idstore, sinks
+from corpusloom.sources.runlog import RunLog
 
 
 def process(
@@ -42,11 +47,18 @@ def process(
             F.col("source_file").alias("source"), F.posexplode("chunks").alias("seq", "text")
         )
     )
-    # Of equal chunks the first by source and place stays, on every run.
+    sinks.insert_chunks(_first_copies(chunks), store, path)
+    return _totals(results, good, records)
+
+
+def _first_copies(chunks: DataFrame) -> DataFrame:
+    """Of equal chunks the first by source and place, the same on every run."""
     first = chunks.groupBy("chunk_id").agg(F.min(F.struct("source", "seq")).alias("_first"))
     first = first.select("chunk_id", "_first.*")
-    once = chunks.join(first, ["chunk_id", "source", "seq"], "left_semi")
-    sinks.insert_chunks(once, store, path)
+    return chunks.join(first, ["chunk_id", "source", "seq"], "left_semi")
+
+
+def _totals(results: DataFrame, good: DataFrame, records: DataFrame) -> DataFrame:
     files = good.join(
         records.select(F.col("source_file").alias("item"), "num_chunks"), "item", "left"
     ).select(
@@ -58,3 +70,66 @@ def process(
     totals = summaries.store_summary(results, files)
     run = summaries.process_summary(results)
     return run.select("*", *[totals.select(c).scalar().alias(c) for c in totals.columns])
+
+
+# What a run stores of a chunk; ``headings`` are those it stands under, outermost first.
+CHUNKS = "chunk_id string, source string, seq long, headings array<string>, n_tokens long, text string"
+SUMMARY = (
+    "total_files long, successful_files long, failed_files long, n_errors long, ok boolean, "
+    "successful_stores long, failed_stores long, total_chunks long, saved_chunks long"
+)
+
+
+def process_run(
+    manifest: DataFrame,
+    documents: DataFrame,
+    store: str,
+    run: str,
+    run_at: Column,
+    options: Options | None = None,
+    registry: Registry | None = None,
+) -> bool:
+    """Route ``manifest``, cut the converted pages ``documents(item, text)`` of the items that succeed
+    along their headings, and add what is new to ``store`` under the name ``run``.
+
+    Chunks, chunk records, their summary, error rows and the totals are written under the run's
+    name and appear together with the commit; before it a reader sees none of them. A run that
+    is in the store already adds nothing and gives false.
+    """
+    options, spark = options or Options(), manifest.sparkSession
+    if RunLog(spark, store).read().is_done(run, 0):
+        return False
+    results = stored((registry or default_registry()).process(manifest, options), "results")
+    good = results.filter("success").select(F.explode("files").alias("item"))
+    cut = chunking.structured_chunk_column(F.col("text"), options.max_token_size - 1)
+    docs = stored(documents.join(good, "item").select("item", cut.alias("parts")), "run-chunks")
+    records = stored(sinks.chunk_records(docs, F.col("parts"), F.col("item"), run_at), "chunk-records")
+    chunks = docs.select(F.col("item").alias("source"), F.posexplode("parts").alias("seq", "c"))
+    chunks = chunking.with_chunk_id(chunks.select("source", F.col("seq").cast("long").alias("seq"), "c.*"))
+
+    def also() -> None:
+        parts = {
+            "records": records,
+            "chunk_summary": sinks.chunk_summary(records),
+            "errors": summaries.process_errors(results),
+            "summary": _totals(results, good, records),
+        }
+        for name, rows in parts.items():
+            rows.write.mode("overwrite").json(f"{store}/{name}/run={run}")
+
+    columns = [c.split()[0] for c in CHUNKS.split(", ")]
+    return idstore.insert(_first_copies(chunks).select(*columns), store, run, 0, also=also)
+
+
+def stored_chunks(spark: SparkSession, store: str) -> DataFrame:
+    """The chunks of all runs that were committed."""
+    return idstore.read_store(spark, store, CHUNKS)
+
+
+def run_summaries(spark: SparkSession, store: str) -> DataFrame:
+    """``run`` and its totals, of all runs that were committed."""
+    runs = sorted(RunLog(spark, store).read().done)
+    if not runs:
+        return spark.createDataFrame([], f"{SUMMARY}, run string")
+    rows = spark.read.schema(f"{SUMMARY}, run string").option("basePath", f"{store}/summary").json(f"{store}/summary")
+    return rows.filter(F.col("run").isin(runs))

@@ -25,3 +25,10 @@ def schema_listing(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
         for i, f in enumerate(spark.read.parquet(path).schema.fields)
     ]
     return spark.range(1).select(F.inline(F.array(*rows)))
+
+
+def last_change(spark: SparkSession, path: str) -> int:
+    """When a table's files were last written, in milliseconds, as its file system tells."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return max([files.getFileStatus(where).getModificationTime(), *(f.getModificationTime() for f in files.listStatus(where))])

@@ -10,7 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from corpusloom.operators import chunking
-from corpusloom.sources.graphfiles import path_exists
+from corpusloom.sources import idstore
+
+CHUNKS = "chunk_id string, doc_id long, seq long, text string, n_tokens long"
 
 
 def document_chunks(docs: DataFrame, max_tokens: int) -> DataFrame:
@@ -34,23 +36,16 @@ def stream_documents(
 def start_ingest(
     docs: DataFrame, store: str, checkpoint: str, max_tokens: int
 ) -> StreamingQuery:
-    """Append the unseen chunks of each micro-batch to ``store``.
+    """Append the unseen chunks of each micro-batch to the id store at ``store``.
 
-    A batch writes its own folder, named after the stream's checkpoint and the batch
-    id, and compares itself with all other folders, so a replay after a failure
-    rewrites the same rows and a second stream into the store adds to it.
+    A stream is named after its checkpoint. A replay after a failure finds its batch in the
+    store, or writes it anew where it was not committed; a second stream into the store
+    adds to it, also at the same time. A micro-batch reads the ids that share its prefixes.
     """
     stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        part = f"{stream}-{batch_id:09d}"
-        new = chunking.unique_chunks(batch)
-        if path_exists(spark, store):
-            held = spark.read.option("basePath", store).parquet(store)
-            held = held.filter(F.col("part") != part).select("chunk_id")
-            new = new.join(held, "chunk_id", "left_anti")
-        new.write.mode("overwrite").parquet(f"{store}/part={part}")
+        idstore.insert(chunking.unique_chunks(batch), store, stream, batch_id)
 
     return (
         document_chunks(docs, max_tokens)
@@ -62,4 +57,4 @@ def start_ingest(
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.option("basePath", store).parquet(store).drop("part")
+    return idstore.read_store(spark, store, CHUNKS)

@@ -57,12 +57,18 @@ def decode_entities(text: Column) -> Column:
     """All named entities of HTML 4, ``&apos;`` and numeric ones, in one pass, so that ``&amp;lt;``
     becomes ``&lt;``. An unknown name stays; a no-break space becomes a plain one."""
     known = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
-    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    common = ("amp", "nbsp", "lt", "gt", "quot", "apos")
+    # A map is searched entry by entry, so names lie under their first letter.
+    by_letter: dict[str, list[Column]] = {}
+    for name, char in known.items():
+        by_letter.setdefault(name[0], []).extend([F.lit(name), F.lit(char)])
+    names = F.create_map(*[x for letter, pairs in by_letter.items() for x in (F.lit(letter), F.create_map(*pairs))])
 
     def decoded(name: Column) -> Column:
-        return F.when(name.startswith("#"), _numbered(name)).otherwise(
-            F.coalesce(names[name], F.concat(F.lit("&"), name, F.lit(";")))
-        )
+        found = F.when(name.startswith("#"), _numbered(name))
+        for own in common:
+            found = found.when(name == own, F.lit(known[own]))
+        return found.otherwise(F.coalesce(names[F.substring(name, 1, 1)][name], F.concat(F.lit("&"), name, F.lit(";"))))
 
     found = F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1)), decoded)
     pieces = F.zip_with(F.split(text, _ENTITY, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))

@@ -138,6 +138,77 @@ def paragraph_pack(
     )
 
 
+_HEADING = r"^#{1,6} "
+
+
+def section_column(markdown: Column) -> Column:
+    """Sections of a converted page as ``ARRAY<STRUCT<headings ARRAY<STRING>, text>>``.
+
+    A heading line opens a section and closes those of its level and below; a section has
+    its own heading last in ``headings`` and the ones it stands under before. The text before
+    the first heading has none; sections without text of their own are left out. The fold
+    goes over the headings of a page, not over its lines.
+    """
+    path_type = "array<struct<level:int,title:string>>"
+    found_type = "array<struct<at:int,headings:array<string>>>"
+
+    def marks(lines: Column) -> Column:
+        told = F.transform(
+            lines,
+            lambda line, i: F.struct(
+                i.cast("int").alias("at"),
+                F.length(F.regexp_extract(line, r"^(#{1,6}) ", 1)).cast("int").alias("level"),
+                F.trim(F.regexp_replace(line, _HEADING, "")).alias("title"),
+            ),
+        )
+        return F.filter(told, lambda m: m["level"] > 0)
+
+    def step(acc: Column, mark: Column) -> Column:
+        own = F.array(F.struct(mark["level"].alias("level"), mark["title"].alias("title"))).cast(path_type)
+        above = F.concat(F.filter(acc["open"], lambda o: o["level"] < mark["level"]), own)
+        titles = F.transform(above, lambda o: o["title"])
+        here = F.array(F.struct(mark["at"].alias("at"), titles.alias("headings"))).cast(found_type)
+        return F.struct(above.alias("open"), F.concat(acc["found"], here).alias("found"))
+
+    def cut(lines: Column) -> Column:
+        top = F.array(F.struct(F.lit(-1).alias("at"), F.array().cast("array<string>").alias("headings"))).cast(found_type)
+        start = F.struct(F.array().cast(path_type).alias("open"), top.alias("found"))
+
+        def sections(found: Column) -> Column:
+            def body(section: Column, i: Column) -> Column:
+                end = F.coalesce(F.get(found, i + 1)["at"], F.size(lines))
+                own = F.slice(lines, section["at"] + 2, end - section["at"] - 1)
+                return F.struct(section["headings"].alias("headings"), F.array_join(own, "\n").alias("text"))
+
+            return F.filter(F.transform(found, body), lambda s: tx.not_blank(s["text"]))
+
+        return tx.let(F.aggregate(marks(lines), start, step, lambda acc: acc["found"]), sections)
+
+    return tx.let(F.split(markdown, "\n"), cut)
+
+
+def structured_chunk_column(markdown: Column, max_tokens: int = CHUNK_TOKENS) -> Column:
+    """Chunks that keep to the headings: ``ARRAY<STRUCT<headings, n_tokens, text>>``. Neighbouring
+    lines merge up to ``max_tokens``, but only under one heading; longer sections are cut."""
+
+    def packed(section: Column) -> Column:
+        parts = F.filter(paragraph_pack_column(section["text"], max_tokens), lambda c: tx.not_blank(c["text"]))
+        return F.transform(
+            parts,
+            lambda c: F.struct(section["headings"].alias("headings"), c["n_tokens"].alias("n_tokens"), c["text"].alias("text")),
+        )
+
+    return F.flatten(F.transform(section_column(markdown), packed))
+
+
+def structured_chunks(
+    docs: DataFrame, keys: list[str], max_tokens: int = CHUNK_TOKENS, text: str = "text"
+) -> DataFrame:
+    """``keys, seq, headings, n_tokens, text``: a null text has no chunks."""
+    cut = docs.select(*keys, F.posexplode(structured_chunk_column(F.col(text), max_tokens)).alias("seq", "chunk"))
+    return cut.select(*keys, F.col("seq").cast("long").alias("seq"), "chunk.*")
+
+
 def token_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return docs.select(*keys, tx.token_count(F.col(text)).alias("n_tokens"))
 

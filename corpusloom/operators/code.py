@@ -1,14 +1,19 @@
 """Source files to blocks.
 
-Only line positions, offsets and nesting levels are exploded; finding where a block
-ends is a window over those, and its text is cut out of its own file row by offset.
+A file is one row and its blocks are worked out in that row, so nothing shuffles. What runs
+over its lines is a loop in Python (``functions.lexer``) that sees the text column alone, in
+Arrow batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import lexer
 from corpusloom.functions import text as tx
 from corpusloom.operators import chunking
 from corpusloom.options import CHUNK_TOKENS, CODE_WINDOW_LINES
@@ -40,260 +45,45 @@ def language(path: Column) -> Column:
     return F.create_map(*pairs)[F.lower(tx.suffix(path))]
 
 
-# Stands for a file without any block among the block rows.
-NO_BLOCK = "no_block"
-
-
-def _lines(files: DataFrame) -> DataFrame:
-    """``file_id, pos, line, start_at, end_at``: lines with their character offsets."""
-    before = (
-        Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    size = F.length("line")
-    return (
-        files.select("file_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .withColumn("start_at", F.coalesce(F.sum(size + 1).over(before), F.lit(0)).cast("int"))
-        .withColumn("end_at", F.col("start_at") + size)
-    )
-
-
-def _with_ends(lines: DataFrame, level: str, closer: str, ends: dict[str, str]) -> DataFrame:
-    """Header rows with, for each ``ends`` item, that column of the row that closes them.
-
-    A row closes every header level at or above its own ``closer`` value, so it is
-    repeated once per such level (nesting depth, not file length). Within one level
-    the nearest closer is a running minimum over the rows read backwards: the columns
-    of ``ends`` never fall from line to line.
-    """
-    per_file = Window.partitionBy("file_id")
-    backwards = (
-        Window.partitionBy("file_id", "lv")
-        .orderBy(F.desc("pos"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    own = F.when(F.col("header"), F.array(F.col(level))).otherwise(F.array().cast("array<int>"))
-    closes = F.col("lv") >= F.col(closer)
-    levels = F.collect_set(F.when(F.col("header"), F.col(level))).over(per_file)
-    spread = lines.withColumn("levels", levels).withColumn(
-        "lv", F.explode(F.array_union(F.filter("levels", lambda v: v >= F.col(closer)), own))
-    )
-    found = {name: F.min(F.when(closes, F.col(c))).over(backwards) for name, c in ends.items()}
-    return spread.withColumns(found).filter(F.col("header") & (F.col("lv") == F.col(level)))
-
-
-def _with_files(blocks: DataFrame, files: DataFrame) -> DataFrame:
-    """Join block rows ``file_id, start_line, end_line, start_at, end_at, type`` to their
-    file and cut the text out of it; the first line's indent is not part of a block."""
-    cut = F.substring(
-        F.col("source_text"), F.col("start_at") + 1, F.col("end_at") - F.col("start_at")
-    )
-    return (
-        files.select("file_id", "path", F.col("text").alias("source_text"))
-        .join(blocks, "file_id")
-        .withColumn("text", F.regexp_replace(cut, r"^[ \t]+", ""))
-    )
-
-
 BLOCK_COLUMNS = ("file_id", "path", "start_line", "end_line", "type", "text")
-
-
-# Strings and comments of Python. Possessive throughout, so that a literal of any length
-# costs no stack.
-_PYTHON_LITERAL = (
-    r'"""[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+"""'
-    r"|'''[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+'''"
-    r'|"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"'
-    r"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
-    r"|#[^\n]*+"
+_BLOCKS = "array<struct<start_line:bigint,end_line:bigint,type:string,text:string>>"
+_ARROW = pa.list_(
+    pa.struct([("start_line", pa.int64()), ("end_line", pa.int64()), ("type", pa.string()), ("text", pa.string())])
 )
-# Stands at the start of a line that begins inside a string.
-_INSIDE = "\u0001"
-
 
-def _bare_python(text: Column) -> Column:
-    """The text without comments and the insides of strings, its lines where they were."""
 
-    def emptied(literal: Column) -> Column:
-        lines = F.regexp_replace(literal, r"[^\n]+", "")
-        string = F.concat(F.lit("s"), lines, F.when(lines == "", "").otherwise(_INSIDE))
-        return F.when(literal.startswith("#"), F.lit("")).otherwise(string)
+def _lexed(text: Column, blocks: Callable[[str], list[lexer.Block]]) -> Column:
+    """``blocks`` of each text; a null one has none."""
+    names = [field.name for field in _ARROW.value_type]
 
-    found = F.transform(F.regexp_extract_all(text, F.lit(_PYTHON_LITERAL), F.lit(0)), emptied)
-    gaps = F.split(text, _PYTHON_LITERAL, -1)
-    return F.array_join(F.zip_with(gaps, found, lambda g, f: F.concat(g, F.coalesce(f, F.lit("")))), "")
+    @F.arrow_udf(_BLOCKS)
+    def lex(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            rows = ([dict(zip(names, b)) for b in blocks(t.as_py())] if t.is_valid else [] for t in column)
+            yield pa.array(rows, _ARROW)
 
-
-def _python_rows(files: DataFrame) -> DataFrame:
-    line, bare = F.col("line"), F.col("bare")
-    both = F.arrays_zip(F.split("text", "\n", -1).alias("line"), F.split(_bare_python(F.col("text")), "\n", -1).alias("bare"))
-    in_file = Window.partitionBy("file_id").orderBy("pos")
-    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    size = F.length("line")
-    opened = _count(bare, "(") + _count(bare, "[") + _count(bare, "{")
-    closed = _count(bare, ")") + _count(bare, "]") + _count(bare, "}")
-    lines = (
-        files.select("file_id", F.posexplode(both).alias("pos", "both"))
-        .select("file_id", "pos", "both.line", "both.bare")
-        .withColumn("start_at", F.coalesce(F.sum(size + 1).over(before), F.lit(0)).cast("int"))
-        .withColumn("end_at", F.col("start_at") + size)
-        .withColumn("looks", bare.rlike(r"^[ \t]*(?:class|def|async[ \t]+def)[ \t]+\w"))
-        # No definition stands inside brackets, so an unbalanced one reaches no further.
-        .withColumn("stretch", F.sum(F.col("looks").cast("int")).over(in_file))
-    )
-    in_stretch = Window.partitionBy("file_id", "stretch").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumns(
-        {
-            "open": F.coalesce(F.sum(opened - closed).over(in_stretch), F.lit(0)) > 0,
-            "continued": F.coalesce(F.lag("bare").over(in_file).endswith("\\"), F.lit(False)),
-        }
-    )
-    # Continuation lines and the insides of strings belong to a statement, but never end a block.
-    lines = lines.filter(tx.not_blank(bare)).select(
-        "file_id",
-        "pos",
-        "start_at",
-        "end_at",
-        F.length(F.regexp_extract(line, r"^([ \t]*)", 1)).alias("indent"),
-        F.col("looks").alias("definition"),
-        bare.rlike(r"^[ \t]*class[ \t]").alias("is_class"),
-        (F.col("open") | F.col("continued") | bare.startswith(_INSIDE) | bare.rlike(r"^[ \t]*[)\]}]")).alias("inner"),
-    )
-    per_file = Window.partitionBy("file_id")
-    lines = lines.withColumns(
-        {
-            "pos_before": F.lag("pos").over(in_file),
-            "at_before": F.lag("end_at").over(in_file),
-            "last_pos": F.max("pos").over(per_file),
-            "last_at": F.max("end_at").over(per_file),
-            "any": F.max("definition").over(per_file),
-        }
-    )
-    # The first line of a file without definitions stands for the module: no line
-    # reaches its level, so it ends with the file.
-    module = ~F.col("any") & F.col("pos_before").isNull()
-    lines = lines.filter(~F.col("inner") | module).select(
-        "*",
-        (F.col("definition") | module).alias("header"),
-        F.when(module, -1).otherwise(F.col("indent")).alias("level"),
-    )
-    ended = _with_ends(lines, "level", "indent", {"end_pos": "pos_before", "cut_at": "at_before"})
-    return ended.select(
-        "file_id",
-        (F.col("pos") + 1).cast("long").alias("start_line"),
-        (F.coalesce("end_pos", "last_pos") + 1).cast("long").alias("end_line"),
-        "start_at",
-        F.coalesce("cut_at", "last_at").alias("end_at"),
-        F.when(~F.col("definition"), "module")
-        .when(F.col("is_class"), "class_definition")
-        .otherwise("function_definition")
-        .alias("type"),
-    )
+    return lex(text)
 
 
 def python_blocks(files: DataFrame) -> DataFrame:
     """Classes and functions at every depth, nested ones as well as their parents.
 
     ``files(file_id, path, text)`` -> ``file_id, path, start_line, end_line, type, text``.
-    A file without any gives one ``module`` row. Comments, continuation lines and the insides
-    of strings never end a block, wherever they stand.
+    A file without any gives one ``module`` row, a blank one none. Comments, continuation
+    lines and the insides of strings never end a block, wherever they stand.
     """
-    return _with_files(_python_rows(files), files).select(*BLOCK_COLUMNS)
-
-
-# Control words that look like a method header when a bracket follows them.
-_CONTROL = r"^\s*(?:if|for|while|switch|catch|return|else|do|function|new|throw|typeof|await)\b"
-_CLASS = r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+\w"
-_FUNCTION = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\b\s*\*?\s*\w"
-_METHOD = (
-    r"^\s*(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*"
-    r"[#\w$]+\s*\([^)]*\)\s*(?::\s*[^{]+)?\{"
-)
-_ARROW = r"=>"
-
-
-def _bare_line(line: Column) -> Column:
-    """The line without strings, one-line comments and closed block comments."""
-    for quote in ('"', "'", "`"):
-        # Possessive, so that a string of any length costs no stack.
-        pattern = rf"{quote}[^{quote}\\]*+(?:\\.[^{quote}\\]*+)*+{quote}"
-        line = F.regexp_replace(line, pattern, "''")
-    line = F.regexp_replace(line, r"/\*.*?\*/", "")
-    return F.regexp_replace(line, r"//.*$", "")
-
-
-def _count(line: Column, char: str) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(char), F.lit("")))
-
-
-def _script_rows(files: DataFrame) -> DataFrame:
-    in_file = Window.partitionBy("file_id").orderBy("pos")
-    per_file = Window.partitionBy("file_id")
-    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    bare = F.col("bare")
-    lines = (
-        _lines(files)
-        .withColumn("bare", _bare_line(F.col("line")))
-        .withColumn("opens", bare.contains("/*").cast("int"))
-        .withColumn("closes", bare.contains("*/").cast("int"))
-        .withColumn(
-            "in_comment", F.coalesce(F.sum(F.col("opens") - F.col("closes")).over(before), F.lit(0)) > 0
-        )
-        .withColumn(
-            "bare",
-            F.when(
-                F.col("in_comment"),
-                F.when(F.col("closes") > 0, F.regexp_replace(bare, r"^.*?\*/", "")).otherwise(""),
-            ).otherwise(F.regexp_replace(bare, r"/\*.*$", "")),
-        )
-        .withColumn("change", _count(bare, "{") - _count(bare, "}"))
-        .withColumn("depth", F.sum("change").over(in_file).cast("int"))
-        .withColumn("level", (F.col("depth") - F.col("change")).cast("int"))
-    )
-    kind = (
-        F.when(bare.rlike(_CLASS), "class_declaration")
-        .when(bare.rlike(_FUNCTION), "function_declaration")
-        .when(bare.rlike(_METHOD) & ~bare.rlike(_CONTROL), "method_definition")
-        .when(bare.rlike(_ARROW), "arrow_function")
-    )
-    lines = lines.select("file_id", "pos", "start_at", "end_at", "depth", "level", kind.alias("kind"))
-    lines = lines.withColumns(
-        {
-            "any": F.max(F.col("kind").isNotNull()).over(per_file),
-            "last_pos": F.max("pos").over(per_file),
-            "last_at": F.max("end_at").over(per_file),
-        }
-    )
-    none = ~F.col("any") & (F.col("pos") == 0)
-    lines = lines.select(
-        "*",
-        F.when(none, NO_BLOCK).otherwise(F.col("kind")).alias("type"),
-        (none | F.col("kind").isNotNull()).alias("header"),
-    )
-    # A header that closes on its own line ends there; any other waits for the next
-    # line that brings the depth back down.
-    ended = _with_ends(lines, "level", "depth", {"close_pos": "pos", "close_at": "end_at"})
-    at_once = F.col("depth") <= F.col("level")
-    return ended.select(
-        "file_id",
-        (F.col("pos") + 1).cast("long").alias("start_line"),
-        (F.when(at_once, F.col("pos")).otherwise(F.coalesce("close_pos", "last_pos")) + 1)
-        .cast("long")
-        .alias("end_line"),
-        "start_at",
-        F.when(at_once, F.col("end_at")).otherwise(F.coalesce("close_at", "last_at")).alias("end_at"),
-        "type",
-    )
+    return files.select("file_id", "path", F.inline(_lexed(F.col("text"), lexer.python_blocks)))
 
 
 def script_blocks(files: DataFrame) -> DataFrame:
     """Classes, functions, methods and arrow functions of brace languages.
 
     A block runs from its header to the line where the brace depth is back at the
-    header's. Limits: whole lines, the opening brace stands on the header line, and a
-    template string does not span lines.
+    header's; the brace may stand on a later line than the header. Strings, templates over
+    several lines and comments do not count. Limits: blocks are whole lines, and a regular
+    expression that holds quotes or braces is taken for code.
     """
-    rows = _script_rows(files).filter(F.col("type") != NO_BLOCK)
-    return _with_files(rows, files).select(*BLOCK_COLUMNS)
+    return files.select("file_id", "path", F.inline(_lexed(F.col("text"), lexer.script_blocks)))
 
 
 def file_chunks(
@@ -323,12 +113,9 @@ def file_chunks(
             ),
         )
 
-    block = F.array(F.struct("start_line", "end_line", "type", "text"))
-    scripts = _with_files(_script_rows(script), script).select(
-        "file_id",
-        "path",
-        F.inline(F.when(F.col("type") == NO_BLOCK, windows(F.col("source_text"))).otherwise(block)),
-    )
+    lexed = script.withColumn("blocks", _lexed(F.col("text"), lexer.script_blocks))
+    some = F.when(F.size("blocks") > 0, F.col("blocks")).otherwise(windows(F.col("text")))
+    scripts = lexed.select("file_id", "path", F.inline(some))
     plain = other.select("file_id", "path", F.inline(windows(F.col("text"))))
     packed = (
         chunking.paragraph_pack(files.filter(~is_code(path)), ["file_id", "path"], max_tokens)

@@ -25,13 +25,15 @@ from corpusloom.operators import (
     routing,
     summaries,
 )
+from corpusloom.operators import vector_index
 from corpusloom.operators.skew import top_k
 from corpusloom.options import CONTEXT_LIMIT, DEFAULT_LIMIT, Options
-from corpusloom.plans import search
-from corpusloom.plans.index import Index, build, corpus_chunks, word_gazetteer
+from corpusloom.plans import graphstore, search
+from corpusloom.plans import ingest as runs
+from corpusloom.plans.index import Index, build, corpus_chunks, phrase_gazetteer, word_gazetteer
 from corpusloom.session import new_path, stored
 from corpusloom.sources import files as file_source
-from corpusloom.sources import graphfiles, sinks, sitemap, tables
+from corpusloom.sources import graphfiles, idstore, sinks, sitemap, tables
 from corpusloom.streaming import ingest
 
 TABLES = (
@@ -41,6 +43,7 @@ TABLES = (
 
 LINES = 5
 PACK_TOKENS = 200
+SECTION_TOKENS = 30
 WINDOW_TOKENS = 100
 OVERLAP = 20
 RUN_AT = "2024-05-06 07:08:09"
@@ -89,6 +92,14 @@ def paragraph_pack(spark, sf_dir):
     return chunking.paragraph_pack(table(spark, sf_dir, "documents"), ["doc_id"], PACK_TOKENS)
 
 
+@query
+def structured_chunks(spark, sf_dir):
+    """Converted pages cut along their headings."""
+    pages = convert.html_markdown(table(spark, sf_dir, "pages"))
+    chunks = chunking.structured_chunks(pages, ["page_id"], SECTION_TOKENS, "markdown")
+    return chunks.withColumn("headings", F.array_join("headings", " > "))
+
+
 @query
 def token_windows(spark, sf_dir):
     return chunking.token_windows(table(spark, sf_dir, "documents"), ["doc_id"], WINDOW_TOKENS)
@@ -197,10 +208,12 @@ def chunk_insert_incremental(spark, sf_dir):
     """The store holds the chunks of labelled documents; all documents are inserted."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
-    chunks = ingest.document_chunks(docs, WINDOW_TOKENS)
-    store = ingest.document_chunks(docs.join(labels, "doc_id", "left_semi"), WINDOW_TOKENS)
-    new = sinks.unseen(chunking.unique_chunks(chunks), store)
-    return new.select("chunk_id", "doc_id", "seq", "n_tokens")
+    store = new_path(spark, "chunk-store")
+    for number, part in enumerate((docs.join(labels, "doc_id", "left_semi"), docs)):
+        chunks = chunking.unique_chunks(ingest.document_chunks(part, WINDOW_TOKENS))
+        idstore.insert(chunks, store, "documents", number)
+    added = idstore.read_store(spark, store, ingest.CHUNKS, "documents", 1)
+    return added.select("chunk_id", "doc_id", "seq", "n_tokens")
 
 
 @query
@@ -478,12 +491,14 @@ def html_json(spark, sf_dir):
 
 # ---------------------------------------------------------------- graph
 
-_indexes: dict[tuple[str, str], Index] = {}
+_indexes: dict[tuple, Index] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    """The stored corpus of a data folder, built on first use in a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The stored corpus of a data folder, built on first use in a session and again after its
+    tables were rewritten."""
+    changed = [tables.last_change(spark, f"{sf_dir}/{name}.parquet") for name in ("documents", "benchmark")]
+    key = (spark.sparkContext.applicationId, sf_dir, *changed)
     if key not in _indexes:
         docs = table(spark, sf_dir, "documents")
         gazetteer = word_gazetteer(table(spark, sf_dir, "benchmark"))
@@ -514,6 +529,14 @@ def entity_patterns(spark, sf_dir):
     return graph.pattern_mentions(chunks, PATTERNS).select("chunk_id", "name", "entity_type")
 
 
+@query
+def entity_phrases(spark, sf_dir):
+    """Names of two and three long words from the questions."""
+    chunks = corpus_chunks(table(spark, sf_dir, "documents"), WINDOW_TOKENS)
+    names = stored(phrase_gazetteer(table(spark, sf_dir, "benchmark")), "phrases")
+    return graph.phrase_mentions(chunks, names).select("chunk_id", "pos", "name", "entity_type", "link")
+
+
 @query
 def entity_merge(spark, sf_dir):
     return graph.entity_merge(graph.entity_sources(_mentions(spark, sf_dir)))
@@ -538,7 +561,7 @@ def relation_keywords(spark, sf_dir):
 
 @query
 def relation_merge(spark, sf_dir):
-    return graph.relation_merge(graph.relation_pairs(_mentions(spark, sf_dir)))
+    return graph.relation_merge(graph.relation_pairs(_mentions(spark, sf_dir))).drop("rel_type")
 
 
 def _conversation_nodes(spark, sf_dir) -> DataFrame:
@@ -676,7 +699,10 @@ def graphml_read(spark, sf_dir):
     """The graph written as GraphML files and read again."""
     path = new_path(spark, "graphml")
     _graphml(index(spark, sf_dir), path)
-    nodes, edges = graphfiles.read_graphml(spark, f"{path}/*")
+    return _graph_rows(*graphfiles.read_graphml(spark, f"{path}/*"))
+
+
+def _graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select(
         F.lit("node").alias("kind"), F.col("id").alias("key"), "entity_type", "description",
         F.lit(None).cast("double").alias("weight"), F.lit(None).cast("string").alias("keywords"), "source_id",
@@ -689,6 +715,18 @@ def graphml_read(spark, sf_dir):
     )
 
 
+@query
+def graph_incremental(spark, sf_dir):
+    """The graph of all documents, grown in two batches: ids up to the mean, then the others."""
+    docs = table(spark, sf_dir, "documents")
+    words = word_gazetteer(table(spark, sf_dir, "benchmark"))
+    mean = docs.agg(F.avg("doc_id")).scalar()
+    store = new_path(spark, "graph-store")
+    for number, part in enumerate((docs.filter(F.col("doc_id") <= mean), docs.filter(F.col("doc_id") > mean))):
+        graphstore.add_documents(part, words, store, "documents", number, WINDOW_TOKENS)
+    return _graph_rows(graphstore.nodes(spark, store), graphstore.edges(spark, store))
+
+
 @query
 def graph_json_read(spark, sf_dir):
     """The graph exported as JSON, and the export reused instead of a conversion."""
@@ -767,7 +805,7 @@ def search_no_hits(spark, sf_dir):
         message_id().alias("query_id"), "text", F.lit(1).alias("top_k")
     )
     idx = index(spark, sf_dir)
-    found = retrieval.match_entities(retrieval.query_terms(asked), idx.nodes, idx.total, 1)
+    found = retrieval.match_entities(retrieval.named(retrieval.query_terms(asked), idx.nodes), idx.total, 1)
     return retrieval.no_hits(asked, found)
 
 
@@ -786,6 +824,14 @@ def vector_topk(spark, sf_dir):
     return retrieval.vector_topk(vectors, means, CONTEXT_LIMIT, "vec_id")
 
 
+@query
+def vector_index_topk(spark, sf_dir):
+    """Nearest vectors to every vector whose id is divisible by 100, from the stored index."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector_index.nearest(vector_index.build(vectors, "vec_id"), asked, CONTEXT_LIMIT)
+
+
 # ---------------------------------------------------------------- contexts
 
 
@@ -839,6 +885,27 @@ def process_errors(spark, sf_dir):
     return summaries.process_errors(_results(spark, sf_dir))
 
 
+def _run_store(spark, sf_dir) -> str:
+    """The store after a run over all items, whose pages are converted, and the same run again."""
+    pages = convert.html_markdown(table(spark, sf_dir, "pages"), "url")
+    documents = pages.select(F.col("url").alias("item"), F.col("markdown").alias("text"))
+    store, when = new_path(spark, "run-store"), F.lit(RUN_AT).cast("timestamp")
+    for _ in range(2):
+        runs.process_run(manifest(spark, sf_dir), documents, store, "first", when, Options(max_token_size=SECTION_TOKENS + 1))
+    return store
+
+
+@query
+def process_run(spark, sf_dir):
+    chunks = runs.stored_chunks(spark, _run_store(spark, sf_dir))
+    return chunks.select("chunk_id", "source", "seq", F.array_join("headings", " > ").alias("headings"), "n_tokens")
+
+
+@query
+def process_run_summary(spark, sf_dir):
+    return runs.run_summaries(spark, _run_store(spark, sf_dir))
+
+
 @query
 def store_summary(spark, sf_dir):
     """Documents as files: their line windows are the chunks, and the insert fails for

@@ -320,6 +320,52 @@ ORACLES["html_text"] = (
 ORACLES["sitemap_convert"] = _with(SITEMAP) + f"""
 SELECT sitemap_url, pos, url, md5({_MARKDOWN}) AS document_md5 FROM listed"""
 
+SECTIONS = f"""
+md_lines AS (
+  SELECT page_id, url, unnest(string_split(m, chr(10))) AS line, generate_subscripts(string_split(m, chr(10)), 1) AS pos
+  FROM (SELECT page_id, url, {_MARKDOWN} AS m FROM pages)),
+marks AS (
+  SELECT page_id, pos, length(regexp_extract(line, '^(#{{1,6}}) ', 1)) AS level,
+         trim(regexp_replace(line, '^#{{1,6}} ', '')) AS title
+  FROM md_lines WHERE regexp_matches(line, '^#{{1,6}} ')),
+-- A heading is open at another one if none of its level or above stands between.
+paths AS (
+  SELECT page_id, own AS section, string_agg(title, ' > ' ORDER BY pos) AS headings
+  FROM (SELECT s.page_id, s.pos AS own, h.pos, any_value(h.title) AS title
+        FROM marks s JOIN marks h ON h.page_id = s.page_id AND h.pos <= s.pos
+        LEFT JOIN marks g ON g.page_id = s.page_id AND g.pos > h.pos AND g.pos <= s.pos AND g.level <= h.level
+        GROUP BY s.page_id, s.pos, h.pos HAVING count(g.pos) = 0)
+  GROUP BY page_id, own),
+body AS (
+  SELECT * FROM (
+    SELECT l.page_id, l.url, l.pos, l.line, m.pos IS NOT NULL AS heading,
+           coalesce(max(m.pos) OVER (PARTITION BY l.page_id ORDER BY l.pos), 0) AS section
+    FROM md_lines l LEFT JOIN marks m ON m.page_id = l.page_id AND m.pos = l.pos) WHERE NOT heading),
+sec_counted AS (
+  SELECT *, list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '') AS t FROM body),
+sec_pieces AS (
+  SELECT page_id, url, section, pos, 0 AS part, line AS text, len(t) AS n FROM sec_counted WHERE len(t) <= 30
+  UNION ALL
+  SELECT page_id, url, section, pos, s // 30, array_to_string(t[s + 1 : s + 30], ' '), least(30, len(t) - s)
+  FROM (SELECT *, unnest(range(0, len(t), 30)) AS s FROM sec_counted WHERE len(t) > 30)),
+sec_numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id, section ORDER BY pos, part) AS i FROM sec_pieces),
+sec_packed AS (
+  SELECT page_id, url, section, i, n, text, CAST(0 AS BIGINT) AS k, CAST(n AS BIGINT) AS run FROM sec_numbered WHERE i = 1
+  UNION ALL
+  SELECT x.page_id, x.url, x.section, x.i, x.n, x.text,
+         CASE WHEN p.run + x.n <= 30 THEN p.k ELSE p.k + 1 END,
+         CASE WHEN p.run + x.n <= 30 THEN p.run + x.n ELSE x.n END
+  FROM sec_packed p JOIN sec_numbered x ON x.page_id = p.page_id AND x.section = p.section AND x.i = p.i + 1),
+sec_chunks AS (
+  SELECT page_id, url, coalesce(headings, '') AS headings, n_tokens, text,
+         row_number() OVER (PARTITION BY page_id ORDER BY c.section, k) - 1 AS seq
+  FROM (SELECT page_id, url, section, k, CAST(sum(n) AS BIGINT) AS n_tokens, string_agg(text, chr(10) ORDER BY i) AS text
+        FROM sec_packed GROUP BY page_id, url, section, k HAVING regexp_matches(string_agg(text, chr(10) ORDER BY i), '\\S')) c
+  LEFT JOIN paths USING (page_id, section))"""
+ORACLES["structured_chunks"] = _with(SECTIONS) + """
+SELECT page_id, seq, headings, n_tokens, text FROM sec_chunks"""
+
 _BODY = _chain("html", _DROP)
 ORACLES["html_struct"] = rf"""
 WITH b AS (SELECT page_id, {_BODY} AS h FROM pages),
@@ -412,6 +458,36 @@ ORACLES["entity_patterns"] = _with(TOKENS, WINDOWS, CHUNKS) + """
 SELECT chunk_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) AS name, 'email' AS entity_type FROM chunks
 UNION ALL
 SELECT chunk_id, unnest(regexp_extract_all(text, '[0-9][0-9.-]+[0-9]')), 'number' FROM chunks"""
+ORACLES["entity_phrases"] = _with(TOKENS, WINDOWS, CHUNKS, r"""
+asked_words AS (
+  SELECT item_id, w, i, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3
+  FROM (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+        FROM (SELECT item_id, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM benchmark))
+  WINDOW o AS (PARTITION BY item_id ORDER BY i)),
+names AS (
+  SELECT w || ' ' || w2 AS term, 2 AS n FROM asked_words WHERE length(w) >= 6 AND length(w2) >= 6
+  UNION SELECT w || ' ' || w2 || ' ' || w3, 3 FROM asked_words WHERE length(w) >= 6 AND length(w2) >= 6 AND length(w3) >= 6),
+chunk_words AS (
+  SELECT chunk_id, lang, w, pos, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4
+  FROM (SELECT chunk_id, lang, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos
+        FROM (SELECT chunk_id, lang, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM chunks))
+  WINDOW o AS (PARTITION BY chunk_id ORDER BY pos)),
+hits AS (
+  SELECT chunk_id, lang, pos, n, term, link FROM (
+    SELECT c.chunk_id, c.lang, c.pos, t.n, t.term, CASE t.n WHEN 2 THEN w3 ELSE w4 END AS link
+    FROM chunk_words c JOIN names t ON t.term = c.w || ' ' || c.w2 AND t.n = 2
+    UNION ALL
+    SELECT c.chunk_id, c.lang, c.pos, t.n, t.term, w4
+    FROM chunk_words c JOIN names t ON t.term = c.w || ' ' || c.w2 || ' ' || c.w3 AND t.n = 3)
+  QUALIFY row_number() OVER (PARTITION BY chunk_id, pos ORDER BY n DESC) = 1),
+-- From the left: the first hit at or after the end of the one before.
+chosen AS (
+  SELECT chunk_id, arg_min(pos, pos) AS pos, arg_min(n, pos) AS n FROM hits GROUP BY chunk_id
+  UNION ALL
+  SELECT c.chunk_id, h.pos, h.n FROM chosen c, LATERAL (
+    SELECT pos, n FROM hits x WHERE x.chunk_id = c.chunk_id AND x.pos >= c.pos + c.n ORDER BY pos LIMIT 1) h)""") + """
+SELECT h.chunk_id, h.pos, h.term AS name, h.lang AS entity_type, h.link
+FROM hits h JOIN chosen c ON c.chunk_id = h.chunk_id AND c.pos = h.pos"""
 ORACLES["entity_sources"] = _with(TOKENS, WINDOWS, CHUNKS, MENTIONS) + """
 SELECT chunk_id, name, count(*) AS n FROM mentions GROUP BY ALL"""
 ORACLES["entity_merge"] = _with(TOKENS, WINDOWS, CHUNKS, MENTIONS, NODES) + "SELECT * FROM nodes"
@@ -427,11 +503,15 @@ UNION ALL SELECT id, entity_type, description, source_id, id FROM talk_nodes"""
 ORACLES["label_counts"] = _with(TOKENS, WINDOWS, CHUNKS, MENTIONS, NODES) + """
 SELECT entity_type AS label, count(*) AS n_nodes FROM nodes GROUP BY 1"""
 ORACLES["relation_type"] = _with(*GRAPH) + """
-SELECT source, target, k AS keywords,
-       CASE WHEN contains(k, 'lead') THEN 'lead' WHEN contains(k, 'participate') THEN 'participate'
-            WHEN contains(k, 'uses') THEN 'uses' WHEN contains(k, 'located') THEN 'located'
-            WHEN contains(k, 'occurs') THEN 'occurs' ELSE replace(split_part(k, ',', 1), '"', '') END AS rel_type
-FROM (SELECT source, target, keywords AS k FROM edges)"""
+SELECT e.source, e.target, e.keywords,
+       CASE WHEN t.lead THEN 'lead' WHEN t.participate THEN 'participate' WHEN t.uses THEN 'uses'
+            WHEN t.located THEN 'located' WHEN t.occurs THEN 'occurs'
+            ELSE replace(split_part(e.keywords, ',', 1), '"', '') END AS rel_type
+FROM edges e LEFT JOIN (
+  SELECT source, target, bool_or(contains(keyword, 'lead')) AS lead, bool_or(contains(keyword, 'participate')) AS participate,
+         bool_or(contains(keyword, 'uses')) AS uses, bool_or(contains(keyword, 'located')) AS located,
+         bool_or(contains(keyword, 'occurs')) AS occurs
+  FROM words_between GROUP BY source, target) t ON e.source = t.source AND e.target = t.target"""
 ORACLES["edge_endpoints"] = _with(*GRAPH, *TALK_NODES) + """
 SELECT source, target, weight, keywords, source_id FROM edges
 WHERE source IN (SELECT id FROM talk_nodes) AND target IN (SELECT id FROM talk_nodes)"""
@@ -471,7 +551,7 @@ placed AS (
   FROM keys)""") + """
 SELECT kind, CAST(batch AS BIGINT) AS batch, count(*) AS n_rows, min(key) AS min_key, max(key) AS max_key
 FROM placed GROUP BY kind, batch"""
-ORACLES["graphml_read"] = _with(*GRAPH) + """
+ORACLES["graph_incremental"] = ORACLES["graphml_read"] = _with(*GRAPH) + """
 SELECT 'node' AS kind, id AS key, entity_type, description, CAST(NULL AS DOUBLE) AS weight,
        CAST(NULL AS VARCHAR) AS keywords, source_id FROM nodes
 UNION ALL SELECT 'edge', source || '|' || target, NULL, description, weight, keywords, source_id FROM edges"""
@@ -623,6 +703,14 @@ scored AS (
 SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank
 FROM scored QUALIFY rank <= 5"""
 
+ORACLES["vector_index_topk"] = """
+WITH scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS item_id,
+         round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0)
+SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank
+FROM scored QUALIFY rank <= 5"""
+
 # ---------------------------------------------------------------- contexts
 
 HITS = """
@@ -679,6 +767,19 @@ results AS (
 ORACLES["process_summary"] = _with(ITEMS, RESULTS) + """
 SELECT count(*) AS total_files, count(*) FILTER (error IS NULL) AS successful_files,
        count(error) AS failed_files, count(error) AS n_errors, count(error) = 0 AS ok FROM results"""
+ORACLES["process_run"] = _with(ITEMS, RESULTS, SECTIONS) + """
+SELECT md5(text) AS chunk_id, url AS source, seq, headings, n_tokens
+FROM sec_chunks WHERE url IN (SELECT item FROM results WHERE error IS NULL)
+QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY url, seq) = 1"""
+ORACLES["process_run_summary"] = _with(ITEMS, RESULTS, SECTIONS, """
+run_files AS (
+  SELECT item, (SELECT count(*) FROM sec_chunks c WHERE c.url = r.item) AS n FROM results r WHERE error IS NULL)""") + """
+SELECT count(*) AS total_files, count(*) FILTER (error IS NULL) AS successful_files,
+       count(error) AS failed_files, count(error) AS n_errors, count(error) = 0 AS ok,
+       (SELECT count(*) FILTER (n > 0) FROM run_files) AS successful_stores,
+       (SELECT count(*) FILTER (n = 0) FROM run_files) + count(error) AS failed_stores,
+       (SELECT CAST(sum(n) AS BIGINT) FROM run_files) AS total_chunks,
+       (SELECT CAST(sum(n) AS BIGINT) FROM run_files) AS saved_chunks, 'first' AS run FROM results"""
 ORACLES["process_errors"] = _with(ITEMS, RESULTS) + "SELECT item, error FROM results WHERE error IS NOT NULL"
 ORACLES["store_summary"] = _with(ITEMS, RESULTS, LINES5, """
 files AS (

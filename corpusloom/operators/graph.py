@@ -180,15 +180,18 @@ def entity_merge(sources: DataFrame) -> DataFrame:
     return entity_nodes(entity_counts(sources))
 
 
-def relation_pairs(found: DataFrame, window: int = PAIR_WINDOW) -> DataFrame:
-    """Undirected relations per chunk: two different entities at most ``window`` words apart.
+def relation_pairs(found: DataFrame, window: int | None = PAIR_WINDOW) -> DataFrame:
+    """Undirected relations per chunk: two different entities at most ``window`` words apart, or,
+    without a window, anywhere in the chunk.
 
     ``links`` are the words that follow the first of the two, where one stands between them.
 
     Each mention meets only the mentions in the next ``window`` words, so the rows grow
-    with the text and not with the square of a chunk's mentions.
+    with the text and not with the square of a chunk's mentions. Without a window they grow with
+    the square of a chunk's length, which the chunking bounds.
     """
-    ahead = Window.partitionBy("chunk_id").orderBy("pos").rangeBetween(1, window)
+    reach = Window.unboundedFollowing if window is None else window
+    ahead = Window.partitionBy("chunk_id").orderBy("pos").rangeBetween(1, reach)
     return (
         found.withColumn("ahead", F.collect_list(F.struct("pos", "name")).over(ahead))
         .withColumn("next", F.explode("ahead"))

@@ -460,6 +460,19 @@ def html_markdown(spark, sf_dir):
     return convert.html_markdown(table(spark, sf_dir, "pages"))
 
 
+@query
+def html_nested(spark, sf_dir):
+    """Pages set as a numbered list with a list in it, a table and preformatted text."""
+    words = F.regexp_extract_all("url", F.lit("[A-Za-z]+"), F.lit(0))
+    word = lambda i: F.get(words, F.lit(i))
+    pieces = [
+        "<ol><li>", word(0), "<ul><li>", word(1), "<li>", word(2), "</ul></li><li><b>", word(1), "</b></ol><table><tr><th>page<th>a &amp; b<tr><td>",
+        F.col("page_id").cast("string"), "<td><a href='", F.col("url"), "'>", word(0), "</a></table><pre>  ", word(1), "\n    {", word(2), "}</pre><p>", word(0),
+    ]
+    html = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
+    return convert.html_markdown(table(spark, sf_dir, "pages").select("page_id", html.alias("html")))
+
+
 @query
 def html_text(spark, sf_dir):
     return convert.html_text(table(spark, sf_dir, "pages"))
@@ -554,6 +567,13 @@ def relation_pairs(spark, sf_dir):
     )
 
 
+@query
+def relation_pairs_chunk(spark, sf_dir):
+    """All pairs of a chunk, however far apart."""
+    pairs = graph.relation_pairs(_mentions(spark, sf_dir), None)
+    return pairs.select("chunk_id", "source", "target", "weight", F.md5(F.array_join("links", ",")).alias("links_md5"))
+
+
 @query
 def relation_keywords(spark, sf_dir):
     return graph.relation_keywords(index(spark, sf_dir).pairs)

@@ -156,7 +156,7 @@ def test_searches_open_the_shelves_they_need(spark):
     name = idx.nodes.orderBy("n_sources", "id").first().id
     asked = spark.createDataFrame([(1, name, 3)], "query_id long, text string, top_k int")
     idx.lay_out()
-    for found in (search.local(idx, asked), search.global_(idx, asked), search.naive(idx, asked)):
+    for found in (search.local(idx, asked), search.global_(idx, asked)):
         assert re.search(rf"PartitionFilters: \[[^\]]*{shelves.SHELF}#", plan_of(found))
 
 

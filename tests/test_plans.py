@@ -8,8 +8,11 @@ from corpusloom.plans import recipes
 SF_DIR = "/root/testdata/sf0.001"
 NO_SHUFFLE = ("code_blocks", "code_blocks_js", "line_windows", "paragraph_pack", "token_windows", "token_counts", "html_markdown", "html_struct")
 
-# Running state over a file's lines, and matrix products.
-PYTHON = ("code_blocks", "code_blocks_js", "chunk_dispatch", "vector_topk", "vector_index_topk")
+# Running state over lines or tags, and matrix products.
+PYTHON = (
+    "code_blocks", "code_blocks_js", "chunk_dispatch", "html_markdown", "html_nested", "sitemap_convert", "structured_chunks",
+    "vector_topk", "vector_index_topk",
+)
 
 
 def plan_of(df) -> str:

@@ -314,6 +314,12 @@ _TRIM = [(r"^\s+|\s+$", "")]
 
 _MARKDOWN = _chain("html", _DROP + _HEAD + _HEADINGS + _INLINE + _BLOCKS + _PLAIN + _SPACE)
 ORACLES["html_markdown"] = f"SELECT page_id, {_MARKDOWN} AS markdown FROM pages"
+ORACLES["html_nested"] = """
+SELECT page_id, '1. ' || w[1] || chr(10) || '  - ' || w[2] || chr(10) || '  - ' || w[3] || chr(10) || chr(10)
+  || '2. **' || w[2] || '**' || chr(10) || chr(10)
+  || '| page | a & b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || page_id || ' | [' || w[1] || '](' || url || ') |' || chr(10) || chr(10)
+  || '```' || chr(10) || '  ' || w[2] || chr(10) || '    {' || w[3] || '}' || chr(10) || '```' || chr(10) || chr(10) || w[1] AS markdown
+FROM (SELECT page_id, url, regexp_extract_all(url, '[A-Za-z]+') AS w FROM pages)"""
 ORACLES["html_text"] = (
     f"SELECT page_id, {_chain('html', _DROP + _HEAD + _BLOCKS + _PLAIN + _SPACE)} AS text FROM pages"
 )
@@ -493,6 +499,8 @@ SELECT chunk_id, name, count(*) AS n FROM mentions GROUP BY ALL"""
 ORACLES["entity_merge"] = _with(TOKENS, WINDOWS, CHUNKS, MENTIONS, NODES) + "SELECT * FROM nodes"
 ORACLES["relation_pairs"] = _with(TOKENS, WINDOWS, CHUNKS, MENTIONS, PAIRS) + """
 SELECT chunk_id, source, target, weight, coalesce(array_to_string(links, ','), '') AS links FROM pairs"""
+ORACLES["relation_pairs_chunk"] = _with(TOKENS, WINDOWS, CHUNKS, MENTIONS, PAIRS.replace("AND b.pos <= a.pos + 5 ", "")) + """
+SELECT chunk_id, source, target, weight, md5(coalesce(array_to_string(links, ','), '')) AS links_md5 FROM pairs"""
 ORACLES["relation_keywords"] = _with(*GRAPH) + "SELECT * FROM words_between"
 ORACLES["relation_merge"] = _with(*GRAPH) + "SELECT * FROM edges"
 

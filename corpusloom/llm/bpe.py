@@ -24,8 +24,9 @@ _SPACE = r"[\t\n\x{0b}\f\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2
 _INSIDE_RUN = f"{_SPACE} (?:{_SPACE}|\\z)"
 # Marks that are a pre-token of their own after letters and at a word's end.
 _STOPS = frozenset(".,;:!?")
-# About 120 MB of words of at most ``KEPT_CHARS`` characters.
-WORDS_KEPT = 600_000
+# Words of at most ``KEPT_CHARS`` characters whose ids a worker keeps, about 80 MB, and whose counts.
+WORDS_KEPT = 400_000
+COUNTS_KEPT = 800_000
 KEPT_CHARS = 64
 
 
@@ -201,4 +202,4 @@ def encoder(path: str) -> Encoder:
 
 @functools.lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return Counter(path, COUNTS_KEPT)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import mix, record_batch, slices
+from corpusloom.session import stored
 
 LENGTHS = (2, 3, 4)
 BUCKETS = 1 << 15
@@ -32,6 +33,9 @@ UNKNOWN = "und"
 LEAST_SCORE = 0.05
 
 _BLOCK = 128
+# Places of the hash order, and how many times the wanted ids are looked at.
+_PLACES = 1 << 30
+_SPARE = 4
 
 
 def held_out(doc_id: Column) -> Column:
@@ -102,12 +106,19 @@ def solve(presences: list[np.ndarray], labels: list[str], landmarks: int = LANDM
 def training_sample(docs: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """At most ``rows`` rows that may be learnt from: ``doc_id, text, lang, turn``."""
     allowed = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = F.xxhash64("doc_id")
-    keys = allowed.select("doc_id", "lang", order.alias("order"))
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(_PLACES))
+    # The ids of a language are cut by a bound on their order, worked out from their number, so
+    # that no task sorts a language; the bound leaves several times the ids that are wanted.
+    counts = stored(allowed.groupBy("lang").count(), "language-counts")
+    bound = F.greatest(F.lit(1.0), F.lit(float(_SPARE * rows)) * _PLACES / F.col("count"))
+    keys = allowed.select("doc_id", "lang", order.alias("order")).join(counts, "lang").filter(F.col("order") < bound)
+    keys = keys.select("doc_id", "lang", "order").distinct()
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
     chosen = keys.withColumn("turn", turn).filter(F.col("turn") <= rows)
     chosen = chosen.orderBy("turn", "order", "doc_id").limit(rows).select("doc_id", "lang", "turn")
-    return docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"])
+    found = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"])
+    # Of rows that repeat an id one is learnt from.
+    return found.groupBy("doc_id", "lang", "turn").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, rows: int = TRAINING_ROWS) -> Model:
@@ -163,7 +174,8 @@ def predict(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
 
 def accepted(docs: DataFrame, least: float = LEAST_SCORE, training_rows: int = TRAINING_ROWS) -> DataFrame:
     """``docs`` without the rows no language is found for, or none with a score of ``least``. All
-    columns stay as they are. Rows are judged in place, without a join."""
+    columns stay as they are. Rows are judged in place, without a join; only texts reach the
+    Python workers."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
@@ -171,9 +183,13 @@ def accepted(docs: DataFrame, least: float = LEAST_SCORE, training_rows: int = T
     )
     model = fit(rows, training_rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            names, best = _best(model, batch.column("text"))
-            yield batch.filter(pa.array((names != UNKNOWN) & (best >= least)))
+    @F.arrow_udf("boolean")
+    def good(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            told = [np.zeros(0, bool)]
+            for batch in slices([pa.RecordBatch.from_arrays([column], names=["text"])]):
+                names, best = _best(model, batch.column("text"))
+                told.append((names != UNKNOWN) & (best >= least))
+            yield pa.array(np.concatenate(told))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(good(F.col("text").cast("string")))

@@ -32,15 +32,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.batches import grams, mix, record_batch, slices, word_hashes, words
+from corpusloom.llm.batches import grams, mix, record_batch, release, slices, word_hashes, words
 from corpusloom.llm.components import components
 from corpusloom.session import new_path
 
 N = 5
 PERCENT = 80
 # Postings a map task sorts at a time, and postings of one part of the index.
-FLUSH = 4_000_000
-PART = 4_000_000
+FLUSH = 1_000_000
+PART = 1_000_000
 # An n-gram in more documents than this of one flush sends a count to its part and its
 # documents as a row of their own.
 OFTEN = 64
@@ -170,6 +170,8 @@ def _postings(chosen: DataFrame, n: int, parts: int) -> DataFrame:
                 tokens, docs, held = [], [], 0
         if held:
             yield _flushed(tokens, docs, parts)
+        del tokens, docs
+        release()
 
     return chosen.mapInArrow(run, "part int, often boolean, payload binary")
 
@@ -221,6 +223,8 @@ def _shared(postings: DataFrame) -> DataFrame:
                 yield record_batch(doc_id=doc, token=token.astype(np.int64), df=np.repeat(df, len(doc)))
         if runs:
             yield merged(runs)[0]
+        del runs, tokens, dfs
+        release()
 
     return postings.mapInArrow(run, "doc_id long, token long, df long")
 

@@ -285,3 +285,16 @@ def test_no_secrets(spark):
     none = spark.createDataFrame([], "path long, text string")
     assert secret_scan.scan(none, secret_scan.Ledger(spark)).count() == 0
     assert secret_scan.summaries(none, secret_scan.Ledger(spark)).count() == 0
+
+
+def test_sample_takes_an_id_once(spark):
+    """Rows that repeat an id do not multiply, and the sample keeps its bound."""
+    learnable = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(learnable[0], f"text {i}", "en", "s", 1) for i in range(300)]
+    rows += [(i, f"text {i}", "en" if i % 2 else "de", "s", 1) for i in learnable]
+    docs = table(spark, rows, 5).select("doc_id", "text", "lang")
+    whole = langid.training_sample(docs, 2_000).collect()
+    assert sorted(r.doc_id for r in whole if r.doc_id != learnable[0]) == learnable[1:]
+    assert sum(r.doc_id == learnable[0] for r in whole) <= 2  # once for each language it stands under
+    few = langid.training_sample(docs, 10).collect()
+    assert len(few) == 10 and {r.lang for r in few} == {"en", "de"}

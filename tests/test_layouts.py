@@ -153,7 +153,7 @@ def test_little_is_read(spark, corpus):
 def test_searches_open_the_shelves_they_need(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     idx = build(docs, word_gazetteer(spark.read.parquet(f"{SF_DIR}/benchmark.parquet")), 100)
-    name = idx.nodes.orderBy("n_sources", "id").first().id
+    name = idx.edges.orderBy("source", "target").first().source
     asked = spark.createDataFrame([(1, name, 3)], "query_id long, text string, top_k int")
     idx.lay_out()
     for found in (search.local(idx, asked), search.global_(idx, asked)):

@@ -785,6 +785,11 @@ def search_naive(spark, sf_dir):
     return search.naive(index(spark, sf_dir), questions(spark, sf_dir))
 
 
+@query
+def search_naive_index(spark, sf_dir):
+    return search.naive_by_index(index(spark, sf_dir), questions(spark, sf_dir))
+
+
 @query
 def search_local(spark, sf_dir):
     return search.local(index(spark, sf_dir), questions(spark, sf_dir))

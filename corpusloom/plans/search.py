@@ -22,7 +22,19 @@ def _largest_limit(queries: DataFrame) -> int:
 
 
 def naive(index: Index, queries: DataFrame) -> DataFrame:
-    """``query_id, part, item, score, rank`` of the best chunks by words."""
+    """``query_id, part, item, score, rank`` of the best chunks by words, in one pass over all
+    term vectors without a shuffle before the ranking: the way for large batches."""
+    rows = retrieval.chunk_postings(index.vectors)
+    weights = stored(
+        retrieval.query_weights(retrieval.query_terms(queries), rows, index.total), "query-weights"
+    )
+    best = retrieval.rank_by_terms(rows, "chunk_id", weights, _largest_limit(queries))
+    return retrieval.part(best, "chunk")
+
+
+def naive_by_index(index: Index, queries: DataFrame) -> DataFrame:
+    """The same rows from the inverted index, which opens the shelves of the questions' terms
+    only: the way for a few questions on a large corpus."""
     return retrieval.part(postings.rank(index.postings, queries, _largest_limit(queries)), "chunk")
 
 

@@ -37,7 +37,7 @@ def test_only_needed_columns_are_read(spark):
 
 
 def test_scoring_reads_shelves_and_ranks_inside_tasks(spark):
-    plan = plan_of(recipes.search_naive(spark, SF_DIR))
+    plan = plan_of(recipes.search_naive_index(spark, SF_DIR))
     assert "WindowGroupLimit" in plan and "_shelf#" in plan.split("PartitionFilters: [", 1)[1]
 
 

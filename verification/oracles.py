@@ -678,7 +678,7 @@ mixed AS (
   QUALIFY rank <= (SELECT k FROM limits))"""
 
 _Q10, _Q5 = _questions(10), _questions(5)
-ORACLES["search_naive"] = _with(TOKENS, WINDOWS, CHUNKS, _Q10, NAIVE) + "SELECT * FROM naive"
+ORACLES["search_naive_index"] = ORACLES["search_naive"] = _with(TOKENS, WINDOWS, CHUNKS, _Q10, NAIVE) + "SELECT * FROM naive"
 ORACLES["search_local"] = _with(*GRAPH, _Q10, LOCAL) + "SELECT * FROM local_"
 ORACLES["search_global"] = _with(*GRAPH, _Q10, LOCAL, GLOBAL) + "SELECT * FROM global_"
 ORACLES["search_hybrid"] = _with(*GRAPH, _Q10, LOCAL, GLOBAL, HYBRID) + "SELECT * FROM hybrid"

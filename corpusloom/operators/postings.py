@@ -8,8 +8,9 @@ A batch of questions is ranked in three reads. The rarest terms of a question gi
 some items, and the ``top_k``-th of them bounds the result from below. Terms whose largest
 possible shares together stay below that bound cannot bring an item into the result on their
 own: only the blocks of the other terms are read, and of these only blocks whose largest
-weight can still reach the bound. The items found there that can still reach it are then
-looked up in the remaining terms, block by block. Nothing is approximate: every item that
+weight can still reach the bound. A posting is read once for all questions and scored in the
+task that has its item. The items found there that can still reach the bound are then looked
+up in all terms of their questions, block by block. Nothing is approximate: every item that
 could be among the first ``top_k``, ties included, gets its whole score.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval
-from corpusloom.operators.shelves import PART, Shelves, shelve
+from corpusloom.operators.shelves import PART, SHELF, Shelves, shelve
 from corpusloom.session import stored
 
 # Postings of a block, and blocks of one part of a term.
@@ -29,8 +30,7 @@ BLOCK = 512
 BLOCKS_PER_PART = 64
 # The first read takes the rarest terms until they have this many postings per wanted item.
 FIRST = 4
-# Scores are rounded to six decimals before they are compared.
-_ROUNDING = 2e-6
+_ROUNDING = retrieval.ROUNDING
 
 
 @dataclass(frozen=True)
@@ -53,24 +53,26 @@ def build(vectors: DataFrame, key: str = "chunk_id", block: int = BLOCK, blocks_
     ``block`` postings.
     """
     rows = retrieval.chunk_postings(vectors, key).withColumnRenamed(key, "item")
-    counts = rows.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") > block)
-    pieces = F.pow(F.lit(2), F.ceil(F.log2(F.col("df") / block))).cast("int")
-    often = stored(counts.select("term", pieces.alias("pieces")), "frequent-terms")
-    cut = rows.join(often, "term", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-    cut = cut.withColumn("piece", _piece(F.col("item"), F.col("pieces")))
-    blocks = cut.groupBy("term", "piece", "pieces").agg(
-        F.max("weight").alias("largest"),
-        F.count("*").alias("n"),
-        F.collect_list(F.struct("item", "weight")).alias("entries"),
-    )
+    counts = rows.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("largest"))
+    pieces = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("df") / block)))).cast("int")
+    terms = stored(counts.withColumn("pieces", pieces), "term-counts")
+    often = terms.filter(F.col("pieces") > 1).select("term", "pieces")
     hubs = often.filter(F.col("pieces") > blocks_per_part)
     hubs = hubs.select("term", F.ceil(F.col("pieces") / blocks_per_part).cast("int").alias("parts"))
-    part = F.floor(F.col("piece") / blocks_per_part)
-    shelved = shelve(stored(blocks, "posting-blocks"), ("term",), "postings", rows_per_shelf=4_096, part=part, hubs=hubs)
-    terms = shelved.rows.groupBy("term").agg(
-        F.sum("n").alias("df"), F.max("largest").alias("largest"), F.first("pieces").alias("pieces")
-    )
-    return Postings(shelve(stored(terms, "term-list"), ("term",), "terms"), shelved, vectors.count(), blocks_per_part)
+    cut = rows.join(stored(often, "frequent-terms"), "term", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    cut = cut.withColumn("piece", _piece(F.col("item"), F.col("pieces")))
+    cut = cut.withColumn(PART, F.floor(F.col("piece") / blocks_per_part).cast("int"))
+
+    def blocks(placed: DataFrame) -> DataFrame:
+        return placed.groupBy(SHELF, PART, "term", "piece", "pieces").agg(
+            F.max("weight").alias("largest"),
+            F.count("*").alias("n"),
+            F.collect_list(F.struct("item", "weight")).alias("entries"),
+        )
+
+    n_blocks = terms.agg(F.coalesce(F.sum("pieces"), F.lit(0))).first()[0]
+    shelved = shelve(cut, ("term",), "postings", rows_per_shelf=4_096, hubs=hubs, n_rows=n_blocks, gather=blocks)
+    return Postings(shelve(terms, ("term",), "terms"), shelved, vectors.count(), blocks_per_part)
 
 
 def weigh(index: Postings, queries: DataFrame) -> DataFrame:
@@ -124,29 +126,30 @@ def rank(index: Postings, queries: DataFrame, max_k: int | None = None) -> DataF
     weights = stored(weigh(index, queries), "query-weights")
     planned = stored(plan(weights, stored(floors(index, weights), "query-floors")), "query-plan")
 
-    # Items with a needed term, out of the blocks that can reach the floor.
-    needed = index.blocks.lookup(planned.filter("needed").withColumnRenamed("pieces", "_pieces").drop("df"))
-    able = needed.filter(F.col("weight") * F.col("largest") + F.col("others") >= F.col("floor"))
-    shares = able.select("query_id", "top_k", "floor", F.col("weight").alias("_w"), F.inline("entries"))
-    found = shares.groupBy("query_id", "item").agg(
-        F.first("top_k").alias("top_k"),
-        F.first("floor").alias("floor"),
-        F.sum(F.col("_w") * F.col("weight")).alias("score"),
-    )
-    rest = planned.filter("NOT needed")
-    most = rest.groupBy("query_id").agg(F.sum("bound").alias("most"))
-    found = found.join(most, "query_id", "left").filter(F.col("score") + F.coalesce("most", F.lit(0.0)) >= F.col("floor"))
-    found = stored(found.select("query_id", "top_k", "item", "score"), "query-items")
-
-    # What the other terms add to them, looked up in the one block of a term an item can be in.
-    open_ = found.select("query_id", "item").join(rest.select("query_id", "term", "weight", "pieces"), "query_id")
-    open_ = open_.select("query_id", "term", "item", F.col("weight").alias("_w"), _piece(F.col("item"), F.col("pieces")).alias("piece"))
-    open_ = open_.withColumn(PART, F.floor(F.col("piece") / index.blocks_per_part).cast("int"))
-    at = open_.select("term", "piece", PART).distinct()
-    entries = index.blocks.at(at).join(at, ["term", "piece", PART], "left_semi").select("term", F.inline("entries"))
-    added = entries.join(open_, ["term", "item"]).select("query_id", "item", (F.col("weight") * F.col("_w")).alias("score"))
-    limits = found.select("query_id", "item", "top_k", "score").unionByName(
-        added.select("query_id", "item", F.lit(None).cast("int").alias("top_k"), "score")
-    )
-    scored = limits.groupBy("query_id", "item").agg(F.max("top_k").alias("top_k"), F.round(F.sum("score"), 6).alias("score"))
-    return retrieval.ranked(scored.filter(F.col("score") > 0), "item", max_k)
+    # Items with a needed term, out of the blocks that can reach the floor of one of the questions.
+    needed = planned.filter("needed")
+    rest = planned.filter("NOT needed").groupBy("query_id").agg(F.sum("bound").alias("most"))
+    asked = needed.groupBy("term").agg(F.min((F.col("floor") - F.col("others")) / F.col("weight")).alias("least"))
+    able = index.blocks.lookup(stored(asked, "needed-terms")).filter(F.col("largest") >= F.col("least") - _ROUNDING)
+    bounds = needed.join(rest, "query_id", "left").withColumn("most", F.coalesce("most", F.lit(0.0)))
+    k = max_k if max_k is not None else queries.agg(F.coalesce(F.max("top_k"), F.lit(0))).first()[0]
+    found = stored(retrieval.reaching(_items(able), stored(bounds, "query-bounds"), k), "query-items")
+
+    # Their whole scores, from the one block of each term of their questions that an item can be in.
+    open_ = found.join(planned.select("query_id", "term", "pieces"), "query_id")
+    open_ = open_.select("term", _piece(F.col("item"), F.col("pieces")).alias("piece"))
+    at = open_.withColumn(PART, F.floor(F.col("piece") / index.blocks_per_part).cast("int")).distinct()
+    at = stored(at, "open-blocks")
+    met = index.blocks.at(at).join(at, ["term", "piece", PART], "left_semi")
+    items = _items(met, stored(found.select("item").distinct(), "found-items"))
+    best = retrieval.rank_by_terms(items, "item", planned.select("query_id", "top_k", "term", "weight"), k)
+    return best.select("query_id", "item", "score", "rank", "top_k")
+
+
+def _items(blocks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The postings of ``blocks`` by item, each once however many questions ask for them:
+    ``item, term, share``, of the ``wanted`` items only."""
+    rows = blocks.select("term", F.inline("entries"))
+    rows = rows if wanted is None else rows.join(wanted, "item", "left_semi")
+    listed = rows.groupBy("item").agg(F.collect_list(F.struct("term", "weight")).alias("e"))
+    return listed.select("item", F.col("e.term").alias("term"), F.col("e.weight").alias("share"))

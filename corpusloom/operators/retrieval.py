@@ -10,10 +10,13 @@ go to the smaller id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import dataset, fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +26,12 @@ from corpusloom.operators.skew import HOT_ROWS, salted_join, top_k
 from corpusloom.options import SEARCH_MODES
 from corpusloom.session import new_path
 
+# A task scores one batch of its items against this many questions at a time, and so many items at once.
+QUERIES_AT_ONCE = 256
+ITEMS_AT_ONCE = 64
+# Scores are rounded to six decimals before they are compared.
+ROUNDING = 2e-6
+
 PARTS = ("entity", "relation", "chunk")
 
 
@@ -97,24 +106,128 @@ def query_weights(terms: DataFrame, postings: DataFrame, total: Column) -> DataF
 
 
 def rank_by_terms(
-    postings: DataFrame, key: str, weights: DataFrame, max_k: int | None = None
+    items: DataFrame, key: str, weights: DataFrame, max_k: int | None = None
 ) -> DataFrame:
-    """Top items per query by the sum of ``postings.weight * weights.weight``.
+    """Top items per query by the sum of an item's shares times ``weights.weight``.
 
-    ``postings(key, term, weight)``. When the postings come partitioned by ``key`` the
-    sum needs no shuffle, and only the leading rows of each task reach the ranking.
+    ``items(key, term ARRAY<STRING>, share ARRAY<DOUBLE>)`` has one row per item and
+    ``weights(query_id, top_k, term, weight)`` is a stored table. Every task passes over its own
+    items once and reads the weights block by block; items and queries never meet as rows, and
+    only ``max_k`` items per query and batch reach the ranking.
     """
-    scored = (
-        postings.withColumnRenamed("weight", "iw")
-        .join(weights, "term")
-        .groupBy(key, "query_id")
-        .agg(
-            F.min("top_k").alias("top_k"),
-            F.round(F.sum(F.col("iw") * F.col("weight")), 6).alias("score"),
-        )
-        .filter(F.col("score") > 0)
-    )
-    return ranked(scored, key, max_k)
+    kind = {name: weights.schema[name].dataType.simpleString() for name in ("query_id", "top_k")}
+    k = max_k if max_k is not None else weights.agg(F.coalesce(F.max("top_k"), F.lit(0))).first()[0]
+    folder, blocks = weight_blocks(weights)
+    schema = f"query_id {kind['query_id']}, {key} {items.schema[key].dataType.simpleString()}, top_k long, score double"
+    rows = items.select(F.col(key).alias("_item"), "term", F.col("share").cast("array<double>").alias("share"))
+    found = rows.mapInArrow(_leading(folder, blocks, k), schema)
+    return ranked(found.withColumn("top_k", F.col("top_k").cast(kind["top_k"])), key, max_k)
+
+
+def weight_blocks(weights: DataFrame, *keep: str) -> tuple[str, int]:
+    """``weights`` written to a folder in blocks of about ``QUERIES_AT_ONCE`` whole queries, and their number."""
+    n = 1 + weights.agg(F.count_distinct("query_id")).first()[0] // QUERIES_AT_ONCE
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")
+    rows = weights.filter("weight IS NOT NULL AND term IS NOT NULL").select("query_id", "top_k", "term", "weight", *keep)
+    folder = new_path(weights.sparkSession, "weight-blocks")
+    rows.withColumn("block", block).repartition(n, "block").write.partitionBy("block").parquet(folder)
+    return folder, n
+
+
+@dataclass
+class Block:
+    """Weights of some queries as a matrix of terms and queries, and what holds for each query."""
+
+    terms: pa.Array
+    matrix: np.ndarray
+    queries: pa.Array
+    limits: dict[str, np.ndarray]
+
+
+def _blocks(folder: str, n: int, least: tuple[str, ...] = ("top_k",)) -> Iterator[Block]:
+    files, root = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+    for number in range(n):
+        at = f"{root}/block={number}"
+        if files.get_file_info(at).type != fs.FileType.Directory:
+            continue
+        table = dataset.dataset(at, filesystem=files, format="parquet").to_table().combine_chunks()
+        if not table.num_rows:
+            continue
+        coded = [table.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in ("term", "query_id")]
+        coded = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in coded]
+        term, query = (c.indices.to_numpy() for c in coded)
+        matrix = np.zeros((len(coded[0].dictionary), len(coded[1].dictionary)))
+        np.add.at(matrix, (term, query), table.column("weight").to_numpy())
+        limits = {}
+        for name in least:
+            limits[name] = np.full(matrix.shape[1], np.inf)
+            np.minimum.at(limits[name], query, table.column(name).to_numpy().astype(np.float64))
+        yield Block(coded[0].dictionary, matrix, coded[1].dictionary, limits)
+
+
+def _scored(batches: Iterator[pa.RecordBatch], folder: str, n: int, least: tuple[str, ...] = ("top_k",)):
+    """``items, block, scores`` (queries by items) of every batch of items and block of queries; items
+    come sorted."""
+    once = list(_blocks(folder, n, least)) if n == 1 else None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = batch.take(pc.sort_indices(batch.column("_item")))
+        terms, shares = batch.column("term"), batch.column("share").flatten().to_numpy(zero_copy_only=False)
+        offsets = terms.offsets.to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        terms = terms.flatten()
+        for block in once if once is not None else _blocks(folder, n, least):
+            place = pc.fill_null(pc.index_in(terms, value_set=block.terms), -1).to_numpy()
+            met = np.flatnonzero(place >= 0)
+            at, of, share = place[met], row[met], shares[met]
+            scores = np.zeros((batch.num_rows, block.matrix.shape[1]))
+            heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.array([], np.int64)
+            for i in range(0, len(heads), ITEMS_AT_ONCE):
+                some = heads[i : i + ITEMS_AT_ONCE]
+                end = heads[i + ITEMS_AT_ONCE] if i + ITEMS_AT_ONCE < len(heads) else len(of)
+                shown = block.matrix[at[some[0] : end]] * share[some[0] : end, None]
+                scores[of[some]] = np.add.reduceat(shown, some - some[0], axis=0)
+            yield batch.column("_item"), block, np.ascontiguousarray(scores.T)
+
+
+def _leading(folder: str, n: int, k: int):
+    """A ``mapInArrow`` function: the ``k`` best of each batch of items for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for items, block, scores in _scored(batches, folder, n) if k > 0 else ():
+            rounded = np.rint(scores * 1e6).astype(np.int64)
+            size = len(items)
+            order = rounded * size + np.arange(size - 1, -1, -1)  # ties go to the smaller item
+            if size > k:
+                found = np.argpartition(order, size - k, axis=1)[:, size - k :]
+            else:
+                found = np.broadcast_to(np.arange(size), order.shape)
+            q, at = np.nonzero(np.take_along_axis(rounded, found, 1) > 0)
+            i = found[q, at]
+            limits = pa.array(block.limits["top_k"][q].astype(np.int64))
+            columns = [block.queries.take(pa.array(q)), items.take(pa.array(i)), limits, pa.array(rounded[q, i] / 1e6)]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "item", "top_k", "score"])
+
+    return run
+
+
+def reaching(items: DataFrame, weights: DataFrame, max_k: int) -> DataFrame:
+    """``query_id, item`` of the pairs that can be among a query's best: ``items`` as for ``rank_by_terms``,
+    ``weights(query_id, top_k, term, weight, floor, most)`` with what the query's best have at least and
+    what an item can get besides. The ``max_k``-th score of a batch bounds the result from below too."""
+    folder, n = weight_blocks(weights, "floor", "most")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, block, scores in _scored(batches, folder, n, ("floor", "most")) if max_k > 0 else ():
+            least = block.limits["floor"]
+            if len(found) > max_k:
+                least = np.maximum(least, np.partition(scores, -max_k, axis=1)[:, -max_k] - ROUNDING)
+            q, i = np.nonzero((scores > 0) & (scores + block.limits["most"][:, None] >= least[:, None]))
+            yield pa.RecordBatch.from_arrays([block.queries.take(pa.array(q)), found.take(pa.array(i))], names=["query_id", "item"])
+
+    kinds = f"query_id {weights.schema['query_id'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}"
+    return items.select(F.col("item").alias("_item"), "term", "share").mapInArrow(run, kinds)
 
 
 def ranked(scored: DataFrame, key: str, max_k: int | None = None) -> DataFrame:
@@ -136,6 +249,19 @@ def chunk_postings(vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
     )
 
 
+def shares(vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """``term_vectors`` rows as the ``items`` of ``rank_by_terms``: ``key, term, share``."""
+    share = F.transform("terms", lambda t: (1 + F.log(t["tf"])) / F.col("norm"))
+    return vectors.select(key, F.col("terms.term").alias("term"), share.alias("share"))
+
+
+def whole_shares(rows: DataFrame, key: str, term: Column) -> DataFrame:
+    """Rows of ``key`` and a ``term`` as the ``items`` of ``rank_by_terms``, each term with share 1. Rows that
+    come partitioned by ``key`` are not shuffled."""
+    listed = rows.groupBy(key).agg(F.collect_list(term).alias("term"))
+    return listed.withColumn("share", F.array_repeat(F.lit(1.0), F.size("term")))
+
+
 def part(df: DataFrame, name: str) -> DataFrame:
     return df.select("query_id", F.lit(name).alias("part"), "item", "score", "rank")
 
@@ -249,10 +375,6 @@ def no_hits(queries: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-# A task scores one batch of its vectors against this many questions at a time.
-QUERIES_AT_ONCE = 256
-
-
 def _best(scores: np.ndarray, ids: np.ndarray, items: np.ndarray, k: int) -> pd.DataFrame:
     """The pairs that can be among the ``k`` best of their query, ties included."""
     if scores.shape[1] > k:

@@ -9,6 +9,7 @@ before it opens a file.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -48,9 +49,9 @@ class Shelves:
         return self.rows.filter(here).drop(SHELF)
 
     def lookup(self, wanted: DataFrame) -> DataFrame:
-        """``wanted(keys, ...)`` joined with the rows of its keys. ``wanted`` is read twice, for
-        its shelves and for the join: store it where it is dear. A null key finds nothing."""
-        asked = self.asked(wanted)
+        """``wanted(keys, ...)`` joined with the rows of its keys. A null key finds nothing. What is asked is
+        stored, as it is read twice and Spark shuffles the shelves unless it knows how small it is."""
+        asked = stored(self.asked(wanted), "asked")
         return self.at(asked).join(asked, [*self.keys, PART]).drop(PART)
 
 
@@ -60,28 +61,29 @@ def shelve(
     name: str,
     rows_per_part: int = ROWS_PER_PART,
     rows_per_shelf: int = ROWS_PER_SHELF,
-    part: Column | None = None,
     hubs: DataFrame | None = None,
+    n_rows: int | None = None,
+    gather: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Shelves:
     """Write ``df``, a stored table, by ``keys``.
 
     Rows of a hub are dealt to its parts by a hash of the whole row, so a task that is run
-    again deals them the same way. A caller that knows them passes ``part`` of each row and
-    ``hubs(keys, parts)`` itself.
+    again deals them the same way. A caller that knows them passes ``hubs(keys, parts)`` itself, with
+    the part of each row in the column ``PART``. ``gather`` makes the rows of a shelf, ``n_rows`` of them in
+    all, out of what has been dealt to it, so that they are neither stored nor shuffled before.
     """
     spark, columns = df.sparkSession, list(df.columns)
     if hubs is None:
         counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows_per_part)
         hubs = counts.select(*keys, F.ceil(F.col("_n") / rows_per_part).cast("int").alias("parts"))
     hubs = stored(hubs, f"{name}-hubs")
-    if part is None:
+    if PART not in columns:
         joined = df.join(hubs, list(keys), "left")
         part = F.coalesce(F.pmod(F.xxhash64(*columns), F.col("parts")).cast("int"), F.lit(0))
         df = joined.select(*columns, part.alias(PART))
-    else:
-        df = df.withColumn(PART, part.cast("int"))
-    n = min(MOST, max(FEWEST, power_of_two(df.count() / rows_per_shelf)))
-    placed = df.withColumn(SHELF, _shelf(keys, n))
+    n = min(MOST, max(FEWEST, power_of_two((df.count() if n_rows is None else n_rows) / rows_per_shelf)))
+    placed = df.withColumn(SHELF, _shelf(keys, n)).repartition(n, SHELF)
+    placed = gather(placed) if gather else placed
     path = new_path(spark, name)
-    placed.repartition(n, SHELF).sortWithinPartitions(SHELF, *keys).write.partitionBy(SHELF).parquet(path)
+    placed.sortWithinPartitions(SHELF, *keys).write.partitionBy(SHELF).parquet(path)
     return Shelves(spark.read.schema(placed.schema).parquet(path), keys, hubs, n)

@@ -20,16 +20,32 @@ class Index:
     search first asks for it and kept with the index."""
 
     chunks: DataFrame
-    vectors: DataFrame
     sources: DataFrame
     pairs: DataFrame
     nodes: DataFrame
     edges: DataFrame
+    buckets: int
 
     @property
     def total(self) -> Column:
         return self.chunks.agg(F.count("*")).scalar()
 
+    @cached_property
+    def vectors(self) -> DataFrame:
+        """Term vectors, bucketed as the chunks are; what reads the graph alone never needs them."""
+        vectors = retrieval.term_vectors(self.chunks, "chunk_id")
+        return stored(vectors, "vectors", bucket_by="chunk_id", buckets=self.buckets)
+
+    @property
+    def entity_shares(self) -> DataFrame:
+        """The entities of each chunk in one row, for a pass over all chunks."""
+        return retrieval.whole_shares(self.sources, "chunk_id", F.col("name"))
+
+    @property
+    def relation_shares(self) -> DataFrame:
+        """The relations of each chunk in one row, for a pass over all chunks."""
+        return retrieval.whole_shares(self.pairs, "chunk_id", retrieval.edge_name())
+
     @cached_property
     def postings(self) -> postings.Postings:
         """Term to chunks."""
@@ -62,7 +78,7 @@ class Index:
 
     def lay_out(self) -> None:
         """Write all layouts now."""
-        for name in ("postings", "nodes_by_id", "edges_by_end", "sources_by_name", "pairs_by_ends", "chunks_by_id"):
+        for name in ("vectors", "postings", "nodes_by_id", "edges_by_end", "sources_by_name", "pairs_by_ends", "chunks_by_id"):
             getattr(self, name)
 
 
@@ -109,10 +125,9 @@ def build(
         return stored(df, name, bucket_by="chunk_id", buckets=n)
 
     chunks = by_chunk(corpus_chunks(docs, max_tokens), "chunks")
-    vectors = by_chunk(retrieval.term_vectors(chunks, "chunk_id"), "vectors")
     found = by_chunk(graph.mentions(chunks, stored(gazetteer, "gazetteer")), "mentions")
     sources = by_chunk(graph.entity_sources(found), "entity-sources")
     pairs = by_chunk(graph.relation_pairs(found, pair_window), "relation-pairs")
     nodes = stored(graph.entity_merge(sources), "nodes")
     edges = stored(graph.relation_merge(pairs), "edges")
-    return Index(chunks, vectors, sources, pairs, nodes, edges)
+    return Index(chunks, sources, pairs, nodes, edges, n)

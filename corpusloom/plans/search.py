@@ -8,6 +8,8 @@ session's threshold and sort-merges with skew splitting above.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from corpusloom.options import CONTEXT_LIMIT
 from corpusloom.plans.index import Index
 from corpusloom.session import stored
 
+# Entities or relations of a batch whose chunks are looked up; those of larger batches are found in one pass.
+FEW_KEYS = 16
+
 
 def _largest_limit(queries: DataFrame) -> int:
     return queries.agg(F.coalesce(F.max("top_k"), F.lit(0))).first()[0]
@@ -28,7 +33,7 @@ def naive(index: Index, queries: DataFrame) -> DataFrame:
     weights = stored(
         retrieval.query_weights(retrieval.query_terms(queries), rows, index.total), "query-weights"
     )
-    best = retrieval.rank_by_terms(rows, "chunk_id", weights, _largest_limit(queries))
+    best = retrieval.rank_by_terms(retrieval.shares(index.vectors), "chunk_id", weights, _largest_limit(queries))
     return retrieval.part(best, "chunk")
 
 
@@ -51,25 +56,34 @@ def touched(index: Index, scores: DataFrame) -> DataFrame:
     return met.select("query_id", "top_k", "term", "score", "source", "target", "weight")
 
 
+def _chunks(scores: DataFrame, items: DataFrame, shown: Callable[[], DataFrame], k: int) -> DataFrame:
+    """Chunks by the scores of the entities or relations they show: ``scores(query_id, top_k, term, score)``,
+    stored. A few are looked up; more would meet most chunks many times, so the chunks are passed over once."""
+    if scores.count() <= FEW_KEYS:
+        return retrieval.chunk_parts(shown(), k)
+    weights = scores.select("query_id", "top_k", "term", F.col("score").alias("weight"))
+    return retrieval.part(retrieval.rank_by_terms(items, "chunk_id", weights, k), "chunk")
+
+
 def _local(index: Index, entities: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     scores = entities.select("query_id", "top_k", F.col("item").alias("term"), "score")
     return retrieval.union(
         [
             retrieval.part(entities, "entity"),
             retrieval.part(retrieval.rank_edges(edges, k), "relation"),
-            retrieval.chunk_parts(index.sources_by_name.lookup(scores), k),
+            _chunks(scores, index.entity_shares, lambda: index.sources_by_name.lookup(scores), k),
         ]
     )
 
 
 def _global(index: Index, edges: DataFrame, k: int) -> DataFrame:
     relations = stored(retrieval.rank_edges(edges, k), "query-relations")
-    asked = relations.select("query_id", "top_k", "source", "target", "score")
+    asked = relations.select("query_id", "top_k", "source", "target", "score", retrieval.edge_name().alias("term"))
     return retrieval.union(
         [
             retrieval.end_parts(relations),
             retrieval.part(relations, "relation"),
-            retrieval.chunk_parts(index.pairs_by_ends.lookup(asked), k),
+            _chunks(asked, index.relation_shares, lambda: index.pairs_by_ends.lookup(asked.drop("term")), k),
         ]
     )
 
@@ -182,7 +196,8 @@ def context_lines(index: Index, queries: DataFrame, limit: int = CONTEXT_LIMIT)
             context.csv_cell(F.col("source_id")),
         ).alias("line"),
     )
-    chunk = index.chunks_by_id.lookup(of("chunk")).select(
+    texts = index.chunks.select(F.col("chunk_id").alias("item"), "text")
+    chunk = texts.join(stored(of("chunk"), "context-chunks"), "item").select(
         "query_id", "part", "rank", context.csv_line(number, F.col("text")).alias("line")
     )
     return retrieval.union([entity, relation, chunk])

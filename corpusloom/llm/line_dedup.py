@@ -23,6 +23,8 @@ from corpusloom.session import new_path
 MIN_CHARS = 20
 MIN_DOCS = 3
 FANOUT = 4
+# Documents of a batch at most, besides the batches that any input is cut into.
+BATCH_DOCS = 4_000_000
 # Rows of a run per bucket.
 BUCKET_ROWS = 4_000_000
 
@@ -188,7 +190,7 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = MIN_CHARS)
 
 def dedup_lines(
     docs: DataFrame,
-    batches: int = 3,
+    batches: int | None = None,
     min_docs: int = MIN_DOCS,
     min_chars: int = MIN_CHARS,
 ) -> DataFrame:
@@ -196,7 +198,9 @@ def dedup_lines(
 
     A line's key is the stripped line with A-Z lower-cased. Keys of at least ``min_chars``
     code points found in at least ``min_docs`` documents lose their lines in all documents
-    but the one with the largest ``doc_id``. The result does not depend on ``batches``.
+    but the one with the largest ``doc_id``. The result does not depend on ``batches``; by default there
+    are more than ``FANOUT``, so runs are compacted and later batches meet runs of several levels, and
+    one more for every ``BATCH_DOCS`` documents.
 
     A null or empty text is one empty line and keeps as it is; rows with a null ``doc_id``
     neither count nor lose lines; rows that repeat a ``doc_id`` are one document; other
@@ -204,6 +208,8 @@ def dedup_lines(
     """
     spark = docs.sparkSession
     staged = new_path(spark, "line-batches")
+    if batches is None:
+        batches = FANOUT + 2 + docs.count() // BATCH_DOCS
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
     batch_runs(docs, batch, min_chars).write.partitionBy("batch").parquet(staged)
     runs = spark.read.schema("h1 long, h2 long, n_docs long, last_doc long, batch int").parquet(staged)

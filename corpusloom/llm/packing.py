@@ -145,7 +145,7 @@ class Packer:
             total -= length
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, with_ids: bool = False, keep_words: bool = True) -> DataFrame:
     """Pieces of all ``docs(doc_id, text)`` in sequences of at most ``window`` ids.
 
     A document is its text's ids and the end id 0; a null or empty text is that id alone.
@@ -153,7 +153,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, w
     before it) ``, length, ids_crc32`` (unsigned, of the ids as little-endian 32-bit
     integers) ``, doc_tokens, sequence_id, offset`` (in the sequence, gapless). All sequences
     have ``window`` ids or a power of two, so none needs padding if ``window`` is one.
-    ``with_ids`` adds the ids themselves.
+    ``with_ids`` adds the ids themselves. Without ``keep_words`` a worker forgets after each task the
+    words it has learnt: other stages run in the same workers, and kept words are memory they lack.
 
     Repeated rows are packed each, a null ``doc_id`` stays null, other columns are not looked
     at, an empty table gives no rows.
@@ -182,6 +183,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, w
                 packer.add(doc_id, ids[end - length - 1 : end].copy())
             if packer.rows:
                 yield out()
+        if not keep_words:
+            encoder.known.clear()
         release()
         packer.shard()
         if packer.rows:

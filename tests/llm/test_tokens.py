@@ -154,3 +154,14 @@ def test_packing_nothing(spark):
     assert packing.pack(empty(spark)).count() == 0
     with pytest.raises(ValueError):
         packing.pack(empty(spark), window=1000)
+
+
+def test_a_word_is_merged_once_whatever_marks_it_has():
+    encoder, merged = bpe.Encoder(PATH), []
+    merge = encoder.merge
+    encoder.merge = lambda letters: merged.append(letters) or merge(letters)
+    text = "first zyxwvqk zyxwvqk, zyxwvqk.\nzyxwvqk (zyxwvqk) zyxwvqk; 2zyxwvqk zyxwvqk's\nZyxwvqk \xe9zyxwvqk"
+    for _ in range(2):
+        assert encoder.encode(pa.array([text]))[0].tolist() == library(text)
+    assert len(merged) == len(set(merged))
+    assert all(key.lstrip(" ").isalpha() for key in encoder.known)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.batches import mix, record_batch, slices
+from corpusloom.llm.batches import mix, record_batch, release, slices
 from corpusloom.session import stored
 
 LENGTHS = (2, 3, 4)
@@ -191,5 +191,6 @@ def accepted(docs: DataFrame, least: float = LEAST_SCORE, training_rows: int = T
                 names, best = _best(model, batch.column("text"))
                 told.append((names != UNKNOWN) & (best >= least))
             yield pa.array(np.concatenate(told))
+        release()
 
     return docs.filter(good(F.col("text").cast("string")))

@@ -41,6 +41,8 @@ PERCENT = 80
 # Postings a map task sorts at a time, and postings of one part of the index.
 FLUSH = 1_000_000
 PART = 1_000_000
+# Bytes of text whose sets are made at a time.
+SLICE_BYTES = 2 << 20
 # An n-gram in more documents than this of one flush sends a count to its part and its
 # documents as a row of their own.
 OFTEN = 64
@@ -78,13 +80,14 @@ def shingle_sets(docs: DataFrame, n: int = N) -> DataFrame:
     """``doc_id, n_shingles, k1, k2``: size and 128-bit key of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES):
             sizes, keys = [], []
             for found in _sets(batch, n):
                 sizes.append(len(found))
                 keys.append(_key(found))
             k1, k2 = zip(*keys)
             yield record_batch(doc_id=batch.column("doc_id"), n_shingles=sizes, k1=k1, k2=k2)
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
 

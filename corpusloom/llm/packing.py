@@ -29,6 +29,9 @@ END_ID = 0
 # Units per shard: bounds the memory of a shard and the length of its postings.
 SHARD_UNITS = 512
 K1, B = 1.2, 0.75
+# Where workers keep no words: bytes of text encoded at a time, and words kept within a task.
+FEW_BYTES = 2 << 20
+FEW_WORDS = 200_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -145,6 +148,18 @@ class Packer:
             total -= length
 
 
+def frugal(batches: Iterator[pa.RecordBatch], encoder: bpe.Encoder) -> Iterator[pa.RecordBatch]:
+    """Slices for a worker that shares its memory with other stages: small ones, fewer words kept,
+    and what is freed goes back after each."""
+    for batch in slices(batches, size=FEW_BYTES):
+        if len(encoder.known) > FEW_WORDS:
+            encoder.known.clear()
+        yield batch
+        del batch
+        release()
+    encoder.known.clear()
+
+
 def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, with_ids: bool = False, keep_words: bool = True) -> DataFrame:
     """Pieces of all ``docs(doc_id, text)`` in sequences of at most ``window`` ids.
 
@@ -153,8 +168,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, w
     before it) ``, length, ids_crc32`` (unsigned, of the ids as little-endian 32-bit
     integers) ``, doc_tokens, sequence_id, offset`` (in the sequence, gapless). All sequences
     have ``window`` ids or a power of two, so none needs padding if ``window`` is one.
-    ``with_ids`` adds the ids themselves. Without ``keep_words`` a worker forgets after each task the
-    words it has learnt: other stages run in the same workers, and kept words are memory they lack.
+    ``with_ids`` adds the ids themselves. Without ``keep_words`` a worker takes smaller portions and
+    forgets after each task the words it has learnt: other stages run in the same workers, and
+    what it holds is memory they lack.
 
     Repeated rows are packed each, a null ``doc_id`` stays null, other columns are not looked
     at, an empty table gives no rows.
@@ -174,7 +190,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, w
             told = {n: pa.array(c, pa.int64()) for n, c in zip(names, columns)}
             return record_batch(**told, **({"ids": pa.array(columns[-1], pa.list_(pa.int64()))} if with_ids else {}))
 
-        for batch in slices(batches):
+        for batch in slices(batches) if keep_words else frugal(batches, encoder):
             ids, lengths = encoder.encode(batch.column("text"))
             ends = np.cumsum(lengths)
             ids = np.insert(ids, ends, END_ID).astype(np.uint32)
@@ -183,8 +199,6 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, w
                 packer.add(doc_id, ids[end - length - 1 : end].copy())
             if packer.rows:
                 yield out()
-        if not keep_words:
-            encoder.known.clear()
         release()
         packer.shard()
         if packer.rows:

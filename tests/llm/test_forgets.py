@@ -23,3 +23,18 @@ def test_words_are_forgotten_when_asked(spark, tmp_path, keep_words):
 
     most = spark.range(0, 8, 1, 8).mapInArrow(held, "n long").agg({"n": "max"}).first()[0]
     assert (most > 0) == keep_words
+
+
+def test_small_portions_where_words_are_not_kept():
+    class Learning:
+        known: dict = {}
+
+    batches = [pa.record_batch({"text": [f"{i:07d}" * 30_000 for i in range(40)]}) for _ in range(2)]
+    texts, most = [], 0
+    for n, batch in enumerate(packing.frugal(iter(batches), Learning)):
+        assert sum(map(len, batch["text"].to_pylist())) < packing.FEW_BYTES + 210_000
+        texts += batch["text"].to_pylist()
+        most = max(most, len(Learning.known))
+        Learning.known |= {(n, i): b"" for i in range(packing.FEW_WORDS // 2 + 1)}
+    assert texts == [t for b in batches for t in b["text"].to_pylist()]
+    assert 0 < most <= packing.FEW_WORDS and not Learning.known

@@ -6,7 +6,8 @@ document). That run is merge-anti-joined with all runs of the store: keys that w
 seen become a new run on level 0, keys that were seen go to the store's list of repeats.
 When a level holds ``FANOUT`` runs they are compacted into one run of the next level, so a
 store of n batches has about log n runs. All of it is DataFrame work; runs are bucketed
-and sorted, so the joins need no exchange of what is stored.
+by the whole key and sorted, and a batch's run is stored the same way before it is compared,
+so these joins exchange nothing, however many shuffle partitions the session has.
 
 Keys are two independent 64-bit hashes of the stripped line with A-Z lower-cased.
 """
@@ -88,12 +89,15 @@ class LineStore:
         self.repeats: list[str] = []
         self.buckets: int | None = None
 
-    def _save(self, run: DataFrame) -> str:
+    def _save(self, run: DataFrame, dealt: bool = False) -> str:
+        """Write a run as a table of one file per bucket. What joins of the store's tables give is ``dealt``
+        by bucket already and stays where it is; anything else moves once, straight to its bucket."""
         name = f"line_run_{uuid.uuid4().hex}"
+        if not dealt:
+            run = run.repartitionById(self.buckets, F.pmod(F.hash(*_HASH), F.lit(self.buckets)).cast("int"))
         (
-            run.repartition(self.buckets, "h1")
-            .sortWithinPartitions(*_HASH)
-            .write.bucketBy(self.buckets, "h1")
+            run.sortWithinPartitions(*_HASH)
+            .write.bucketBy(self.buckets, *_HASH)
             .sortBy(*_HASH)
             .option("path", f"{self.folder}/{name}")
             .saveAsTable(name)
@@ -114,15 +118,18 @@ class LineStore:
         """Take in the run of one batch (``h1, h2, n_docs, last_doc``) of about ``rows`` rows."""
         if self.buckets is None:
             self.buckets = 8 + rows // BUCKET_ROWS
-        run = run.select(*_HASH, "n_docs", "last_doc")
-        fresh = run
-        for level in self.levels:
-            for name in level:
-                fresh = fresh.join(self.spark.table(name), _HASH, "left_anti")
-        seen = self.runs()
-        if seen is not None:
-            self.repeats.append(self._save(run.join(seen.select(*_HASH), _HASH, "left_semi")))
-        self._push(0, self._save(fresh))
+        arrived = self._save(run.select(*_HASH, "n_docs", "last_doc"))
+        stored = [name for level in self.levels for name in level]
+        if not stored:
+            self._push(0, arrived)
+            return
+        run = fresh = self.spark.table(arrived)
+        for name in stored:
+            fresh = fresh.join(self.spark.table(name), _HASH, "left_anti")
+        new = self._save(fresh, dealt=True)
+        self.repeats.append(self._save(run.join(self.spark.table(new), _HASH, "left_anti"), dealt=True))
+        self._drop([arrived])
+        self._push(0, new)
 
     def _push(self, level: int, name: str) -> None:
         while len(self.levels) <= level:

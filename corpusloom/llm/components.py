@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import new_path
+from corpusloom.session import new_path, write_once
 
 
 def _written(edges: DataFrame) -> DataFrame:
-    path = new_path(edges.sparkSession, "star-edges")
-    edges.write.parquet(path)
-    return edges.sparkSession.read.schema("a long, b long").parquet(path)
+    return write_once(edges, new_path(edges.sparkSession, "star-edges"))
 
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import grams, mix, record_batch, release, slices, word_hashes, words
 from corpusloom.llm.components import components
-from corpusloom.session import new_path
+from corpusloom.session import new_path, write_once
 
 N = 5
 PERCENT = 80
@@ -46,6 +46,8 @@ SLICE_BYTES = 2 << 20
 # An n-gram in more documents than this of one flush sends a count to its part and its
 # documents as a row of their own.
 OFTEN = 64
+# Frequencies that the order of n-grams tells apart.
+MOST_DF = (1 << 15) - 1
 # Members of a list that are walked as one chain; how many of those before it in a list, and
 # how many in all, a document tries first.
 CHAIN = 100_000
@@ -233,30 +235,38 @@ def _shared(postings: DataFrame) -> DataFrame:
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return write_once(df, new_path(df.sparkSession, name))
+
+
+def _packed(df: Column, token: Column) -> Column:
+    """Frequency and token as one number, which sorts by both. From ``MOST_DF`` on all frequencies sort as
+    one, which only orders n-grams; a list of numbers is a quarter of a list of structs when it moves."""
+    return F.shiftleft(F.least(df, F.lit(MOST_DF)), int(_BITS)).bitwiseOR(token)
+
+
+def _token(packed: Column) -> Column:
+    return packed.bitwiseAND(F.lit((1 << int(_BITS)) - 1))
 
 
 def _prefix(order: Column, room: Column) -> Column:
-    """The first ``room`` tokens of ``tokens(df, token)`` under an order (a function of each)."""
-    ordered = F.array_sort(F.transform("tokens", lambda t: F.struct(order(t).alias("o"), t["token"].alias("token"))))
+    """The first ``room`` of the packed ``tokens`` under an order (a function of each)."""
+    ordered = F.array_sort(F.transform("tokens", lambda t: F.struct(order(t).alias("o"), _token(t).alias("token"))))
     return F.transform(F.slice(ordered, 1, room), lambda t: t["token"])
 
 
 def _survivors(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Documents that can have a link: size, listed n-grams, and a prefix per order."""
     least = F.ceil(F.col("n") * percent / 100)
-    listed = shared.groupBy("doc_id").agg(F.collect_list(F.struct("df", "token")).alias("tokens"))
+    listed = shared.groupBy("doc_id").agg(F.collect_list(_packed(F.col("df"), F.col("token"))).alias("tokens"))
     kept = listed.join(sets, "doc_id").filter(F.size("tokens") >= least)
     room = (F.size("tokens") - least + 1).cast("int")
     orders = {
-        "by_df": lambda t: F.struct(t["df"], t["token"]),
-        "by_hash": lambda t: F.xxhash64(F.lit(1), t["token"]),
-        "by_other_hash": lambda t: F.xxhash64(F.lit(2), t["token"]),
+        "by_df": lambda t: t,
+        "by_hash": lambda t: F.xxhash64(F.lit(1), _token(t)),
+        "by_other_hash": lambda t: F.xxhash64(F.lit(2), _token(t)),
     }
     prefixes = [_prefix(order, room).alias(name) for name, order in orders.items()]
-    return kept.select("doc_id", "n", *prefixes, F.transform("tokens", lambda t: t["token"]).alias("tokens"))
+    return kept.select("doc_id", "n", *prefixes, F.transform("tokens", _token).alias("tokens"))
 
 
 def _possible(n_a: Column, at_a: Column, n_b: Column, at_b: Column, percent: int) -> Column:

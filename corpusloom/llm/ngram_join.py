@@ -363,7 +363,9 @@ def links(docs: DataFrame, sets: DataFrame, n: int = N, percent: int = PERCENT)
     postings = _postings(texts.sortWithinPartitions("doc_id"), n, parts)
     dealt = postings.repartition(parts, "part").sortWithinPartitions("part", "often")
     sizes = classes.select("doc_id", F.col("n_shingles").alias("n"))
-    survivors = _stored(_survivors(_shared(dealt), sizes, percent), "survivors")
+    # Stored first: the shuffles of texts and of postings are gone before the listed ones move.
+    shared = _stored(_shared(dealt), "shared")
+    survivors = _stored(_survivors(shared, sizes, percent), "survivors")
     unlisted = F.greatest(F.col("n") - F.size("tokens"), F.lit(0))
     earlier = F.transform("by_df", lambda t, i: F.slice("by_df", F.greatest(i - EARLIER + 1, F.lit(1)), F.least(i, F.lit(EARLIER))))
     placed = F.arrays_zip(F.col("by_df").alias("token"), earlier.alias("earlier"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,8 @@ from collections import Counter, defaultdict
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -174,6 +177,40 @@ def test_quality_verdicts(spark):
     assert quality.judge(docs.filter("doc_id > 999"), labels).count() == 0
 
 
+def test_every_good_document_is_in_the_target(spark):
+    """More of them than one model once took (20,000), with and without a broadcast, null ids and copies."""
+    n = 20_600
+    id_ = F.when(F.col("id") % 103 > 0, F.col("id") - F.col("id") % 2)
+    text = F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(40))) for i in range(5)])
+    docs = spark.range(n).select(id_.alias("doc_id"), text.alias("text"))
+    labels = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality.trusted_documents(docs, labels).count() == 2 * n
+
+    spared = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(quality.CALIBRATION)) == 0
+    rows = docs.withColumn("spared", spared & F.col("doc_id").isNotNull()).toPandas()
+    buckets, row = quality._features(pa.RecordBatch.from_pandas(rows[["text"]]))
+    trusted = (rows["doc_id"].notna() & ~rows["spared"]).to_numpy()[row]
+    raw, target = (1 + np.bincount(b, minlength=1 << quality.BUCKET_BITS) for b in (buckets, buckets[trusted]))
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    known = np.sort((np.bincount(row, ratio[buckets]) / np.bincount(row))[rows["spared"]])
+    low, middle = (known[math.ceil(share * len(known)) - 1] for share in (quality.LOW_SHARE, 0.5))
+    for most in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            got, threshold = quality.fit(docs, quality.trusted_documents(docs, labels))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert np.allclose(got, ratio, atol=1e-12)
+        assert threshold == pytest.approx(middle - quality.SLACK * (middle - low), abs=1e-12)
+
+
+@pytest.mark.parametrize("values", [[], [0.5], [1.0, -2.0], [-0.25] * 7 + [3.0], [math.sin(i) for i in range(999)]])
+def test_quantiles_are_exact(spark, values):
+    scores = spark.createDataFrame([(v,) for v in values], "score double")
+    want = scores.agg(F.percentile_approx("score", [0.02, 0.5], 10_000)).first()[0] or [0.0, 0.0]
+    assert quality._quantiles(scores, 0.02, 0.5) == list(want)
+
+
 # ------------------------------------------------------------------ line dedup
 
 

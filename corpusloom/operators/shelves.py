@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import new_path, power_of_two, stored
+from corpusloom.session import new_path, power_of_two, shuffles_go, stored
 
 PART, SHELF = "_part", "_shelf"
 ROWS_PER_PART = 65_536
@@ -85,5 +85,6 @@ def shelve(
     placed = df.withColumn(SHELF, _shelf(keys, n)).repartition(n, SHELF)
     placed = gather(placed) if gather else placed
     path = new_path(spark, name)
-    placed.sortWithinPartitions(SHELF, *keys).write.partitionBy(SHELF).parquet(path)
+    with shuffles_go(spark):
+        placed.sortWithinPartitions(SHELF, *keys).write.partitionBy(SHELF).parquet(path)
     return Shelves(spark.read.schema(placed.schema).parquet(path), keys, hubs, n)

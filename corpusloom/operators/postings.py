@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ from corpusloom.session import new_path, stored
 # Postings of a block, and blocks of one part of a term.
 BLOCK = 512
 BLOCKS_PER_PART = 64
-# Postings a map task groups by term at a time, and bytes of packed ones unpacked at a time.
-FLUSH = 1_000_000
+# Postings a map task groups by term at a time, about how many of them it packs at a time, and bytes of
+# packed ones unpacked at a time.
+FLUSH = 1_500_000
+PACKED = 1 << 18
 UNPACKED = 1 << 20
 # Places the items are spread over until they are stored on their own.
 SPREAD = 4_096
@@ -119,48 +122,56 @@ def _runs(folder: str, total: int, blocks_per_part: int):
     """A ``mapInArrow`` function: the items of ``no, place, item, norm, term ARRAY, tf ARRAY``, and their postings
     by term and piece. A row is an item or a packed run, first the steps from item to item, then the counts."""
 
-    def grouped(batch: pa.RecordBatch, sizes: np.ndarray) -> dict:
-        coded = batch.column("term").flatten().dictionary_encode()
-        no, place, norm = (batch.column(c).to_numpy() for c in ("no", "place", "norm"))
-        code, tf = coded.indices.to_numpy(), batch.column("tf").flatten().to_numpy()
-        row = np.repeat(np.arange(batch.num_rows, dtype=np.int32), sizes)
-        pieces = _pieces(coded.dictionary, folder)
+    def grouped(held: list[dict], items: dict) -> Iterator[dict]:
+        codes = pa.chunked_array([h["term"] for h in held]).unify_dictionaries().chunks
+        terms, code = codes[0].dictionary, np.concatenate([c.indices.to_numpy() for c in codes])
+        tf, sizes = (np.concatenate([h[c] for h in held]) for c in ("tf", "sizes"))
+        no, place, norm = (items[c].to_numpy() for c in ("no", "place", "norm"))
+        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        pieces = _pieces(terms, folder)
         base = np.cumsum(pieces) - pieces
-        at = base[code] + place[row] // np.maximum(1, total // pieces)[code] % pieces[code]
+        at = place[row]
+        at //= np.maximum(1, total // pieces)[code]
+        at %= pieces[code]
+        at += base[code]
         order = np.argsort(at, kind="stable")
-        at, code, row, tf = at[order], code[order], row[order], tf[order]
-        del order
-        head = _heads(at)
-        n, of, piece = np.diff(np.r_[head, len(at)]), code[head], at[head] - base[code[head]]
+        at = at[order]
+        heads = _heads(at)
+        of = code[order[heads]]
+        piece = at[heads] - base[of]
         del at, code
-        largest = np.maximum.reduceat((1 + np.log(tf)) / norm[row], head).astype(np.float32)
-        step = np.diff(no[row], prepend=0)
-        step[head] = no[row[head]]
-        where = np.repeat(2 * head, n) + _within(n)
-        values = np.empty(2 * len(row), np.uint64)
-        values[where] = step
-        values[where + np.repeat(n, n)] = tf
-        del where, step, row, tf
-        data, width = _packed(values)
-        ends = np.r_[0, np.cumsum(np.add.reduceat(width, 2 * head, dtype=np.int64))].astype(np.int32)
-        return {
-            "term": coded.dictionary.take(pa.array(of)),
-            "piece": piece,
-            "pieces": pieces[of],
-            "part": piece // blocks_per_part,
-            "largest": np.nextafter(largest, np.float32(np.inf)),  # not below any of them
-            "n": n,
-            "payload": pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends), pa.py_buffer(data)]),
-        }
-
-    def flushed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        sizes = pc.fill_null(pc.list_value_length(batch.column("term")), 0).to_numpy()
-        items = {c: batch.column(c) for c in ("no", "item", "norm")}
+        row, tf = row[order], tf[order]
+        del order
+        ends = np.r_[heads[1:], len(row)]
+        cuts = 1 + np.flatnonzero(np.diff(heads // PACKED))
+        for i, j in zip([0, *cuts], [*cuts, len(heads)]):
+            start, end = heads[i], ends[j - 1]
+            head, n, r = heads[i:j] - start, ends[i:j] - heads[i:j], row[start:end]
+            largest = np.maximum.reduceat((1 + np.log(tf[start:end])) / norm[r], head).astype(np.float32)
+            step = np.diff(no[r], prepend=0)
+            step[head] = no[r[head]]
+            where = np.repeat(2 * head, n) + _within(n)
+            values = np.empty(2 * len(r), np.uint64)
+            values[where], values[where + np.repeat(n, n)] = step, tf[start:end]
+            data, width = _packed(values)
+            offsets = np.r_[0, np.cumsum(np.add.reduceat(width, 2 * head, dtype=np.int64))].astype(np.int32)
+            yield {
+                "term": terms.take(pa.array(of[i:j])),
+                "piece": piece[i:j],
+                "pieces": pieces[of[i:j]],
+                "part": piece[i:j] // blocks_per_part,
+                "largest": np.nextafter(largest, np.float32(np.inf)),  # not below any of them
+                "n": n,
+                "payload": pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
+            }
+
+    def flushed(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        items = {c: pa.concat_arrays([h[c] for h in held]) for c in ("no", "place", "item", "norm")}
         items["part"] = pc.bit_wise_and(items["no"], SPREAD - 1)
-        schema = pa.schema(_RUN + [(c, batch.schema.field(c).type) for c in ("no", "item", "norm")])
-        for columns in (items, grouped(batch, sizes)) if sizes.sum() else (items,):
-            size = len(next(iter(columns.values())))
+        schema = pa.schema(_RUN + [(c, items[c].type) for c in ("no", "item", "norm")])
+        found = grouped(held, items) if any(len(h["tf"]) for h in held) else ()
+        for columns in chain([items], found):
+            size = len(columns["part"])
             arrays = [pa.array(columns[f.name]).cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
@@ -172,11 +183,15 @@ def _runs(folder: str, total: int, blocks_per_part: int):
             sizes = pc.fill_null(pc.list_value_length(batch.column("term")), 0).to_numpy()
             cuts = 1 + np.flatnonzero(np.diff(np.cumsum(sizes) // FLUSH))
             for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
-                held.append(batch.take(pa.array(np.arange(start, end))))
-                n += int(sizes[start:end].sum())
+                some = batch.take(pa.array(np.arange(start, end)))
+                term, tf = (some.column(c).flatten() for c in ("term", "tf"))
+                own = {"term": term.dictionary_encode(), "tf": tf.to_numpy().astype(np.uint32), "sizes": sizes[start:end]}
+                held.append(own | {c: some.column(c) for c in ("no", "place", "item", "norm")})
+                n += len(tf)
                 if n >= FLUSH:
                     yield from flushed(held)
                     held, n = [], 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from flushed(held)
 

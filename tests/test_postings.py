@@ -36,10 +36,11 @@ def test_numbers_are_packed_and_read():
     assert postings._numbers(data).tolist() == values.tolist()
 
 
-@pytest.mark.parametrize(("flush", "unpacked", "block"), [(1, 1, 4), (90, 64, 4), (10**6, 1 << 20, 16)])
-def test_ranking_is_exact_however_postings_are_cut(spark, rows, monkeypatch, flush, unpacked, block):
+@pytest.mark.parametrize(("flush", "packed", "unpacked", "block"), [(1, 1, 1, 4), (90, 16, 64, 4), (10**6, 99, 1 << 20, 16)])
+def test_ranking_is_exact_however_postings_are_cut(spark, rows, monkeypatch, flush, packed, unpacked, block):
     """Long ids in no order, items without terms, many and few postings at a time."""
     monkeypatch.setattr(postings, "FLUSH", flush)
+    monkeypatch.setattr(postings, "PACKED", packed)
     monkeypatch.setattr(postings, "UNPACKED", unpacked)
     texts = texts_of(300, lambda i: i * 7919 % 300 - 100)
     asked = spark.createDataFrame([(q, t, 5) for q, t in ASKED], "query_id long, text string, top_k int")
